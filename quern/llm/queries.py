@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.bpe_stream import encode_decode
 from quern.llm.kd_shards import kd_shards
 from quern.llm.shared import documents
+from quern.llm.token_counts import section_tokens
 from quern.llm.token_files import round_trip
 
 
@@ -17,16 +19,26 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), rule="start")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), shards=24)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_section_tokens": op1_section_tokens,
     "op7_token_files": op7_token_files,
+    "op8_bpe_stream": op8_bpe_stream,
     "op10_kd_shards": op10_kd_shards,
 }
 

@@ -11,6 +11,7 @@ from quern.llm.kd_shards import kd_shards
 from quern.llm.shared import documents
 from quern.llm.token_counts import section_tokens
 from quern.llm.token_files import round_trip
+from quern.llm.toxicity import score, train
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +24,11 @@ def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), rule="start")
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
@@ -37,6 +43,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_section_tokens": op1_section_tokens,
+    "op4_toxic_segments": op4_toxic_segments,
     "op7_token_files": op7_token_files,
     "op8_bpe_stream": op8_bpe_stream,
     "op10_kd_shards": op10_kd_shards,

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.order import positions
-from quern.llm.shared import written
+from quern.llm.shared import local_rows, written
 
 BINS = 2048
 #: A cut may miss its weight by this share of one leaf.
@@ -58,7 +58,7 @@ def _splits(rows: DataFrame, nodes: list[Node], dims: list[str]) -> None:
     open_nodes = [n for n in nodes if n.high]
     while open_nodes:
         # One row a node; nodes are fewer than leaves, which MAX_LEAVES bounds.
-        frame = spark.createDataFrame([(n.first, n.dim, n.low, n.high, max(1, -(-(n.high - n.low) // BINS))) for n in open_nodes], "_at int, _dim int, _low long, _high long, _width long")
+        frame = local_rows(spark, [(n.first, n.dim, n.low, n.high, max(1, -(-(n.high - n.low) // BINS))) for n in open_nodes], "_at int, _dim int, _low long, _high long, _width long")
         keyed = rows.join(F.broadcast(frame), rows["_node"] == frame["_at"]).withColumn("_key", _key([F.col(c) for c in dims], F.col("_dim")))
         hist = (
             keyed.filter("_key >= _low and _key < _high")
@@ -66,7 +66,7 @@ def _splits(rows: DataFrame, nodes: list[Node], dims: list[str]) -> None:
             .agg(F.sum("_w").alias("w"), F.min("_key").alias("lo"), F.max("_key").alias("hi"))
         )
         upto = Window.partitionBy("_node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        goal = spark.createDataFrame([(n.first, n.weight * (n.leaves // 2) / n.leaves - n.left) for n in open_nodes], "_goal_at int, _goal double")
+        goal = local_rows(spark, [(n.first, n.weight * (n.leaves // 2) / n.leaves - n.left) for n in open_nodes], "_goal_at int, _goal double")
         found = hist.withColumn("before", F.coalesce(F.sum("w").over(upto), F.lit(0))).join(F.broadcast(goal), F.col("_node") == F.col("_goal_at"))
         # The bin that holds the goal: one row a node.
         found = found.filter("before < _goal and before + w >= _goal").select("_node", "w", "lo", "hi", "before", "_goal").collect()
@@ -112,7 +112,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     while any(n.leaves > 1 for n in level):
         inner = [n for n in level if n.leaves > 1]
         _splits(rows, inner, list(dims))
-        cuts = rows.sparkSession.createDataFrame([(n.first, n.leaves // 2, n.dim, n.cut if n.cut is not None else n.high) for n in inner], "_at int, _half int, _dim int, _cut long")
+        cuts = local_rows(rows.sparkSession, [(n.first, n.leaves // 2, n.dim, n.cut if n.cut is not None else n.high) for n in inner], "_at int, _half int, _dim int, _cut long")
         joined = rows.join(F.broadcast(cuts), rows["_node"] == cuts["_at"], "left")
         right = F.coalesce(_key([F.col(c) for c in dims], F.col("_dim")) >= F.col("_cut"), F.lit(False))
         moved = joined.select("_id", "size", "text_crc32", "_w", "_tie", *dims, F.when(right, F.col("_node") + F.col("_half")).otherwise(F.col("_node")).alias("_node"), F.when(F.col("_half").isNull(), F.col("_k")).when(right, F.col("_k") - F.col("_half")).otherwise(F.col("_half")).alias("_k"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -32,7 +33,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def parallel(df: DataFrame, column: str = "doc_id") -> DataFrame:
-    """df over more tasks where the scan made fewer than the cluster has cores (one small file)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, F.xxhash64(column)) if df.rdd.getNumPartitions() * 2 <= n else df
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a DataFrame, without Python on the executors."""
+    names = [c.split()[0] for c in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(","))
+    return spark.sql(f"select inline(from_json(:rows, 'array<struct<{kind}>>'))", {"rows": text})

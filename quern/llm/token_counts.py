@@ -95,13 +95,14 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             held = 0
-            for k0 in range(0, batch.num_rows, 256):
-                part = batch.slice(k0, 256)
+            for i, j, all_ids, counts in coder.encode(batch.column(1)):
+                part = batch.slice(i, j - i)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 keys = part.column(0).to_pylist()
-                for k, (key, text, ids) in enumerate(zip(keys, texts, coder.encode(texts), strict=True)):
+                cuts = np.cumsum(counts) - counts
+                for k, (key, text) in enumerate(zip(keys, texts, strict=True)):
                     data = np.frombuffer(text.encode(), np.uint8)
-                    ends = np.cumsum(size[np.frombuffer(ids, "<u4")])
+                    ends = np.cumsum(size[all_ids[cuts[k] : cuts[k] + counts[k]]])
                     heads = None if len(data) == len(text) else np.flatnonzero((data & 0xC0) != 0x80)
                     if sections is None:
                         a, b = _lines(data, heads)

@@ -32,7 +32,7 @@ from quern.llm.shared import fresh_path
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 512
-#: A file is closed at the end of the document in which it reaches so many ids.
+#: A file is closed after the run of texts in which it reaches so many ids.
 FILE_IDS = 1 << 20
 MAGIC = b"QS8B"
 _ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
@@ -151,21 +151,6 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else x for x, z in zip(known.tolist(), null.tolist(), strict=True)], lengths, unpack(words, offsets.astype(np.int64), n)
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Rows of a batch in runs of about `most` characters."""
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        t = t.as_py() or ""
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-        if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id, and writes files to `path` in ascending order of the id.
 
@@ -175,25 +160,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = cached(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         keys, lengths, parts, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             nonlocal keys, lengths, parts, held, seq
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(keys), "n_ids": len(ids), "data": to_file(keys, lengths, ids)}], _ROW)
             keys, lengths, parts, held, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for ids, texts in _pieces(batch):
-                for i, b in zip(ids, coder.encode(texts), strict=True):
-                    keys.append(i)
-                    lengths.append(len(b) // 4 + 1)
-                    parts += (b, end)
-                    held += lengths[-1]
-                    if held >= FILE_IDS:
-                        yield closed()
+            names = batch.column(0).to_pylist()
+            for i, j, ids, counts in coder.encode(batch.column(1)):
+                keys += names[i:j]
+                lengths += (counts + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(counts), end_id))
+                held += len(parts[-1])
+                if held >= FILE_IDS:
+                    yield closed()
         if keys:
             yield closed()
 

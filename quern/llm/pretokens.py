@@ -158,7 +158,7 @@ class Cached:
 
     def encode(self, texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, last text + 1, ids end to end, ids of each text) of an Arrow array of strings; a null text is empty."""
-        for i, j, data, bounds in chunks(texts, lower=False):
+        for i, j, data, bounds in chunks(texts, lower=None):
             yield i, j, *self._run(data, bounds)
 
 

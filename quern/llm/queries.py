@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe_stream import encode_decode
+from quern.llm.decontam import search
 from quern.llm.kd_shards import kd_shards
 from quern.llm.shared import documents
 from quern.llm.token_counts import section_tokens
@@ -29,6 +30,10 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
@@ -44,6 +49,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_section_tokens": op1_section_tokens,
     "op4_toxic_segments": op4_toxic_segments,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op8_bpe_stream": op8_bpe_stream,
     "op10_kd_shards": op10_kd_shards,

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def _scored(w, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def _scan(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float, float]]]]:
     """The statistic of each text, and its segments with E < 1 as (start, end, score, E), in bytes."""
     stats, found = np.zeros(len(texts)), [[] for _ in range(len(texts))]
-    for i, _, data, bounds in chunks(texts):
+    for i, _, data, bounds in chunks(texts, "unicode"):
         w = words_of(data, bounds, _BREAK)
         if not len(w.start) or not len(model.terms):
             continue
@@ -157,7 +158,7 @@ def _counts(df: DataFrame, per_doc, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in chunks(batch.column(0)):
+            for i, j, data, bounds in chunks(batch.column(0), "unicode"):
                 yield from per_doc(words_of(data, bounds, _BREAK), batch.slice(i, j - i))
 
     return df.mapInArrow(run, schema)
@@ -330,7 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if passages:
                 spans = []
                 for t, own in zip(batch.column(1), found, strict=True):
-                    raw = (t.as_py() or "").encode() if own else b""
+                    raw = pc.utf8_lower(t).as_py().encode() if own else b""
                     spans.append([{"start": len(raw[:a].decode()), "end": len(raw[:b].decode()), "score": s, "evalue": e} for a, b, s, e in own])
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evalue", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", *["passages"] * passages])

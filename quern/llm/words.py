@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 4 << 20
@@ -90,13 +91,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -
     return Words(data, start, end, doc, first, bounds[:-1])
 
 
-def chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text + 1, bytes, bounds) of runs of about CHUNK bytes; a null text is empty. lower: A-Z become a-z."""
+def chunks(texts: pa.Array, lower: str | None = "ascii") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, bytes, bounds) of runs of about CHUNK bytes; a null text is empty.
+
+    lower: `ascii` lower-cases A-Z, `unicode` every letter, one code point for one.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_string())
+    if lower == "unicode":
+        texts = pc.utf8_lower(texts)
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
@@ -105,5 +111,5 @@ def chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.n
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
         data = raw[offsets[i] : offsets[j]]
-        yield i, j, _LOWER[data] if lower else data, offsets[i : j + 1] - offsets[i]
+        yield i, j, _LOWER[data] if lower == "ascii" else data, offsets[i : j + 1] - offsets[i]
         i = j

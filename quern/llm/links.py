@@ -1,0 +1,123 @@
+"""Exact components of a metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
+
+Input are buckets: (bucket, id) such that any two items within `radius` share a
+bucket. Far items share none, so a bucket is a piece of the space in which
+distances differ, and pivots tell something. In each level
+
+* a bucket whose members are all in one component is done;
+* a bucket of at most LEAF members compares the pairs of different components;
+* in a larger bucket pivots are chosen, the members of most buckets first, and
+  every member gets its distance to each. A member lies in the Voronoi region of
+  its nearest pivot. Members within the radius of a pivot are linked to it, so
+  most of a region becomes one component without comparing its members;
+* what is left to find are links between a bucket's largest component and the
+  others, and among the others. Such a member y is replicated to windows of a
+  radius' width along the distance to the first pivot, and compared only with x
+  for which |d(x, p) - d(y, p)| <= radius at every pivot p. While those pairs
+  would be more than PAIRS_PER_ROW a member, the bucket goes to the next level
+  with more pivots, chosen outside the largest component.
+
+A pivot leaves its bucket: all its pairs are known. So every pair of a bucket is
+compared, or excluded by the triangle inequality, or already in one component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.llm.components import components
+from quern.llm.shared import written
+
+LEAF = 6
+PAIRS_PER_ROW = 4
+_EPS = 1e-9
+
+
+def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(id, component) of linked items after more edges between items."""
+    if labels is None:
+        return written(components(edges), "labels")
+    of = lambda side: labels.select(F.col("id").alias(f"_{side}"), F.col("component").alias(f"_c{side}"))
+    named = edges.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    lifted = named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))
+    merged = written(components(lifted), "labels")
+    step = merged.select(F.col("id").alias("_old"), F.col("component").alias("_new"))
+    old = labels.join(step, F.col("component") == F.col("_old"), "left").select("id", F.coalesce("_new", "component").alias("component"))
+    fresh = merged.join(labels.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    return written(old.unionByName(fresh), "labels")
+
+
+def _distances(pairs: DataFrame, items: DataFrame, payload: list[str], distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    """(a, b, d) of the distinct pairs (a, b)."""
+    side = lambda p: items.select(F.col("id").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in payload])
+    joined = pairs.distinct().join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return joined.select("a", "b", distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")).alias("d"))
+
+
+def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, radius: float) -> DataFrame | None:
+    """(id, component) of the items that have a link, or None if no two items share a bucket.
+
+    buckets: (bucket long, id); items: (id, *payload). distance(x, y) gives a
+    Column from two functions that map a payload name to a Column.
+    """
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("n > 1")
+    # Buckets with the same members: one of them.
+    once = written(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"), "buckets")
+    members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
+    now = members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree", F.col("id").alias("component"), F.array().cast("array<double>").alias("ds"), F.lit(False).alias("main"))
+    now = written(now, "level")
+    labels, level = None, 0
+    while True:
+        per = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.when(F.col("main"), 0).otherwise(1)).alias("out")).filter("n > 1 and c0 <> c1")
+        per = written(per.select(F.col("bucket").alias("_b"), "n", "out"), "open")
+        work = per.filter(F.col("n") > LEAF).agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        pivots = 1 if level == 0 else 4**level
+        last = not work["buckets"] or (level > 0 and work["pairs"] <= max(PAIRS_PER_ROW * work["rows"], 20_000))
+        open_now = now.join(per, F.col("bucket") == F.col("_b"))
+        leaf = open_now if last else open_now.filter(F.col("n") <= LEAF)
+        edges = _distances(_window_pairs(leaf, radius), items, payload, distance).filter(F.col("d") <= radius + _EPS).select("a", "b")
+        if not last:
+            big = written(open_now.filter(F.col("n") > LEAF).drop("_b", "n", "out"), "big")
+            rank = Window.partitionBy("bucket").orderBy("main", F.desc("degree"), "id")
+            chosen = _first_members(big, pivots, rank)
+            star = big.join(chosen, F.col("bucket") == F.col("_cb")).select("bucket", "id", "pivot", "place")
+            found = _distances(star.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), items, payload, distance)
+            known = written(found, "star")
+            edges = edges.unionByName(known.filter(F.col("d") <= radius + _EPS).select("a", "b"))
+        edges = written(edges, "edges")
+        labels = _relabel(labels, edges)
+        if last:
+            return labels
+        ds = star.join(known, (F.col("id") == F.col("a")) & (F.col("pivot") == F.col("b"))).groupBy("bucket", "id").agg(F.sort_array(F.collect_list(F.struct("place", "d"))).alias("_ds"))
+        ds = ds.select(F.col("bucket").alias("_db"), F.col("id").alias("_di"), F.transform("_ds", lambda x: x["d"]).alias("_ds"))
+        gone = chosen.select(F.col("_cb").alias("_gb"), F.col("pivot").alias("_gi"))
+        rest = big.join(gone, (F.col("bucket") == F.col("_gb")) & (F.col("id") == F.col("_gi")), "left_anti").join(ds, (F.col("bucket") == F.col("_db")) & (F.col("id") == F.col("_di")))
+        step = labels.select(F.col("id").alias("_li"), F.col("component").alias("_lc"))
+        rest = rest.join(step, F.col("id") == F.col("_li"), "left").select("bucket", "id", "degree", F.coalesce("_lc", "id").alias("component"), F.concat("ds", "_ds").alias("ds"))
+        rest = written(rest, "rest")
+        most = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("_mc")).select(F.col("bucket").alias("_mb"), "_mc")
+        now = written(rest.join(most, F.col("bucket") == F.col("_mb")).select("bucket", "id", "degree", "component", "ds", (F.col("component") == F.col("_mc")).alias("main")), "level")
+        level += 1
+
+
+def _first_members(big: DataFrame, k: int, rank) -> DataFrame:
+    """(_cb, pivot, place): the first k members of each bucket. For one: an aggregate, which combines before it shuffles."""
+    if k == 1:
+        one = big.groupBy("bucket").agg(F.min_by("id", F.struct("main", -F.col("degree"), "id")).alias("pivot"))
+        return one.select(F.col("bucket").alias("_cb"), "pivot", F.lit(1).alias("place"))
+    return written(big.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k).select(F.col("bucket").alias("_cb"), F.col("id").alias("pivot"), "place"), "pivots")
+
+
+def _window_pairs(rows: DataFrame, radius: float) -> DataFrame:
+    """Pairs of a bucket that are in different components, not both in the largest, and near by every pivot's distance."""
+    cell = F.when(F.size("ds") > 0, F.floor(F.col("ds")[0] / (radius + _EPS)).cast("long")).otherwise(F.lit(0).cast("long"))
+    x = rows.select(F.col("bucket").alias("xb"), F.col("id").alias("x"), F.col("component").alias("xc"), F.col("ds").alias("xd"), F.col("main").alias("xm"), cell.alias("xcell"))
+    near = F.when(F.size("ds") > 0, F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
+    y = rows.filter(~F.col("main")).select(F.col("bucket").alias("yb"), F.col("id").alias("y"), F.col("component").alias("yc"), F.col("ds").alias("yd"), F.explode(near).alias("ycell"))
+    apart = F.exists(F.zip_with("xd", "yd", lambda p, q: F.abs(p - q)), lambda g: g > radius + _EPS)
+    met = x.join(y, (F.col("xb") == F.col("yb")) & (F.col("xcell") == F.col("ycell")) & (F.col("xc") != F.col("yc")) & (F.col("xm") | (F.col("x") < F.col("y"))) & ~apart)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))

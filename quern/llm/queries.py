@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.bpe_stream import encode_decode
 from quern.llm.decontam import search
+from quern.llm.jaccard_join import similar_components
 from quern.llm.kd_shards import kd_shards
 from quern.llm.shared import documents
 from quern.llm.token_counts import section_tokens
@@ -25,6 +26,10 @@ def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), rule="start")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir), n=4, part=85, whole=100)
+
+
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,6 +53,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_section_tokens": op1_section_tokens,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_toxic_segments": op4_toxic_segments,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quern.llm.components import components
 from quern.llm.shared import written
 
-LEAF = 6
+LEAF = 2
 PAIRS_PER_ROW = 4
 _EPS = 1e-9
 

@@ -11,6 +11,7 @@ from quern.llm.decontam import search
 from quern.llm.jaccard_join import similar_components
 from quern.llm.kd_shards import kd_shards
 from quern.llm.shared import documents
+from quern.llm.simhash import with_edits
 from quern.llm.token_counts import section_tokens
 from quern.llm.token_files import round_trip
 from quern.llm.toxicity import score, train
@@ -30,6 +31,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), n=4, part=85, whole=100)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(documents(spark, sf_dir))
+
+
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -54,6 +59,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_section_tokens": op1_section_tokens,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_simhash": op3_simhash,
     "op4_toxic_segments": op4_toxic_segments,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,

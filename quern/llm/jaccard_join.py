@@ -109,7 +109,8 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
         # Sizes too far apart can't link; the exact test is in whole numbers.
         return F.when(whole * both >= part * (x("n") + y("n") - both), F.least(near, F.lit(1 - part / whole))).otherwise(F.greatest(near, F.lit(1 - part / whole + 1e-6)))
 
-    labels = linked(buckets, items, ["n", "shingles"], distance, 1 - part / whole)
+    close = lambda x, y: (part * x("n") <= whole * y("n")) & (part * y("n") <= whole * x("n"))
+    labels = linked(buckets, items, ["n", "shingles"], distance, 1 - part / whole, ("n",), close)
     named = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2")
     reps = classes.select(F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep").join(labels.select(F.col("id").alias("_l"), "component"), F.col("rep") == F.col("_l"), "left")
     out = named.join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left")

@@ -4,9 +4,11 @@ Input are buckets: (bucket, id) such that any two items within `radius` share a
 bucket. Far items share none, so a bucket is a piece of the space in which
 distances differ, and pivots tell something. In each level
 
-* a bucket whose members are all in one component is done;
-* a bucket of at most LEAF members compares the pairs of different components;
-* in a larger bucket pivots are chosen, the members of most buckets first, and
+* a bucket whose members are all in one component is done; before the first
+  level every item is compared with the most connected item that it meets;
+* a bucket of at most LEAF members, or with at most PAIRS_PER_ROW members outside
+  its largest component, compares the pairs of different components;
+* in any other bucket pivots are chosen, the members of most buckets first, and
   every member gets its distance to each. A member lies in the Voronoi region of
   its nearest pivot. Members within the radius of a pivot are linked to it, so
   most of a region becomes one component without comparing its members;
@@ -50,57 +52,79 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return written(old.unionByName(fresh), "labels")
 
 
-def _distances(pairs: DataFrame, items: DataFrame, payload: list[str], distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
-    """(a, b, d) of the distinct pairs (a, b)."""
+def _distances(pairs: DataFrame, known: DataFrame | None, items: DataFrame, payload: list[str], distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    """(lo, hi, d) of the distinct pairs (a, b), written; those in `known` are taken from there.
+
+    b should be the side that repeats: what belongs to a travels with the pair, what belongs to b once.
+    """
+    pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min_by("a", F.struct("a", "b")).alias("a")).select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+    if known is not None:
+        pairs = written(pairs, "pairs")
+        old = known.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "d")
+        same = (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
+        had, pairs = pairs.join(old, same).select("lo", "hi", "d"), pairs.join(old, same, "left_anti")
     side = lambda p: items.select(F.col("id").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in payload])
-    joined = pairs.distinct().join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    return joined.select("a", "b", distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")).alias("d"))
+    joined = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    got = joined.select("lo", "hi", distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")).alias("d"))
+    return written(got if known is None else got.unionByName(had), "distances")
+
+
+def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with their items' components, and whether it is the largest of their bucket."""
+    step = labels.select(F.col("id").alias("_li"), F.col("component").alias("_lc"))
+    rows = written(rows.drop("component", "main").join(step, F.col("id") == F.col("_li"), "left").withColumn("component", F.coalesce("_lc", "id")).drop("_li", "_lc"), "named")
+    most = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("_mc")).select(F.col("bucket").alias("_mb"), "_mc")
+    return written(rows.join(most, F.col("bucket") == F.col("_mb")).withColumn("main", F.col("component") == F.col("_mc")).drop("_mb", "_mc"), "level")
 
 
-def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, radius: float) -> DataFrame | None:
-    """(id, component) of the items that have a link, or None if no two items share a bucket.
+def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, radius: float, carry: tuple[str, ...] = (), possible=None) -> DataFrame:
+    """(id, component) of the items that have a link.
 
-    buckets: (bucket long, id); items: (id, *payload). distance(x, y) gives a
-    Column from two functions that map a payload name to a Column.
+    buckets: (bucket long, id); items: (id, *payload, *carry). distance(x, y)
+    gives a Column from two functions that map a payload name to a Column;
+    possible(x, y), from narrow columns named in carry, is false only for pairs
+    that can't link.
     """
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("n > 1")
     # Buckets with the same members: one of them.
     once = written(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"), "buckets")
     members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
-    now = members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree", F.col("id").alias("component"), F.array().cast("array<double>").alias("ds"), F.lit(False).alias("main"))
-    now = written(now, "level")
-    labels, level = None, 0
+    narrow = items.select(F.col("id").alias("_item"), *[F.col(c).alias(f"_of_{c}") for c in carry])
+    now = members.join(degree, F.col("id") == F.col("_i")).join(narrow, F.col("id") == F.col("_item"))
+    now = written(now.select("bucket", "id", "degree", F.array().cast("array<double>").alias("ds"), *[f"_of_{c}" for c in carry]), "rows")
+    # Each item and the most connected pivot that it meets: most regions become one component.
+    tops = now.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("pivot"), F.max("degree").alias("rank")).select(F.col("bucket").alias("_b"), "pivot", "rank")
+    homes = now.join(tops, F.col("bucket") == F.col("_b")).filter("id <> pivot").groupBy("id").agg(F.max_by("pivot", F.struct("rank", "pivot")).alias("pivot"))
+    known = _distances(homes.select(F.col("id").alias("a"), F.col("pivot").alias("b")), None, items, payload, distance)
+    labels = _relabel(None, written(known.filter(F.col("d") <= radius + _EPS).select(F.col("hi").alias("a"), F.col("lo").alias("b")), "edges"))
+    now = _with_components(now, labels)
+    level = 0
     while True:
-        per = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.when(F.col("main"), 0).otherwise(1)).alias("out")).filter("n > 1 and c0 <> c1")
+        per = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count_if(~F.col("main")).alias("out")).filter("n > 1 and c0 <> c1")
         per = written(per.select(F.col("bucket").alias("_b"), "n", "out"), "open")
-        work = per.filter(F.col("n") > LEAF).agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
-        pivots = 1 if level == 0 else 4**level
-        last = not work["buckets"] or (level > 0 and work["pairs"] <= max(PAIRS_PER_ROW * work["rows"], 20_000))
+        work = per.filter((F.col("n") > LEAF) & (F.col("out") > PAIRS_PER_ROW)).agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("rows")).first()
+        pivots = 4**level
+        last = not work["buckets"] or work["pairs"] <= PAIRS_PER_ROW * work["rows"]
         open_now = now.join(per, F.col("bucket") == F.col("_b"))
-        leaf = open_now if last else open_now.filter(F.col("n") <= LEAF)
-        edges = _distances(_window_pairs(leaf, radius), items, payload, distance).filter(F.col("d") <= radius + _EPS).select("a", "b")
+        few = (F.col("n") <= LEAF) | (F.col("out") <= PAIRS_PER_ROW)
+        pairs = _window_pairs(open_now if last else open_now.filter(few), radius, carry, possible)
         if not last:
-            big = written(open_now.filter(F.col("n") > LEAF).drop("_b", "n", "out"), "big")
+            big = written(open_now.filter(~few).drop("_b", "n", "out"), "big")
             rank = Window.partitionBy("bucket").orderBy("main", F.desc("degree"), "id")
-            chosen = _first_members(big, pivots, rank)
+            chosen = written(_first_members(big, pivots, rank), "pivots")
             star = big.join(chosen, F.col("bucket") == F.col("_cb")).select("bucket", "id", "pivot", "place")
-            found = _distances(star.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), items, payload, distance)
-            known = written(found, "star")
-            edges = edges.unionByName(known.filter(F.col("d") <= radius + _EPS).select("a", "b"))
-        edges = written(edges, "edges")
-        labels = _relabel(labels, edges)
+            pairs = pairs.unionByName(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        found = _distances(pairs, known, items, payload, distance)
+        labels = _relabel(labels, written(found.filter(F.col("d") <= radius + _EPS).select(F.col("hi").alias("a"), F.col("lo").alias("b")), "edges"))
         if last:
             return labels
-        ds = star.join(known, (F.col("id") == F.col("a")) & (F.col("pivot") == F.col("b"))).groupBy("bucket", "id").agg(F.sort_array(F.collect_list(F.struct("place", "d"))).alias("_ds"))
+        known = written(known.unionByName(found).dropDuplicates(["lo", "hi"]), "known")
+        ds = star.join(known, (F.least("id", "pivot") == F.col("lo")) & (F.greatest("id", "pivot") == F.col("hi"))).groupBy("bucket", "id").agg(F.sort_array(F.collect_list(F.struct("place", "d"))).alias("_ds"))
         ds = ds.select(F.col("bucket").alias("_db"), F.col("id").alias("_di"), F.transform("_ds", lambda x: x["d"]).alias("_ds"))
         gone = chosen.select(F.col("_cb").alias("_gb"), F.col("pivot").alias("_gi"))
         rest = big.join(gone, (F.col("bucket") == F.col("_gb")) & (F.col("id") == F.col("_gi")), "left_anti").join(ds, (F.col("bucket") == F.col("_db")) & (F.col("id") == F.col("_di")))
-        step = labels.select(F.col("id").alias("_li"), F.col("component").alias("_lc"))
-        rest = rest.join(step, F.col("id") == F.col("_li"), "left").select("bucket", "id", "degree", F.coalesce("_lc", "id").alias("component"), F.concat("ds", "_ds").alias("ds"))
-        rest = written(rest, "rest")
-        most = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("_mc")).select(F.col("bucket").alias("_mb"), "_mc")
-        now = written(rest.join(most, F.col("bucket") == F.col("_mb")).select("bucket", "id", "degree", "component", "ds", (F.col("component") == F.col("_mc")).alias("main")), "level")
+        now = _with_components(rest.withColumn("ds", F.concat("ds", "_ds")).drop("_db", "_di", "_ds"), labels)
         level += 1
 
 
@@ -112,12 +136,14 @@ def _first_members(big: DataFrame, k: int, rank) -> DataFrame:
     return written(big.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k).select(F.col("bucket").alias("_cb"), F.col("id").alias("pivot"), "place"), "pivots")
 
 
-def _window_pairs(rows: DataFrame, radius: float) -> DataFrame:
+def _window_pairs(rows: DataFrame, radius: float, carry: tuple[str, ...], possible) -> DataFrame:
     """Pairs of a bucket that are in different components, not both in the largest, and near by every pivot's distance."""
     cell = F.when(F.size("ds") > 0, F.floor(F.col("ds")[0] / (radius + _EPS)).cast("long")).otherwise(F.lit(0).cast("long"))
-    x = rows.select(F.col("bucket").alias("xb"), F.col("id").alias("x"), F.col("component").alias("xc"), F.col("ds").alias("xd"), F.col("main").alias("xm"), cell.alias("xcell"))
+    x = rows.select(F.col("bucket").alias("xb"), F.col("id").alias("x"), F.col("component").alias("xc"), F.col("ds").alias("xd"), F.col("main").alias("xm"), cell.alias("xcell"), *[F.col(f"_of_{c}").alias(f"x_{c}") for c in carry])
     near = F.when(F.size("ds") > 0, F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
-    y = rows.filter(~F.col("main")).select(F.col("bucket").alias("yb"), F.col("id").alias("y"), F.col("component").alias("yc"), F.col("ds").alias("yd"), F.explode(near).alias("ycell"))
+    y = rows.filter(~F.col("main")).select(F.col("bucket").alias("yb"), F.col("id").alias("y"), F.col("component").alias("yc"), F.col("ds").alias("yd"), F.explode(near).alias("ycell"), *[F.col(f"_of_{c}").alias(f"y_{c}") for c in carry])
     apart = F.exists(F.zip_with("xd", "yd", lambda p, q: F.abs(p - q)), lambda g: g > radius + _EPS)
-    met = x.join(y, (F.col("xb") == F.col("yb")) & (F.col("xcell") == F.col("ycell")) & (F.col("xc") != F.col("yc")) & (F.col("xm") | (F.col("x") < F.col("y"))) & ~apart)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    on = (F.col("xb") == F.col("yb")) & (F.col("xcell") == F.col("ycell")) & (F.col("xc") != F.col("yc")) & (F.col("xm") | (F.col("x") < F.col("y"))) & ~apart
+    if possible is not None:
+        on &= possible(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+    return x.join(y, on).select(F.col("x").alias("a"), F.col("y").alias("b"))

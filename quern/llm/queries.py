@@ -10,6 +10,7 @@ from quern.llm.bpe_stream import encode_decode
 from quern.llm.decontam import search
 from quern.llm.jaccard_join import similar_components
 from quern.llm.kd_shards import kd_shards
+from quern.llm import pii
 from quern.llm.shared import documents
 from quern.llm.simhash import with_edits
 from quern.llm.token_counts import section_tokens
@@ -40,6 +41,11 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.extract(docs, pii.learn(docs)).drop("found")
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_simhash": op3_simhash,
     "op4_toxic_segments": op4_toxic_segments,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op8_bpe_stream": op8_bpe_stream,

@@ -10,7 +10,7 @@ from quern.llm.bpe_stream import encode_decode
 from quern.llm.decontam import search
 from quern.llm.jaccard_join import similar_components
 from quern.llm.kd_shards import kd_shards
-from quern.llm import pii
+from quern.llm import pii, secrets
 from quern.llm.shared import documents
 from quern.llm.simhash import with_edits
 from quern.llm.token_counts import section_tokens
@@ -58,6 +58,10 @@ def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir), secrets.fit(secrets.labelled_findings(spark)))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), shards=24)
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op8_bpe_stream": op8_bpe_stream,
+    "op9_secret_forest": op9_secret_forest,
     "op10_kd_shards": op10_kd_shards,
 }
 

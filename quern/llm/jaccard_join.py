@@ -2,10 +2,18 @@
 
 Copies are one point. Shingles have a global order, rare ones first by a sketch
 of how many documents hold them; two sets of similarity t share one of the
-first n - ceil(t n) + 1 of either, so those shingles are the buckets that
-`links.linked` searches: far documents, whose mutual distance is 1 and of which
-pivots tell nothing, meet in no bucket, and within buckets pivots, regions and
-windows of the Jaccard metric decide.
+first n - ceil(t n) + 1 of either, so those shingles are buckets in which links
+lie: far documents, whose mutual distance is 1 and of which pivots tell nothing,
+meet in no bucket.
+
+The most connected members of the buckets are the pivots. First every document
+lies in the Voronoi region of one pivot, the most connected that it meets, and
+the regions are joined. Buckets whose members then are in several components
+replicate them to their own pivot's region, and these regions are joined. In a
+region all members have their distance to the pivot; members of different
+components are compared if these distances differ by the radius at most, which
+the triangle inequality demands of a link. A region of more than REGION_SHINGLES
+is split by `links.linked`, which recurses with more pivots.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.links import linked
+from quern.llm.links import _relabel, linked, merged_buckets, pivots_of
 from quern.llm.shared import written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
@@ -26,6 +34,8 @@ from quern.llm.words import mix
 SKETCH_BITS = 18
 #: Ids of candidates up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles of all members of a region up to which one task joins it (64 MB).
+REGION_SHINGLES = 8_000_000
 
 
 def _sketch(texts: DataFrame, n: int) -> np.ndarray:
@@ -78,6 +88,75 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, n long, shingles array<long>")
 
 
+def _joined(sets: list[np.ndarray], ids: list[int], comps: list[int], pivot: int, part: int, whole: int) -> list[tuple[int, int]]:
+    """Links of a region that tie its components together; pivot: its place among the members."""
+    size = np.array([len(x) for x in sets])
+    label = np.unique(np.array(comps), return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+
+    def common(x: int, y: int) -> int:
+        a, b = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
+        k = np.searchsorted(b, a)
+        k[k == len(b)] = 0
+        return int((b[k] == a).sum())
+
+    def tie(x: int, y: int, both: int) -> None:
+        if whole * both >= part * (size[x] + size[y] - both):
+            links.append((ids[x], ids[y]))
+            label[label == label[y]] = label[x]
+
+    gap = np.zeros(len(sets))
+    for x in range(len(sets)):
+        if x != pivot:
+            both = common(x, pivot)
+            gap[x] = 1 - both / (size[x] + size[pivot] - both)
+            if label[x] != label[pivot]:
+                tie(pivot, x, both)
+    largest = np.argmax(np.bincount(label))
+    outside = np.flatnonzero((label != largest) & (np.arange(len(sets)) != pivot))
+    open_ = np.ones(len(sets), bool)
+    open_[pivot] = False
+    radius = 1 - part / whole + 1e-9
+    for y in outside[np.argsort(gap[outside], kind="stable")].tolist():
+        open_[y] = False
+        near = open_ & (label != label[y]) & (np.abs(gap - gap[y]) <= radius) & (part * size <= whole * size[y]) & (part * size[y] <= whole * size)
+        for x in np.flatnonzero(near).tolist():
+            if label[x] != label[y]:
+                tie(y, x, common(x, y))
+    return links
+
+
+def _region_links(regions: DataFrame, items: DataFrame, part: int, whole: int) -> DataFrame:
+    """Edges (a, b) of regions (region, id, component), each joined by one task; a region's id is its pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, sets, ids, comps = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            return _joined(sets, ids, comps, ids.index(region), part, whole) if len(ids) > 1 else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
+            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            for k, (r, i, c) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True)):
+                if r != region:
+                    out += links()
+                    region, sets, ids, comps = r, [], [], []
+                sets.append(flat[cuts[k] : cuts[k + 1]].copy())
+                ids.append(i)
+                comps.append(c)
+            yield _edges(out)
+        yield _edges(links())
+
+    rows = regions.join(items.select(F.col("id").alias("_i"), "shingles"), F.col("id") == F.col("_i")).select("region", "id", "component", "shingles")
+    return rows.repartition(F.col("region")).sortWithinPartitions("region", "id").mapInArrow(run, "a long, b long")
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
 def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs.
 
@@ -106,11 +185,43 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     def distance(x, y):
         both = F.size(F.array_intersect(x("shingles"), y("shingles")))
         near = 1 - both / (x("n") + y("n") - both)
-        # Sizes too far apart can't link; the exact test is in whole numbers.
+        # A link is decided in whole numbers.
         return F.when(whole * both >= part * (x("n") + y("n") - both), F.least(near, F.lit(1 - part / whole))).otherwise(F.greatest(near, F.lit(1 - part / whole + 1e-6)))
 
     close = lambda x, y: (part * x("n") <= whole * y("n")) & (part * y("n") <= whole * x("n"))
-    labels = linked(buckets, items, ["n", "shingles"], distance, 1 - part / whole, ("n",), close)
+    met = merged_buckets(buckets)
+    tops = pivots_of(met)
+    sizes = items.select(F.col("id").alias("_s"), "n")
+
+    def joined(regions: DataFrame) -> DataFrame:
+        """Links of all regions: small ones as they are, large ones by recursion."""
+        own = regions.select("region").distinct().select("region", F.col("region").alias("id"))
+        full = regions.select("region", "id").unionByName(own).distinct().join(sizes, F.col("id") == F.col("_s")).select("region", "id", "n")
+        full = written(full, "regions")
+        large = written(full.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > REGION_SHINGLES).select(F.col("region").alias("_g")), "large")
+        small = full
+        some = large.limit(1).count()
+        if some:
+            small = full.join(large, F.col("region") == F.col("_g"), "left_anti")
+        if labels is not None:
+            step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
+            small = small.join(step, F.col("id") == F.col("_l"), "left").select("region", "id", F.coalesce("_c", "id").alias("component"))
+        else:
+            small = small.select("region", "id", F.col("id").alias("component"))
+        found = written(_region_links(small, items, part, whole), "links")
+        if some:
+            more = linked(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("region").alias("bucket"), "id"), items, ["n", "shingles"], distance, 1 - part / whole, ("n",), close)
+            found = written(found.unionByName(more.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
+        return found
+
+    labels = None
+    homes = met.join(tops, F.col("bucket") == F.col("_b")).groupBy("id").agg(F.max_by("pivot", F.struct("rank", "pivot")).alias("region"))
+    labels = _relabel(None, joined(homes))
+    step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
+    placed = written(met.join(step, F.col("id") == F.col("_l"), "left").select("bucket", "id", F.coalesce("_c", "id").alias("c")), "placed")
+    apart = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(F.col("bucket").alias("_a"))
+    open_ = placed.join(apart, F.col("bucket") == F.col("_a")).join(tops, F.col("bucket") == F.col("_b")).select(F.col("pivot").alias("region"), "id").distinct()
+    labels = _relabel(labels, joined(open_))
     named = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2")
     reps = classes.select(F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep").join(labels.select(F.col("id").alias("_l"), "component"), F.col("rep") == F.col("_l"), "left")
     out = named.join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left")

@@ -77,6 +77,20 @@ def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.join(most, F.col("bucket") == F.col("_mb")).withColumn("main", F.col("component") == F.col("_mc")).drop("_mb", "_mc"), "level")
 
 
+def pivots_of(rows: DataFrame) -> DataFrame:
+    """(_b, pivot, rank) of each bucket of rows (bucket, id, degree): its most connected member."""
+    return rows.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("pivot"), F.max("degree").alias("rank")).select(F.col("bucket").alias("_b"), "pivot", "rank")
+
+
+def merged_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket, id, degree) without buckets of one member and with one of those with the same members; degree: members that an item meets."""
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("n > 1")
+    once = written(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"), "buckets")
+    members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
+    return written(members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree"), "met")
+
+
 def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, radius: float, carry: tuple[str, ...] = (), possible=None) -> DataFrame:
     """(id, component) of the items that have a link.
 
@@ -85,16 +99,12 @@ def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, r
     possible(x, y), from narrow columns named in carry, is false only for pairs
     that can't link.
     """
-    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("n > 1")
-    # Buckets with the same members: one of them.
-    once = written(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"), "buckets")
-    members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
-    degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
+    members = merged_buckets(buckets)
     narrow = items.select(F.col("id").alias("_item"), *[F.col(c).alias(f"_of_{c}") for c in carry])
-    now = members.join(degree, F.col("id") == F.col("_i")).join(narrow, F.col("id") == F.col("_item"))
+    now = members.join(narrow, F.col("id") == F.col("_item"))
     now = written(now.select("bucket", "id", "degree", F.array().cast("array<double>").alias("ds"), *[f"_of_{c}" for c in carry]), "rows")
     # Each item and the most connected pivot that it meets: most regions become one component.
-    tops = now.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("pivot"), F.max("degree").alias("rank")).select(F.col("bucket").alias("_b"), "pivot", "rank")
+    tops = pivots_of(now)
     homes = now.join(tops, F.col("bucket") == F.col("_b")).filter("id <> pivot").groupBy("id").agg(F.max_by("pivot", F.struct("rank", "pivot")).alias("pivot"))
     known = _distances(homes.select(F.col("id").alias("a"), F.col("pivot").alias("b")), None, items, payload, distance)
     labels = _relabel(None, written(known.filter(F.col("d") <= radius + _EPS).select(F.col("hi").alias("a"), F.col("lo").alias("b")), "edges"))

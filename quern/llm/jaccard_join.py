@@ -30,40 +30,54 @@ from quern.llm.shared import written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
 
-#: Counters of the sketch: a bounded table however large the corpus.
-SKETCH_BITS = 18
+#: Counters of the sketch, a bounded table however large the corpus, and those that travel in one row.
+SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Ids of candidates up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Shingles of all members of a region up to which one task joins it (64 MB).
 REGION_SHINGLES = 8_000_000
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """Documents by hash slot of their shingles, over all documents."""
+    """Documents by hash slot of their shingles, over all documents; a task counts up to 255 of a slot."""
+    blocks, width = 1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks * width, np.uint32)
         for batch in batches:
             for _, _, h, _ in shingle_sets(batch.column(0), n):
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+                slot, times = np.unique(_slots(h), return_counts=True)
+                total[slot] += times.astype(np.uint32)
+        rows = np.minimum(total, 255).astype(np.uint8).reshape(blocks, width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "counts"])
 
-    got = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2^SKETCH_BITS rows at most
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, np.zeros(width, np.uint32)) + np.frombuffer(c, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
+    parts = texts.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    out = np.zeros((blocks, width), np.uint32)
+    for r in parts.toLocalIterator():  # one row a block: 16 MB in all
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)
 
-def _prefixes(texts: DataFrame, n: int, part: int, whole: int, sketch: np.ndarray) -> DataFrame:
-    """id, n, s1, s2 (a 128-bit name of the set), tokens: the shingles whose buckets the document is in."""
+
+def _prefixes(texts: DataFrame, n: int, part: int, whole: int, sketch) -> DataFrame:
+    """id, n, s1, s2 (a 128-bit name of the set), tokens: the shingles whose buckets the document is in. sketch: a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, bounds in shingle_sets(batch.column(1), n):
                 size = np.diff(bounds)
                 doc = np.repeat(np.arange(j - i), size)
-                order = np.lexsort((h, sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
+                order = np.lexsort((h, sketch.value[_slots(h)], doc))
                 place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
                 need = np.where(size > 0, size + (-part * size) // whole + 1, 0)
                 tokens = h[order][place < np.repeat(need, size)]
@@ -126,8 +140,11 @@ def _joined(sets: list[np.ndarray], ids: list[int], comps: list[int], pivot: int
     return links
 
 
-def _region_links(regions: DataFrame, items: DataFrame, part: int, whole: int) -> DataFrame:
-    """Edges (a, b) of regions (region, id, component), each joined by one task; a region's id is its pivot."""
+def _region_links(regions: DataFrame, own: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """Edges (a, b) of regions (region, id, component), each joined by one task; a region's id is its pivot.
+
+    own: (id, text). Texts travel, as they are smaller than their sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, sets, ids, comps = None, [], [], []
@@ -137,19 +154,20 @@ def _region_links(regions: DataFrame, items: DataFrame, part: int, whole: int) -
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
-            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *lists.value_lengths().to_pylist()])
-            for k, (r, i, c) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True)):
-                if r != region:
-                    out += links()
-                    region, sets, ids, comps = r, [], [], []
-                sets.append(flat[cuts[k] : cuts[k + 1]].copy())
-                ids.append(i)
-                comps.append(c)
+            names = list(zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True))
+            for i, j, h, bounds in shingle_sets(batch.column(3), n):
+                for k in range(j - i):
+                    r, key, c = names[i + k]
+                    if r != region:
+                        out += links()
+                        region, sets, ids, comps = r, [], [], []
+                    sets.append(h[bounds[k] : bounds[k + 1]].copy())
+                    ids.append(key)
+                    comps.append(c)
             yield _edges(out)
         yield _edges(links())
 
-    rows = regions.join(items.select(F.col("id").alias("_i"), "shingles"), F.col("id") == F.col("_i")).select("region", "id", "component", "shingles")
+    rows = regions.join(own.select(F.col("id").alias("_i"), "text"), F.col("id") == F.col("_i")).select("region", "id", "component", "text")
     return rows.repartition(F.col("region")).sortWithinPartitions("region", "id").mapInArrow(run, "a long, b long")
 
 
@@ -169,18 +187,18 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = _sketch(texts, n)
+    sketch = spark.sparkContext.broadcast(_sketch(texts, n))
     rows = written(_prefixes(texts, n, part, whole, sketch), "prefixes")
     classes = written(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     points = rows.filter("n > 0").join(classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("id") == F.col("_r")) & (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
-    points = written(points.select("id", "n", "tokens").dropDuplicates(["id", "n"]), "points")
+    points = written(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"), "points")
     buckets = points.select(F.explode("tokens").alias("bucket"), "id")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("bucket").alias("_b"))
     buckets = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id"), "shared-prefixes")
     wanted = written(buckets.select(F.col("id").alias("_w")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    own = texts.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_w"), "left_semi")
-    items = written(_sets(own, n).filter("n > 0"), "sets")
+    own = texts.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_w"), "left_semi")
+    own = written(own, "candidates")
 
     def distance(x, y):
         both = F.size(F.array_intersect(x("shingles"), y("shingles")))
@@ -191,12 +209,12 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     close = lambda x, y: (part * x("n") <= whole * y("n")) & (part * y("n") <= whole * x("n"))
     met = merged_buckets(buckets)
     tops = pivots_of(met)
-    sizes = items.select(F.col("id").alias("_s"), "n")
+    sizes = points.groupBy(F.col("id").alias("_s")).agg(F.sum("n").alias("n"))
 
     def joined(regions: DataFrame) -> DataFrame:
         """Links of all regions: small ones as they are, large ones by recursion."""
-        own = regions.select("region").distinct().select("region", F.col("region").alias("id"))
-        full = regions.select("region", "id").unionByName(own).distinct().join(sizes, F.col("id") == F.col("_s")).select("region", "id", "n")
+        roots = regions.select("region").distinct().select("region", F.col("region").alias("id"))
+        full = regions.select("region", "id").unionByName(roots).distinct().join(sizes, F.col("id") == F.col("_s")).select("region", "id", "n")
         full = written(full, "regions")
         large = written(full.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > REGION_SHINGLES).select(F.col("region").alias("_g")), "large")
         small = full
@@ -208,8 +226,9 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
             small = small.join(step, F.col("id") == F.col("_l"), "left").select("region", "id", F.coalesce("_c", "id").alias("component"))
         else:
             small = small.select("region", "id", F.col("id").alias("component"))
-        found = written(_region_links(small, items, part, whole), "links")
+        found = written(_region_links(small, own, n, part, whole), "links")
         if some:
+            items = written(_sets(own.join(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("id").alias("_f")).distinct(), F.col("id") == F.col("_f"), "left_semi"), n).filter("n > 0"), "sets")
             more = linked(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("region").alias("bucket"), "id"), items, ["n", "shingles"], distance, 1 - part / whole, ("n",), close)
             found = written(found.unionByName(more.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
         return found

@@ -176,15 +176,15 @@ def snippet_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("snippet", F.array_join(F.collect_list("text").over(w), "\n")).filter(smart_case(F.col("text"), "license")).select("path", "line_no", "snippet")
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%1%' ORDER BY p_name, p_partkey LIMIT 11 OFFSET 10")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%r_ng%' ORDER BY p_name, p_partkey LIMIT 11 OFFSET 10")
 def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One more row than the page of ten tells whether there are more."""
-    return views.table(spark, sf_dir, "part").filter(F.lower("p_name").like("%1%")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).orderBy("name", "id").offset(10).limit(11)
+    return views.table(spark, sf_dir, "part").filter(F.lower("p_name").like("%r_ng%")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).orderBy("name", "id").offset(10).limit(11)
 
 
-@query("SELECT path, caller, call_text, site, line FROM call_edges WHERE lower(call_text) LIKE '%part_10%' ORDER BY call_text, site, line, caller LIMIT 50", "call_edges")
+@query("SELECT path, caller, call_text, site, line FROM call_edges WHERE lower(call_text) LIKE '%blue_b%' ORDER BY call_text, site, line, caller LIMIT 50", "call_edges")
 def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.call_edges(spark, sf_dir).filter(F.lower("call_text").like("%part_10%")).orderBy("call_text", "site", "line", "caller").limit(50)
+    return views.call_edges(spark, sf_dir).filter(F.lower("call_text").like("%blue_b%")).orderBy("call_text", "site", "line", "caller").limit(50)
 
 
 @query("SELECT caller, count(*) AS calls, CAST(CASE WHEN count(*) > 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence FROM call_edges WHERE path = 'Brand#11' GROUP BY caller", "call_edges")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Fixed value: runs that the token estimate counts, with Unicode letters and digits in either engine.
 TOKEN_RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 #: What is scrubbed from evidence, in this order; the first keeps its key.
-KEYED_SECRET = r"(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)[\"']?[^\s\"',;]+[\"']?"
-SCRUB_PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\bAKIA[0-9A-Z]{16}\b", r"\b[0-9a-f]{32,64}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\b(?:\d[ -]?){13,16}\b", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
+KEYED_SECRET = r"(?i)(^|[^0-9A-Za-z_])(api[_-]?key|token|secret|password)([ \t]*[:=][ \t]*)[\"']?[^ \t\r\n\"',;]+[\"']?"
+SCRUB_PATTERNS = (r"()[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(^|[^0-9A-Za-z_])AKIA[0-9A-Z]{16}", r"(^|[^0-9A-Za-z_])[0-9a-f]{32,64}", r"(^|[^0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(^|[^0-9A-Za-z_])(?:[0-9][ -]?){13,16}", r"(^|[^0-9A-Za-z_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 REDACTED = "[redacted]"
 
 
@@ -28,8 +28,8 @@ def token_estimate_bytes(text: Column) -> Column:
 
 def scrubbed(text: Column) -> Column:
     """Keyed secrets first, then the other patterns, each replaced by a mark."""
-    keyed = F.regexp_replace(text, KEYED_SECRET, f"$1={REDACTED}")
-    return reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), SCRUB_PATTERNS, keyed)
+    keyed = F.regexp_replace(text, KEYED_SECRET, f"$1$2={REDACTED}")
+    return reduce(lambda t, p: F.regexp_replace(t, p, f"$1{REDACTED}"), SCRUB_PATTERNS, keyed)
 
 
 def slug(text: Column) -> Column:

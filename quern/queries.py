@@ -1,4 +1,4 @@
 """All queries of the library proper."""
 
-from quern.operators import findings, history, inventory, search  # noqa: F401
+from quern.operators import findings, graph, history, inventory, search, sessions  # noqa: F401
 from quern.registry import ORACLE_SQL, QUERIES  # noqa: F401

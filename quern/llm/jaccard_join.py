@@ -2,9 +2,9 @@
 
 Copies are one point. Shingles have a global order, rare ones first by a sketch
 of how many documents hold them; two sets of similarity t share one of the
-first n - ceil(t n) + 1 of either, so those shingles are buckets in which links
-lie: far documents, whose mutual distance is 1 and of which pivots tell nothing,
-meet in no bucket.
+first n - ceil(t n) + 1 of either, so those shingles, by windows of set size, are
+buckets in which links lie: far documents, whose mutual distance is 1 and of
+which pivots tell nothing, meet in no bucket.
 
 The most connected members of the buckets are the pivots. First every document
 lies in the Voronoi region of one pivot, the most connected that it meets, and
@@ -18,6 +18,7 @@ is split by `links.linked`, which recurses with more pivots.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,10 +193,17 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     classes = written(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     points = rows.filter("n > 0").join(classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("id") == F.col("_r")) & (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
     points = written(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"), "points")
-    buckets = points.select(F.explode("tokens").alias("bucket"), "id")
+    buckets = points.select(F.posexplode("tokens").alias("place", "bucket"), "id", "n")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("bucket").alias("_b"))
-    buckets = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id"), "shared-prefixes")
-    wanted = written(buckets.select(F.col("id").alias("_w")).distinct(), "wanted")
+    # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones. The smaller of a
+    # pair shares one of its first n - ceil(2t / (1 + t) n) + 1, so a document goes to the stratum of larger ones with those alone.
+    stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part + 1e-9)).cast("int")
+    as_smaller = F.col("place") < F.col("n") - F.ceil(2 * part * F.col("n") / (part + whole) - 1e-6) + 1
+    strata = F.array_compact(F.array(stratum, F.when(as_smaller, stratum + 1)))
+    buckets = buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", F.explode(strata).alias("k"))
+    buckets = written(buckets.select(F.xxhash64("bucket", "k").alias("bucket"), "id"), "shared-prefixes")
+    met = merged_buckets(buckets)
+    wanted = written(met.select(F.col("id").alias("_w")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     own = texts.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_w"), "left_semi")
     own = written(own, "candidates")
@@ -207,7 +215,6 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
         return F.when(whole * both >= part * (x("n") + y("n") - both), F.least(near, F.lit(1 - part / whole))).otherwise(F.greatest(near, F.lit(1 - part / whole + 1e-6)))
 
     close = lambda x, y: (part * x("n") <= whole * y("n")) & (part * y("n") <= whole * x("n"))
-    met = merged_buckets(buckets)
     tops = pivots_of(met)
     sizes = points.groupBy(F.col("id").alias("_s")).agg(F.sum("n").alias("n"))
 

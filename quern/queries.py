@@ -1,4 +1,5 @@
 """All queries of the library proper."""
 
-from quern.operators import findings, graph, history, inventory, search, sessions  # noqa: F401
+from quern.operators import code_queries, findings, graph, history, inventory, search, sessions  # noqa: F401
 from quern.registry import ORACLE_SQL, QUERIES  # noqa: F401
+from quern.streaming import logs  # noqa: F401

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.links import _relabel, linked, merged_buckets, pivots_of
-from quern.llm.shared import written
+from quern.llm.shared import kept, written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
 
@@ -189,10 +189,10 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, n))
-    rows = written(_prefixes(texts, n, part, whole, sketch), "prefixes")
-    classes = written(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    rows = kept(_prefixes(texts, n, part, whole, sketch))
+    classes = kept(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     points = rows.filter("n > 0").join(classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("id") == F.col("_r")) & (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
-    points = written(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"), "points")
+    points = kept(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"))
     buckets = points.select(F.posexplode("tokens").alias("place", "bucket"), "id", "n")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("bucket").alias("_b"))
     # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones. The smaller of a
@@ -201,12 +201,12 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     as_smaller = F.col("place") < F.col("n") - F.ceil(2 * part * F.col("n") / (part + whole) - 1e-6) + 1
     strata = F.array_compact(F.array(stratum, F.when(as_smaller, stratum + 1)))
     buckets = buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", F.explode(strata).alias("k"))
-    buckets = written(buckets.select(F.xxhash64("bucket", "k").alias("bucket"), "id"), "shared-prefixes")
+    buckets = kept(buckets.select(F.xxhash64("bucket", "k").alias("bucket"), "id"))
     met = merged_buckets(buckets)
-    wanted = written(met.select(F.col("id").alias("_w")).distinct(), "wanted")
+    wanted = kept(met.select(F.col("id").alias("_w")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     own = texts.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_w"), "left_semi")
-    own = written(own, "candidates")
+    own = kept(own)
 
     def distance(x, y):
         both = F.size(F.array_intersect(x("shingles"), y("shingles")))
@@ -222,8 +222,8 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
         """Links of all regions: small ones as they are, large ones by recursion."""
         roots = regions.select("region").distinct().select("region", F.col("region").alias("id"))
         full = regions.select("region", "id").unionByName(roots).distinct().join(sizes, F.col("id") == F.col("_s")).select("region", "id", "n")
-        full = written(full, "regions")
-        large = written(full.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > REGION_SHINGLES).select(F.col("region").alias("_g")), "large")
+        full = kept(full)
+        large = kept(full.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > REGION_SHINGLES).select(F.col("region").alias("_g")))
         small = full
         some = large.limit(1).count()
         if some:
@@ -244,7 +244,7 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     homes = met.join(tops, F.col("bucket") == F.col("_b")).groupBy("id").agg(F.max_by("pivot", F.struct("rank", "pivot")).alias("region"))
     labels = _relabel(None, joined(homes))
     step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
-    placed = written(met.join(step, F.col("id") == F.col("_l"), "left").select("bucket", "id", F.coalesce("_c", "id").alias("c")), "placed")
+    placed = kept(met.join(step, F.col("id") == F.col("_l"), "left").select("bucket", "id", F.coalesce("_c", "id").alias("c")))
     apart = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(F.col("bucket").alias("_a"))
     open_ = placed.join(apart, F.col("bucket") == F.col("_a")).join(tops, F.col("bucket") == F.col("_b")).select(F.col("pivot").alias("region"), "id").distinct()
     labels = _relabel(labels, joined(open_))

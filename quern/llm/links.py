@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import written
+from quern.llm.shared import kept, written
 
 LEAF = 2
 PAIRS_PER_ROW = 4
@@ -85,10 +85,10 @@ def pivots_of(rows: DataFrame) -> DataFrame:
 def merged_buckets(buckets: DataFrame) -> DataFrame:
     """(bucket, id, degree) without buckets of one member and with one of those with the same members; degree: members that an item meets."""
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")).filter("n > 1")
-    once = written(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"), "buckets")
-    members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
+    once = kept(size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n"))
+    members = kept(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"))
     degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
-    return written(members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree"), "met")
+    return kept(members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree"))
 
 
 def linked(buckets: DataFrame, items: DataFrame, payload: list[str], distance, radius: float, carry: tuple[str, ...] = (), possible=None) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and held by the executors; what a lost executor held is computed anew from its lineage.
+
+    For tables that several jobs read and whose lineage is short. Loops use
+    written() instead.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

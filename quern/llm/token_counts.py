@@ -90,6 +90,8 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
         lists = sections.select(F.col("doc_id").cast("long").alias("_of"), F.struct(F.col("section").cast("long"), F.col("start").cast("long"), F.col("end").cast("long")).alias("s")).groupBy("_of").agg(F.sort_array(F.collect_list("s")).alias("sections"))
         narrow = narrow.join(lists, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "sections")
 
+    given = sections is not None  # the tasks don't get the table itself
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, size = cached(tokenizer), token_bytes(tokenizer)
         for batch in batches:
@@ -104,7 +106,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
                     data = np.frombuffer(text.encode(), np.uint8)
                     ends = np.cumsum(size[all_ids[cuts[k] : cuts[k] + counts[k]]])
                     heads = None if len(data) == len(text) else np.flatnonzero((data & 0xC0) != 0x80)
-                    if sections is None:
+                    if not given:
                         a, b = _lines(data, heads)
                         names = np.arange(len(a))
                         ca, cb = (a, b) if heads is None else (np.searchsorted(heads, a), np.searchsorted(heads, b))

@@ -194,7 +194,9 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     points = rows.filter("n > 0").join(classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("id") == F.col("_r")) & (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
     points = written(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"), "points")
     buckets = points.select(F.posexplode("tokens").alias("place", "bucket"), "id", "n")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("bucket").alias("_b"))
+    # A shingle of one document links nothing, nor does one of two whose sizes are too far apart.
+    held = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = held.filter((F.col("c") > 2) | ((F.col("c") == 2) & (part * F.col("most") <= whole * F.col("least")))).select(F.col("bucket").alias("_b"))
     # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones. The smaller of a
     # pair shares one of its first n - ceil(2t / (1 + t) n) + 1, so a document goes to the stratum of larger ones with those alone.
     stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part + 1e-9)).cast("int")

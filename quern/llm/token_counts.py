@@ -65,7 +65,7 @@ def join_spans(ends: np.ndarray, a: np.ndarray, b: np.ndarray, rule: str) -> tup
     return np.where(b > a, n, 0).astype(float), crossing
 
 
-def _lines(data: np.ndarray, char_at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(data == 10) + 1
     if len(cuts) and cuts[-1] == len(data):
         cuts = cuts[:-1]
@@ -87,7 +87,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if sections is not None:
-        lists = sections.select(F.col("doc_id").cast("long").alias("_of"), F.struct(F.col("section").cast("long"), F.col("start").cast("long"), F.col("end").cast("long")).alias("s")).groupBy("_of").agg(F.sort_array(F.collect_list("s")).alias("sections"))
+        lists = sections.select(F.col("doc_id").cast("long").alias("_of"), F.struct(*[F.col(c).cast("long").alias(c) for c in ("section", "start", "end")]).alias("s")).groupBy("_of").agg(F.sort_array(F.collect_list("s")).alias("sections"))
         narrow = narrow.join(lists, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "sections")
 
     given = sections is not None  # the tasks don't get the table itself
@@ -107,7 +107,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
                     ends = np.cumsum(size[all_ids[cuts[k] : cuts[k] + counts[k]]])
                     heads = None if len(data) == len(text) else np.flatnonzero((data & 0xC0) != 0x80)
                     if not given:
-                        a, b = _lines(data, heads)
+                        a, b = _lines(data)
                         names = np.arange(len(a))
                         ca, cb = (a, b) if heads is None else (np.searchsorted(heads, a), np.searchsorted(heads, b))
                     else:

@@ -36,7 +36,7 @@ STRIDE = 4096
 #: Pieces longer than this are merged by a heap.
 SHORT = 48
 #: Distinct pieces that a worker remembers, of at most MEMO_LENGTH characters each.
-REMEMBERED, MEMO_LENGTH = 500_000, 64
+REMEMBERED, MEMO_LENGTH = 200_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:

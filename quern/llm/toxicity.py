@@ -37,6 +37,8 @@ STEMS = range(3, 13)
 #: What a word without a score of its own loses.
 DRIFT = 0.1
 BINS, STEP = 400, 0.25
+#: Bytes of text that are worked on at once.
+RUN = 1 << 19
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -84,13 +86,13 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tu
 
 def features(w, member=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, hashes of one feature of theirs), for each kind of feature; only those that member() lets through."""
-    kinds = [(w.hashes(), np.arange(len(w.start)))]
     size = w.end - w.start
-    for n in STEMS:
-        longer = np.flatnonzero(size > n)
-        stem = type(w)(w.data, w.start[longer], w.start[longer] + n, w.doc, w.first, w.text_start)
-        kinds.append((stem.hashes() ^ np.uint64(0x5DEECE66D), longer))
-    for h, words in kinds:
+    for n in (0, *STEMS):
+        if n:
+            words = np.flatnonzero(size > n)
+            h = type(w)(w.data, w.start[words], w.start[words] + n, w.doc, w.first, w.text_start).hashes() ^ np.uint64(0x5DEECE66D)
+        else:
+            words, h = np.arange(len(w.start)), w.hashes()
         if member is not None:
             k = np.flatnonzero(member(h))
             h, words = h[k], words[k]
@@ -129,7 +131,7 @@ def _scored(w, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def _scan(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float, float]]]]:
     """The statistic of each text, and its segments with E < 1 as (start, end, score, E), in bytes."""
     stats, found = np.zeros(len(texts)), [[] for _ in range(len(texts))]
-    for i, _, data, bounds in chunks(texts, "unicode"):
+    for i, _, data, bounds in chunks(texts, "unicode", RUN):
         w = words_of(data, bounds, _BREAK)
         if not len(w.start) or not len(model.terms):
             continue
@@ -158,7 +160,7 @@ def _counts(df: DataFrame, per_doc, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in chunks(batch.column(0), "unicode"):
+            for i, j, data, bounds in chunks(batch.column(0), "unicode", RUN):
                 yield from per_doc(words_of(data, bounds, _BREAK), batch.slice(i, j - i))
 
     return df.mapInArrow(run, schema)

@@ -91,8 +91,8 @@ def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -
     return Words(data, start, end, doc, first, bounds[:-1])
 
 
-def chunks(texts: pa.Array, lower: str | None = "ascii") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text + 1, bytes, bounds) of runs of about CHUNK bytes; a null text is empty.
+def chunks(texts: pa.Array, lower: str | None = "ascii", most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, bytes, bounds) of runs of about `most` bytes; a null text is empty.
 
     lower: `ascii` lower-cases A-Z, `unicode` every letter, one code point for one.
     """
@@ -109,7 +109,7 @@ def chunks(texts: pa.Array, lower: str | None = "ascii") -> Iterator[tuple[int,
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         data = raw[offsets[i] : offsets[j]]
         yield i, j, _LOWER[data] if lower == "ascii" else data, offsets[i : j + 1] - offsets[i]
         i = j

@@ -26,6 +26,8 @@ from quern.llm.words import Words, chunks
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters for which both agree on letters, digits and spaces (test_pretokens holds them against each other).
 KNOWN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞€一-龥]*")
+#: Bytes of text whose pieces are looked up at once.
+RUN = 2 << 20
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 
@@ -158,7 +160,7 @@ class Cached:
 
     def encode(self, texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, last text + 1, ids end to end, ids of each text) of an Arrow array of strings; a null text is empty."""
-        for i, j, data, bounds in chunks(texts, lower=None):
+        for i, j, data, bounds in chunks(texts, None, RUN):
             yield i, j, *self._run(data, bounds)
 
 

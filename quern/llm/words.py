@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,6 +91,13 @@ def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -
     return Words(data, start, end, doc, first, bounds[:-1])
 
 
+def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of strings."""
+    kind, width = (np.int64, 8) if pa.types.is_large_string(texts.type) else (np.int32, 4)
+    offsets = np.frombuffer(texts.buffers()[1], kind, len(texts) + 1, texts.offset * width)
+    return offsets.astype(np.int64), np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+
+
 def chunks(texts: pa.Array, lower: str | None = "ascii", most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, bytes, bounds) of runs of about `most` bytes; a null text is empty.
 
@@ -100,16 +107,16 @@ def chunks(texts: pa.Array, lower: str | None = "ascii", most: int = CHUNK) -> I
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
-    if lower == "unicode":
-        texts = pc.utf8_lower(texts)
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    offsets, raw = _parts(texts)
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        data = raw[offsets[i] : offsets[j]]
-        yield i, j, _LOWER[data] if lower == "ascii" else data, offsets[i : j + 1] - offsets[i]
+        if lower == "unicode":
+            bounds, data = _parts(pc.utf8_lower(texts.slice(i, j - i)))
+        else:
+            bounds, data = offsets[i : j + 1], raw
+        data = data[bounds[0] : bounds[-1]]
+        yield i, j, _LOWER[data] if lower == "ascii" else data, bounds - bounds[0]
         i = j

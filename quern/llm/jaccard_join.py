@@ -168,7 +168,8 @@ def _region_links(regions: DataFrame, own: DataFrame, n: int, part: int, whole:
             yield _edges(out)
         yield _edges(links())
 
-    rows = regions.join(own.select(F.col("id").alias("_i"), "text"), F.col("id") == F.col("_i")).select("region", "id", "component", "text")
+    small = F.broadcast(regions) if regions.count() <= BROADCAST_IDS else regions
+    rows = own.select(F.col("id").alias("_i"), "text").join(small, F.col("id") == F.col("_i")).select("region", "id", "component", "text")
     return rows.repartition(F.col("region")).sortWithinPartitions("region", "id").mapInArrow(run, "a long, b long")
 
 
@@ -235,6 +236,7 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
             small = small.join(step, F.col("id") == F.col("_l"), "left").select("region", "id", F.coalesce("_c", "id").alias("component"))
         else:
             small = small.select("region", "id", F.col("id").alias("component"))
+        small = kept(small)
         found = written(_region_links(small, own, n, part, whole), "links")
         if some:
             items = written(_sets(own.join(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("id").alias("_f")).distinct(), F.col("id") == F.col("_f"), "left_semi"), n).filter("n > 0"), "sets")

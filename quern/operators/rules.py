@@ -58,8 +58,9 @@ class Facts:
 
     @staticmethod
     def of(files: DataFrame, at: Thresholds | None = None) -> Facts:
+        """Parsed once: every rule reads the same held tables."""
         files = files.select("path", "text")
-        return Facts(files, parsing.python_facts(files.filter(F.col("path").endswith(".py"))), parsing.ts_symbols(files.filter(_ts())), parsing.go_symbols(files.filter(F.col("path").endswith(".go"))), at or Thresholds())
+        return Facts(files, parsing.python_facts(files.filter(F.col("path").endswith(".py"))).persist(), parsing.ts_symbols(files.filter(_ts())).persist(), parsing.go_symbols(files.filter(F.col("path").endswith(".go"))).persist(), at or Thresholds())
 
 
 RULES: dict[str, Callable[[Facts], DataFrame]] = {}

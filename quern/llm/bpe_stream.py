@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pretokens import KNOWN
+from quern.llm.shared import bounded_batches
 
 #: Symbols read beyond the lookahead before tokens are emitted.
 STRIDE = 4096
@@ -244,4 +245,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string() if digests else pa.binary()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import chunks, mix, words_of
+from quern.llm.shared import bounded_batches
+from quern.llm.words import chunks, words_of
 
 STEPS, SAMPLES, STRIDE = 12, 8, 3
 TARGET_RECALL = 0.95
@@ -188,7 +189,7 @@ def search(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
     null item ids and texts are ignored. The benchmark is read by the driver,
     in blocks of BLOCK_ITEMS items that tasks get with their code. No shuffle.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for index in _indexes(benchmark):
 
@@ -237,5 +238,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
                         clean[i + d] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.links import _relabel, linked, merged_buckets, pivots_of
-from quern.llm.shared import kept, written
+from quern.llm.shared import bounded_batches, kept, written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
 
@@ -188,7 +188,7 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     a null id join no component but their class's.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, n))
     rows = kept(_prefixes(texts, n, part, whole, sketch))
     classes = kept(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))

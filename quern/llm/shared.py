@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
+#: Rows that an Arrow batch of texts holds at most, so that a task's batches stay small beside its share of memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (tests), one temporary folder a process."""
     named = spark.conf.get("spark.checkpoint.dir", None)

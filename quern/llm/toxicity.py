@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import written
+from quern.llm.shared import bounded_batches, written
 from quern.llm.words import chunks, mix, words_of
 
 #: Bounds of what is fitted: labelled rows read, and words the model may hold.
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from rows of labels (doc_id, toxic) that aren't held out. Without rows of both classes every text gets the same score."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     sample = written(marks.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "tox-labels")
-    table = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    table = bounded_batches(docs).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     # At most max_labelled rows of two numbers.
     labelled = table.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_text", "_id", "toxic")
     families = _counts(labelled, _family, "doc_id long, toxic int, family long")
@@ -339,7 +339,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", *["passages"] * passages])
 
     kind = "doc_id long, score double, predicted int" + ", passages array<struct<start: long, end: long, score: double, evalue: double>>" * passages
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    out = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *["passages"] * passages)
 
 
@@ -351,4 +351,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             stat, _ = _scan(batch.column(batch.schema.get_field_index(text_col)), model)
             yield batch.filter(pa.array(model.probability(stat) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -304,7 +304,7 @@ _UNC = "unc AS (SELECT path, CAST(unnest(range(1, line_count + 1, 3)) AS INTEGER
 
 @query(f", {_UNC} SELECT s.path, s.name, s.start_line, count(*) AS uncovered FROM symbols s JOIN unc u ON s.path = u.path AND u.line BETWEEN s.start_line AND s.end_line WHERE s.kind = 'function' GROUP BY ALL ORDER BY uncovered DESC, s.path, s.start_line LIMIT 200", "symbols")
 def uncovered_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unc = views.files(spark, sf_dir).filter("doc_id % 4 = 0 and line_count > 0").select(F.col("path").alias("_p"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("line_count"), F.lit(3).cast("long"))).alias("line"))
+    unc = views.files(spark, sf_dir).filter("line_count > 0").select(F.col("path").alias("_p"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("line_count"), F.lit(3).cast("long"))).alias("line"))
     s = views.symbols(spark, sf_dir).filter("kind = 'function'")
     j = s.join(unc, (F.col("path") == F.col("_p")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
     return j.groupBy("path", "name", "start_line").agg(F.count(F.lit(1)).alias("uncovered")).orderBy(F.desc("uncovered"), "path", "start_line").limit(200)

@@ -167,10 +167,10 @@ def gated_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT id, severity, headline OR NOT any_headline AS shown FROM (SELECT id, severity, severity = 'error' AND confidence >= 0.5 AS headline, bool_or(severity = 'error' AND confidence >= 0.5) OVER () AS any_headline FROM findings WHERE status = 'open' ORDER BY id LIMIT 500)""", "findings")
 def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline findings; all of the page if it has none."""
-    page = views.findings(spark, sf_dir).filter("status = 'open'").orderBy("id").limit(500).withColumn("headline", (F.col("severity") == "error") & (F.col("confidence") >= 0.5))
-    some = page.agg(F.coalesce(F.bool_or("headline"), F.lit(False)).alias("some"))
-    return page.crossJoin(F.broadcast(some)).select("id", "severity", (F.col("headline") | ~F.col("some")).alias("shown"))  # some is one row
+    """Headline findings; all that are open if there are none."""
+    opened = views.findings(spark, sf_dir).filter("status = 'open'").withColumn("headline", (F.col("severity") == "error") & (F.col("confidence") >= 0.5))
+    some = opened.agg(F.coalesce(F.bool_or("headline"), F.lit(False)).alias("some"))
+    return opened.crossJoin(F.broadcast(some)).select("id", "severity", (F.col("headline") | ~F.col("some")).alias("shown"))  # some is one row
 
 
 _PRIORITY = f"{_case('severity', SEVERITY_RANK, 0)} DESC, confidence DESC, id"

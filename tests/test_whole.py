@@ -13,6 +13,7 @@ BOUNDS = {
     "explain_finding": [" WHERE f.id < 500"],
     "select_tests": [" AND t.doc_id < 200"],
     "same_directory": [" WHERE doc_id < 50"],
+    "severity_gate": [" ORDER BY id LIMIT 500"],
     "uncovered_symbol": [" WHERE doc_id % 4 = 0"],
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import written
+from quern.llm.shared import discard, written
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b): the least id that it reaches. Loops and repeats do no harm.
 
-    Each round is written to the shared folder. The number of rounds grows with
+    Each round is written to the shared folder, as is the result. The number of rounds grows with
     the logarithm of the longest path.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -32,6 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
         if (got["n"], got["h"]) == sign or not got["n"]:
             break
-        sign = (got["n"], got["h"])
+        sign, before = (got["n"], got["h"]), now
         now = written(_stars(_stars(now, small=False), small=True), "cc")
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        discard(before)
+    ends = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    out = written(ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "labels")
+    discard(now)
+    return out

@@ -1,19 +1,17 @@
 """Exact Jaccard join of documents on word shingles, as components.
 
-Copies are one point. Shingles have a global order, rare ones first by a sketch
-of how many documents hold them; two sets of similarity t share one of the
-first n - ceil(t n) + 1 of either, so those shingles, by windows of set size, are
-buckets in which links lie: far documents, whose mutual distance is 1 and of
-which pivots tell nothing, meet in no bucket.
-
-The most connected members of the buckets are the pivots. First every document
-lies in the Voronoi region of one pivot, the most connected that it meets, and
-the regions are joined. Buckets whose members then are in several components
-replicate them to their own pivot's region, and these regions are joined. In a
-region all members have their distance to the pivot; members of different
-components are compared if these distances differ by the radius at most, which
-the triangle inequality demands of a link. A region of more than REGION_SHINGLES
-is split by `links.linked`, which recurses with more pivots.
+Copies are one point. In Jaccard space unrelated documents are all at distance 1
+from each other and from any pivot, so the space is first cut into pieces in
+which distances differ. Shingles have a global order, rare ones first by a
+sketch of how many documents hold them; two sets of similarity t share one of
+the first n - ceil(t n) + 1 of either, so those shingles, by windows of set
+size, are buckets in which all links lie.
+
+In these pieces `regions.region_components` works: pivots, Voronoi regions of
+the nearest pivot, windows by the triangle inequality that replicate boundary
+documents, recursion, all on measured distances. What a document is measured
+against is dealt to tasks by pivot and slice of SLICE documents, so no pivot's
+documents meet in one task.
 """
 
 from __future__ import annotations
@@ -26,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.links import _relabel, linked, merged_buckets, pivots_of
-from quern.llm.shared import bounded_batches, kept, written
+from quern.llm.regions import region_components, relabel
+from quern.llm.shared import bounded_batches, discard, written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
 
 #: Counters of the sketch, a bounded table however large the corpus, and those that travel in one row.
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Ids of candidates up to which they are broadcast; more are joined by a shuffle.
+#: Rows of ids up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Shingles of all members of a region up to which one task joins it (64 MB).
-REGION_SHINGLES = 8_000_000
+#: Documents that one task measures against a pivot in one go.
+SLICE = 1000
+#: Distance from a pivot within which its Voronoi region lies.
+BALL = 0.5
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -70,114 +70,105 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _names(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """128 bits that name each set: two sums of its members' mixed hashes."""
+    sums = []
+    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9F3B):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
+        sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return sums
+
+
 def _prefixes(texts: DataFrame, n: int, part: int, whole: int, sketch) -> DataFrame:
-    """id, n, s1, s2 (a 128-bit name of the set), tokens: the shingles whose buckets the document is in. sketch: a broadcast."""
+    """id, row, n, s1, s2 (the set's name), tokens: the shingles whose buckets the document is in. sketch: a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, h, bounds in shingle_sets(batch.column(1), n):
+            for i, j, h, bounds in shingle_sets(batch.column(2), n):
                 size = np.diff(bounds)
                 doc = np.repeat(np.arange(j - i), size)
                 order = np.lexsort((h, sketch.value[_slots(h)], doc))
                 place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
                 need = np.where(size > 0, size + (-part * size) // whole + 1, 0)
                 tokens = h[order][place < np.repeat(need, size)]
-                sums = []
-                for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9F3B):
-                    total = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
-                    sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 offsets = np.zeros(j - i + 1, np.int32)
                 np.cumsum(need, out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))], names=["id", "n", "s1", "s2", "tokens"])
-
-    return texts.mapInArrow(run, "id long, n long, s1 long, s2 long, tokens array<long>")
-
-
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, h, bounds in shingle_sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "n", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))
+                own = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+                columns = [*own, pa.array(size.astype(np.int64)), *map(pa.array, _names(h, bounds)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "s1", "s2", "tokens"])
 
-    return texts.mapInArrow(run, "id long, n long, shingles array<long>")
+    return texts.select("id", "row", "text").mapInArrow(run, "id long, row long, n long, s1 long, s2 long, tokens array<long>")
 
 
-def _joined(sets: list[np.ndarray], ids: list[int], comps: list[int], pivot: int, part: int, whole: int) -> list[tuple[int, int]]:
-    """Links of a region that tie its components together; pivot: its place among the members."""
-    size = np.array([len(x) for x in sets])
-    label = np.unique(np.array(comps), return_inverse=True)[1]
-    links: list[tuple[int, int]] = []
-
-    def common(x: int, y: int) -> int:
-        a, b = (sets[x], sets[y]) if size[x] <= size[y] else (sets[y], sets[x])
-        k = np.searchsorted(b, a)
-        k[k == len(b)] = 0
-        return int((b[k] == a).sum())
-
-    def tie(x: int, y: int, both: int) -> None:
-        if whole * both >= part * (size[x] + size[y] - both):
-            links.append((ids[x], ids[y]))
-            label[label == label[y]] = label[x]
+def _buckets(points: DataFrame, part: int, whole: int) -> DataFrame:
+    """(bucket, id): any two points that link share one."""
+    held = points.select(F.posexplode("tokens").alias("place", "bucket"), F.col("key").alias("id"), "n")
+    # A shingle of one document links nothing, nor does one of two whose sizes are too far apart.
+    per = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    meet = (F.col("c") > 2) | ((F.col("c") == 2) & (part * F.col("most") <= whole * F.col("least")))
+    shared = per.filter(meet).select(F.col("bucket").alias("_b"))
+    # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones.
+    # The smaller of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1, so a document goes to the stratum
+    # of larger ones with those alone.
+    stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part + 1e-9)).cast("int")
+    as_smaller = F.col("place") < F.col("n") - F.ceil(2 * part * F.col("n") / (part + whole) - 1e-6) + 1
+    strata = F.array_compact(F.array(stratum, F.when(as_smaller, stratum + 1)))
+    kept = held.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", F.explode(strata).alias("k"))
+    return written(kept.select(F.xxhash64("bucket", "k").alias("bucket"), "id"), "buckets")
 
-    gap = np.zeros(len(sets))
-    for x in range(len(sets)):
-        if x != pivot:
-            both = common(x, pivot)
-            gap[x] = 1 - both / (size[x] + size[pivot] - both)
-            if label[x] != label[pivot]:
-                tie(pivot, x, both)
-    largest = np.argmax(np.bincount(label))
-    outside = np.flatnonzero((label != largest) & (np.arange(len(sets)) != pivot))
-    open_ = np.ones(len(sets), bool)
-    open_[pivot] = False
-    radius = 1 - part / whole + 1e-9
-    for y in outside[np.argsort(gap[outside], kind="stable")].tolist():
-        open_[y] = False
-        near = open_ & (label != label[y]) & (np.abs(gap - gap[y]) <= radius) & (part * size <= whole * size[y]) & (part * size[y] <= whole * size)
-        for x in np.flatnonzero(near).tolist():
-            if label[x] != label[y]:
-                tie(y, x, common(x, y))
-    return links
 
+def _joined(few: DataFrame, many: DataFrame, on) -> DataFrame:
+    """many joined with few, which is broadcast while its rows, counted, are at most BROADCAST_IDS."""
+    return many.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, on)
 
-def _region_links(regions: DataFrame, own: DataFrame, n: int, part: int, whole: int) -> DataFrame:
-    """Edges (a, b) of regions (region, id, component), each joined by one task; a region's id is its pivot.
 
-    own: (id, text). Texts travel, as they are smaller than their sets.
-    """
+def _measured(pairs: DataFrame, own: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """(a, b, d, link) of pairs (a, b) of own (id, s1, text): their sets' Jaccard distance. Texts travel, as they are smaller than their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, sets, ids, comps = None, [], [], []
-
-        def links() -> list[tuple[int, int]]:
-            return _joined(sets, ids, comps, ids.index(region), part, whole) if len(ids) > 1 else []
-
+        at, pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            names = list(zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True))
-            for i, j, h, bounds in shingle_sets(batch.column(3), n):
-                for k in range(j - i):
-                    r, key, c = names[i + k]
-                    if r != region:
-                        out += links()
-                        region, sets, ids, comps = r, [], [], []
-                    sets.append(h[bounds[k] : bounds[k + 1]].copy())
-                    ids.append(key)
-                    comps.append(c)
-            yield _edges(out)
-        yield _edges(links())
-
-    small = F.broadcast(regions) if regions.count() <= BROADCAST_IDS else regions
-    rows = own.select(F.col("id").alias("_i"), "text").join(small, F.col("id") == F.col("_i")).select("region", "id", "component", "text")
-    return rows.repartition(F.col("region")).sortWithinPartitions("region", "id").mapInArrow(run, "a long, b long")
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-
-def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            b, dealt, member, a, name = (batch.column(k).to_numpy() for k in range(5))
+            for i, j, h, bounds in shingle_sets(batch.column(5), n):
+                right = _names(h, bounds)[0] == name[i:j]  # another row may have the same 64 bits
+                turn = np.flatnonzero(np.append(True, (b[i + 1 : j] != b[i : j - 1]) | (dealt[i + 1 : j] != dealt[i : j - 1])))
+                for x, y in zip(turn.tolist(), [*turn[1:].tolist(), j - i], strict=True):
+                    here = (int(b[i + x]), int(dealt[i + x]))
+                    at, pivot = (here, np.zeros(0, np.uint64)) if here != at else (at, pivot)
+                    while x < y and not member[i + x]:
+                        pivot = h[bounds[x] : bounds[x + 1]].copy() if right[x] else pivot
+                        x += 1
+                    if x == y or not len(pivot):
+                        continue
+                    size = np.diff(bounds[x : y + 1])
+                    found = h[bounds[x] : bounds[y]]
+                    k = np.searchsorted(pivot, found)
+                    k[k == len(pivot)] = 0
+                    both = np.append(0, np.cumsum(pivot[k] == found))
+                    both = both[bounds[x + 1 : y + 1] - bounds[x]] - both[bounds[x:y] - bounds[x]]
+                    either = size + len(pivot) - both
+                    out = [a[i + x : i + y], b[i + x : i + y], 1 - both / np.maximum(either, 1), whole * both >= part * either]
+                    ok = right[x:y]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in out], names=["a", "b", "d", "link"])
+
+    pairs = written(pairs, "pairs")
+    per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("long").alias("_s")).select(F.col("b").alias("_b"), "_s")
+    dealt = pairs.join(per, F.col("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_s")).alias("slice"))
+    # Up to one row a pivot and slice beside one a pair.
+    pivots = dealt.select("b", "slice").distinct().select(F.col("b").alias("a"), "b", "slice", F.lit(0).alias("member"))
+    wanted = written(dealt.withColumn("member", F.lit(1)).unionByName(pivots), "wanted")
+    rows = _joined(wanted, own, F.col("id") == F.col("a")).select("b", "slice", "member", "a", "s1", "text")
+    sorted_ = rows.repartition("b", "slice").sortWithinPartitions("b", "slice", "member", "a")
+    out = written(sorted_.mapInArrow(run, "a long, b long, d double, link boolean"), "measured")
+    discard(pairs, wanted)
+    return out
+
+
+def similar_components(
+    docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs.
 
     Two documents link when whole * |A and B| >= part * |A or B| for their sets
@@ -185,74 +176,52 @@ def similar_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     reach; class_id the smallest id with an equal set. Documents without words
     (null and empty texts) have no shingles and are alone. Rows with the same
     id are one document in several texts: links of any of them count. Rows with
-    a null id join no component but their class's.
+    a null id belong to the component of their text, and name none. An empty
+    table gives an empty result; other columns of docs play no part.
     """
     spark = docs.sparkSession
     texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("row", F.xxhash64("id", "text"))
     sketch = spark.sparkContext.broadcast(_sketch(texts, n))
-    rows = kept(_prefixes(texts, n, part, whole, sketch))
-    classes = kept(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    points = rows.filter("n > 0").join(classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("id") == F.col("_r")) & (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
-    points = written(points.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "tokens"), "points")
-    buckets = points.select(F.posexplode("tokens").alias("place", "bucket"), "id", "n")
-    # A shingle of one document links nothing, nor does one of two whose sizes are too far apart.
-    held = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = held.filter((F.col("c") > 2) | ((F.col("c") == 2) & (part * F.col("most") <= whole * F.col("least")))).select(F.col("bucket").alias("_b"))
-    # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones. The smaller of a
-    # pair shares one of its first n - ceil(2t / (1 + t) n) + 1, so a document goes to the stratum of larger ones with those alone.
-    stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part + 1e-9)).cast("int")
-    as_smaller = F.col("place") < F.col("n") - F.ceil(2 * part * F.col("n") / (part + whole) - 1e-6) + 1
-    strata = F.array_compact(F.array(stratum, F.when(as_smaller, stratum + 1)))
-    buckets = buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", F.explode(strata).alias("k"))
-    buckets = kept(buckets.select(F.xxhash64("bucket", "k").alias("bucket"), "id"))
-    met = merged_buckets(buckets)
-    wanted = kept(met.select(F.col("id").alias("_w")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    own = texts.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_w"), "left_semi")
-    own = kept(own)
-
-    def distance(x, y):
-        both = F.size(F.array_intersect(x("shingles"), y("shingles")))
-        near = 1 - both / (x("n") + y("n") - both)
-        # A link is decided in whole numbers.
-        return F.when(whole * both >= part * (x("n") + y("n") - both), F.least(near, F.lit(1 - part / whole))).otherwise(F.greatest(near, F.lit(1 - part / whole + 1e-6)))
-
-    close = lambda x, y: (part * x("n") <= whole * y("n")) & (part * y("n") <= whole * x("n"))
-    tops = pivots_of(met)
-    sizes = points.groupBy(F.col("id").alias("_s")).agg(F.sum("n").alias("n"))
-
-    def joined(regions: DataFrame) -> DataFrame:
-        """Links of all regions: small ones as they are, large ones by recursion."""
-        roots = regions.select("region").distinct().select("region", F.col("region").alias("id"))
-        full = regions.select("region", "id").unionByName(roots).distinct().join(sizes, F.col("id") == F.col("_s")).select("region", "id", "n")
-        full = kept(full)
-        large = kept(full.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > REGION_SHINGLES).select(F.col("region").alias("_g")))
-        small = full
-        some = large.limit(1).count()
-        if some:
-            small = full.join(large, F.col("region") == F.col("_g"), "left_anti")
-        if labels is not None:
-            step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
-            small = small.join(step, F.col("id") == F.col("_l"), "left").select("region", "id", F.coalesce("_c", "id").alias("component"))
-        else:
-            small = small.select("region", "id", F.col("id").alias("component"))
-        small = kept(small)
-        found = written(_region_links(small, own, n, part, whole), "links")
-        if some:
-            items = written(_sets(own.join(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("id").alias("_f")).distinct(), F.col("id") == F.col("_f"), "left_semi"), n).filter("n > 0"), "sets")
-            more = linked(full.join(large, F.col("region") == F.col("_g"), "left_semi").select(F.col("region").alias("bucket"), "id"), items, ["n", "shingles"], distance, 1 - part / whole, ("n",), close)
-            found = written(found.unionByName(more.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
-        return found
-
-    labels = None
-    homes = met.join(tops, F.col("bucket") == F.col("_b")).groupBy("id").agg(F.max_by("pivot", F.struct("rank", "pivot")).alias("region"))
-    labels = _relabel(None, joined(homes))
+    rows = written(_prefixes(texts, n, part, whole, sketch), "rows")
+    sketch.destroy()
+    # Rows with an id first, for the name of a class; the points' keys are fixed by writing them.
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row", "tokens")).alias("first")
+    points = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(first)
+    points = points.select(F.monotonically_increasing_id().alias("key"), "n", "s1", "s2", "first.row", "first.tokens")
+    points = written(points, "points")
+    sets = points.select("key", *[F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")])
+    same = (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
+    members = written(rows.select("id", "row", "n", "s1", "s2").join(sets, same, "left").select("id", "row", "n", "key"), "members")
+    discard(rows)
+    buckets = _buckets(points, part, whole)
+    met = buckets.select(F.col("id").alias("_m")).distinct()
+    wanted = points.select("key", F.col("row").alias("_row"), "s1").join(met, F.col("key") == F.col("_m"), "left_semi")
+    wanted = written(wanted, "wanted")
+    own = _joined(wanted, texts.filter(F.col("text").isNotNull()), F.col("row") == F.col("_row"))
+    own = own.select(F.col("key").alias("id"), "s1", "text")
+    if members.groupBy("row").count().filter("count > 1").limit(1).count():  # rows alike in id and text
+        own = own.dropDuplicates(["id", "s1"])
+    own = written(own, "texts")
+    discard(wanted)
+    radius = 1 - part / whole
+    labels = region_components(buckets, lambda pairs: _measured(pairs, own, n, part, whole), radius, max(radius, BALL))
+    discard(buckets, own)
+    several = members.filter("id is not null and key is not null").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = several.filter("a <> b").select(F.col("id").alias("_i"), "b")
+    if several.limit(1).count():
+        one = members.filter("key is not null").join(several, F.col("id") == F.col("_i"))
+        labels = relabel(labels, one.select(F.col("key").alias("a"), "b").distinct())
+    ids = members.filter("key is not null").groupBy("key").agg(F.min("id").alias("class_id"))
     step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
-    placed = kept(met.join(step, F.col("id") == F.col("_l"), "left").select("bucket", "id", F.coalesce("_c", "id").alias("c")))
-    apart = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(F.col("bucket").alias("_a"))
-    open_ = placed.join(apart, F.col("bucket") == F.col("_a")).join(tops, F.col("bucket") == F.col("_b")).select(F.col("pivot").alias("region"), "id").distinct()
-    labels = _relabel(labels, joined(open_))
-    named = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2")
-    reps = classes.select(F.col("n").alias("_n"), F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep").join(labels.select(F.col("id").alias("_l"), "component"), F.col("rep") == F.col("_l"), "left")
-    out = named.join(reps, (F.col("n_shingles") == F.col("_n")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    named = ids.join(step, F.col("key") == F.col("_l"), "left").select("key", "class_id", F.coalesce("_c", "key").alias("_c"))
+    named = written(named, "classes")
+    least = named.groupBy("_c").agg(F.min("class_id").alias("component_id")).withColumnRenamed("_c", "_k")
+    full = named.join(least, F.col("_c") == F.col("_k")).select(F.col("key").alias("_key"), "class_id", "component_id")
+    out = members.join(full, F.col("key") == F.col("_key"), "left")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("class_id", "id").alias("class_id"),
+    )

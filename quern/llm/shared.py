@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +26,10 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one temporary folder a process."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all executors are this process (tests), one temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quern-"))
 
 
@@ -39,16 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and held by the executors; what a lost executor held is computed anew from its lineage.
-
-    For tables that several jobs read and whose lineage is short. Loops use
-    written() instead.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_at
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

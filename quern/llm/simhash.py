@@ -1,52 +1,63 @@
 """128-bit SimHash fingerprints in DataFrame operations, and search by permuted block tables.
 
-A text's terms are its pairs of neighbouring words, lower-cased; each votes on
-128 bits by its hash, with the weight of its first word's length. The votes of
-two bits share a long, 32 bits each, so that a document is 64 sums beside the
-total weight. A bit is set where more than half of the weight votes for it.
-
-Two fingerprints within `radius` bits agree in at least one of radius + 1
-blocks, so a table for each block, keyed by the block's bits, has all of them;
-`links.linked` finds the classes within the tables' buckets.
+A text's terms are its words, lower-cased and cut after every PIECE characters;
+each votes on 128 bits by its hash, with a weight that grows with the square of
+its length, as long words tell more. The votes of two bits share a long, 32
+bits each, so that a document is 64 sums beside the total weight. A bit is set
+where more than half of the weight votes for it.
+
+Search: the bits are dealt to m blocks. Two fingerprints within `radius` bits
+agree in at least m - radius of them, so there is a table for each choice of
+m - radius blocks, keyed by their bits, and some table has both in one bucket.
+m is the least for which a key has as many bits as it takes to number the
+fingerprints: buckets of unrelated ones hold a few at any size. In the buckets
+`regions.region_components` finds the classes, exactly.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.links import linked
 from quern.llm.order import positions
-from quern.llm.shared import written
+from quern.llm.regions import region_components
+from quern.llm.shared import discard, written
 
 BITS = 128
-MAX_WEIGHT = 16
-#: A text with words longer than this on average has no useful words; it is cut into pieces of PIECE characters.
-LONG_WORDS, PIECE = 40, 8
+#: Characters after which a word is cut.
+PIECE = 16
+#: Bits within which two fingerprints are near. A copy with 2 % of its words replaced differs by 8 on average.
+RADIUS = 10
+#: Bits from a pivot within which its Voronoi region lies; unrelated texts differ by 40 and more.
+BALL = 30
 _LANES = (1 << 32) | 1
 
 
-def _words(text: Column) -> Column:
-    plain = F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " ")
-    cut = F.split(F.regexp_replace(F.lower(text), f"(.{{{PIECE}}})", "$1 "), " ")
-    return F.filter(F.when(F.length(text) > LONG_WORDS * F.size(plain), cut).otherwise(plain), lambda w: w != "")
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([^\\x20\\x09-\\x0D]{{1,{PIECE}}})"), F.lit(1))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, hi, lo: the fingerprint of each row of texts; rows without terms are missing. keys must tell rows apart."""
-    words = texts.select(*keys, _words(F.col(text_col)).alias("_w"))
-    pairs = words.select(*keys, F.inline(F.arrays_zip(F.col("_w").alias("u"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("v"))))
-    weight = F.least(F.octet_length("u"), F.lit(MAX_WEIGHT)).cast("long")
-    votes = pairs.select(*keys, weight.alias("_m"), F.xxhash64("u", "v").alias("_h"), F.xxhash64("v", "u", F.lit(1)).alias("_l"))
-    sums = [F.sum(F.shiftrightunsigned(c, k).bitwiseAND(F.lit(_LANES)) * F.col("_m")).alias(f"{c}{k}") for c in ("_h", "_l") for k in range(32)]
+    """keys, hi, lo: the fingerprint of each row of texts; rows without terms are missing. Rows alike in their keys vote together."""
+    terms = texts.select(*keys, F.explode(_terms(F.col(text_col))).alias("_w"))
+    # At most 65, so that a lane holds the votes of 66 million words.
+    weight = (F.floor(F.pow(F.length("_w"), 2) / 4) + 1).cast("long")
+    votes = terms.select(*keys, weight.alias("_m"), F.xxhash64("_w").alias("_h"), F.xxhash64("_w", F.lit(1)).alias("_l"))
+
+    def lane(c: str, k: int) -> Column:
+        return F.shiftrightunsigned(c, k).bitwiseAND(F.lit(_LANES)) * F.col("_m")
+
+    sums = [F.sum(lane(c, k)).alias(f"{c}{k}") for c in ("_h", "_l") for k in range(32)]
     total = votes.groupBy(*keys).agg(F.sum("_m").alias("_t"), *sums)
 
     def half(c: str) -> Column:
         def bit(k: int) -> Column:
-            lane = F.shiftrightunsigned(F.col(f"{c}{k % 32}"), 32 if k >= 32 else 0).bitwiseAND(F.lit((1 << 32) - 1))
-            return F.shiftleft((lane * 2 > F.col("_t")).cast("long"), k)
+            votes = F.shiftrightunsigned(F.col(f"{c}{k % 32}"), 32 if k >= 32 else 0).bitwiseAND(F.lit((1 << 32) - 1))
+            return F.shiftleft((votes * 2 > F.col("_t")).cast("long"), k)
 
         return reduce(lambda x, y: x.bitwiseOR(y), [bit(k) for k in range(64)])
 
@@ -58,64 +69,118 @@ def apart(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
     return F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))
 
 
-def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(id, class) for each id of prints (id, hi, lo): the least id that steps of at most `radius` bits reach. Null ids are left out."""
-    known = prints.filter(F.col("id").isNotNull())
-    points = written(known.groupBy("hi", "lo").agg(F.min("id").alias("id")), "prints")
-    blocks, width = radius + 1, -(-BITS // (radius + 1))
+def _block_count(radius: int, rows: int) -> int:
+    m = radius + 1
+    while m < BITS and (m - radius) * (BITS // m) < math.log2(max(2, rows)):
+        m += 1
+    return m
+
+
+def _keys(radius: int, m: int) -> Column:
+    """The table keys of a fingerprint (hi, lo)."""
+    ends = [BITS * k // m for k in range(m + 1)]
+
+    def masked(chosen: tuple[int, ...], c: str, base: int) -> Column:
+        mask = 0
+        for k in chosen:
+            low, high = max(0, ends[k] - base), min(64, ends[k + 1] - base)
+            mask |= ((1 << high) - (1 << low)) if high > low else 0
+        return F.col(c).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    def block(k: int) -> Column:
-        """The k-th run of bits, as two longs masked to it."""
-        parts = []
-        for c, base in (("hi", 0), ("lo", 64)):
-            low, high = max(0, k * width - base), min(64, (k + 1) * width - base)
-            mask = ((1 << high) - (1 << low)) if high > low else 0
-            parts.append(F.col(c).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
-        return F.xxhash64(F.lit(k), *parts)
+    tables = combinations(range(m), m - radius)
+    return F.array(*[F.xxhash64(F.lit(t), masked(own, "hi", 0), masked(own, "lo", 64)) for t, own in enumerate(tables)])
 
-    buckets = points.select(F.explode(F.array(*[block(k) for k in range(blocks)])).alias("bucket"), "id")
-    labels = linked(buckets, points, ["hi", "lo"], lambda x, y: apart(x("hi"), x("lo"), y("hi"), y("lo")).cast("double"), float(radius))
-    named = points.join(labels.select(F.col("id").alias("_l"), "component"), F.col("id") == F.col("_l"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("component", "id").alias("class"))
-    return known.join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("id", "class")
+
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(hi, lo, class): the least id, of prints (id, hi, lo), that steps of at most `radius` bits reach from a fingerprint."""
+    points = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"))
+    points = written(points.select(F.monotonically_increasing_id().alias("key"), "id", "hi", "lo"), "points")
+    m = _block_count(radius, points.count())
+    buckets = written(points.select(F.explode(_keys(radius, m)).alias("bucket"), F.col("key").alias("id")), "buckets")
+    side = lambda p: points.select(F.col("key").alias(f"_{p}"), F.col("hi").alias(f"{p}hi"), F.col("lo").alias(f"{p}lo"))
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+        d = apart(F.col("ahi"), F.col("alo"), F.col("bhi"), F.col("blo")).cast("double")
+        return written(both.select("a", "b", d.alias("d"), (d <= radius).alias("link")), "measured")
+
+    labels = region_components(buckets, measure, float(radius), float(max(radius, BALL)))
+    discard(buckets)
+    step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
+    named = points.join(step, F.col("key") == F.col("_l"), "left").select("hi", "lo", "id", F.coalesce("_c", "key").alias("_c"))
+    least = named.groupBy("_c").agg(F.min("id").alias("class")).withColumnRenamed("_c", "_k")
+    return named.join(least, F.col("_c") == F.col("_k")).select("hi", "lo", "class")
+
+
+def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, class) for each row of prints (id, hi, lo): the least id that steps of at most `radius` bits reach. Null ids are left out."""
+    known = prints.filter(F.col("id").isNotNull())
+    own = _classes(known, radius).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "class")
+    return known.join(own, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select("id", "class")
 
 
-def with_edits(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_edits(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document in ascending order of the id;
     the first document follows the last. near_*: the share of equal bits.
-    class_id: the least id within steps of `radius` bits. A null text is empty;
-    texts without words have the fingerprint of zeros. Null ids come first and
-    have no class. Rows with the same id follow each other by a hash of the
-    text; rows alike in id and text are one document, repeated in the result.
+    class_id: the least id that steps of at most `radius` bits reach. A null
+    text is empty; texts without words have the fingerprint of zeros. Null ids
+    come first and name no class. Rows with the same id follow each other by a
+    hash of the text; rows alike in id and text are one document, repeated in
+    the result. An empty table gives an empty result; other columns of docs
+    play no part.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    keys = base.groupBy("doc_id", "h").agg(F.max(F.length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("copies"))
-    placed = written(positions(keys, ["doc_id", "h"]), "order")
-    rows = max(1, placed.count())
-    ahead = placed.select(F.pmod(F.col("_pos") + 1, F.lit(rows)).alias("_for"), F.col("doc_id").alias("prev_id"), F.col("h").alias("prev_h"), F.col("n").alias("prev_n"), F.col("_pos").alias("prev_pos"))
-    links = written(placed.join(ahead, F.col("_pos") == F.col("_for")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n"), F.col("copies"), F.col("_pos").alias("pos"), "prev_id", "prev_h", "prev_n", "prev_pos"), "links")
-    texts = base.join(links, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    heads = texts.select(F.col("prev_id").alias("_hi"), F.col("prev_h").alias("_hh"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"))
-    heads = heads.groupBy("_hi", "_hh").agg(F.max("head").alias("head"))
-    both = texts.join(heads, F.col("doc_id").eqNullSafe(F.col("_hi")) & (F.col("h") == F.col("_hh")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # (k, h) tells documents apart without nulls.
+    base = base.select("id", "text", F.coalesce("id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("id").isNull()).alias("h"))
+    rows = base.groupBy("id", "k", "h").agg(F.max(F.length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("copies"))
+    placed = written(positions(rows, ["id", "h"]), "order")
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).first()
+    repeats = size["n"] != (size["copies"] or 0)
+    ahead = placed.select(
+        F.pmod(F.col("_pos") + 1, F.lit(max(1, size["n"]))).alias("_for"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.col("n").alias("pn")
+    )
+    links = placed.join(ahead, F.col("_pos") == F.col("_for")).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "n", "pk", "ph", "pn")
+    links = written(links, "links")
+    texts = base.select("k", "h", "text").join(links, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")))
+    texts = texts.dropDuplicates(["k", "h"]) if repeats else texts
+    heads = texts.select("pk", "ph", F.substr("text", F.lit(1), F.floor(F.col("pn") / 4).cast("int")).alias("head"))
+    both = texts.join(heads.withColumnsRenamed({"pk": "_pk", "ph": "_ph"}), (F.col("k") == F.col("_pk")) & (F.col("h") == F.col("_ph")))
     cut = F.floor(F.col("n") / 4)
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n") - cut).cast("int")), "head")
-    two = both.select("pos", F.inline(F.array(F.struct(F.lit(0).alias("edit"), F.col("text")), F.struct(F.lit(1).alias("edit"), edited.alias("text")))))
-    # Copies of a row vote alike: one of them. The sums of equal (pos, edit) would add up otherwise.
-    one = two if rows == placed.agg(F.sum("copies")).first()[0] else two.dropDuplicates(["pos", "edit"])
-    sha = one.filter("edit = 1").select(F.col("pos").alias("_sp"), F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
-    prints = written(fingerprints(one, ["pos", "edit"]), "fingerprints")
+    # Dealt by (k, h) from here to the fingerprints: texts cross the shuffle once.
+    sides = F.array(F.struct(F.lit(0).alias("edit"), F.col("text")), F.struct(F.lit(1).alias("edit"), edited.alias("text")))
+    prints = fingerprints(both.select("k", "h", F.inline(sides)), ["k", "h", "edit"])
+    of = lambda c, e: F.max(F.when(F.col("edit") == e, F.col(c)))
+    prints = prints.groupBy("k", "h").agg(of("hi", 0).alias("hi"), of("lo", 0).alias("lo"), of("hi", 1).alias("ehi"), of("lo", 1).alias("elo"))
+    sha = both.select(F.col("k").alias("_sk"), F.col("h").alias("_sh"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
     zero = F.lit(0).cast("long")
-    side = lambda e, p: prints.filter(F.col("edit") == e).select(F.col("pos").alias(f"_{p}"), F.col("hi").alias(f"{p}hi"), F.col("lo").alias(f"{p}lo"))
-    all_prints = links.join(side(0, "o"), F.col("pos") == F.col("_o"), "left").select("pos", F.col("_id").alias("id"), F.coalesce("ohi", zero).alias("hi"), F.coalesce("olo", zero).alias("lo"), "n", "copies", "prev_pos")
-    all_prints = written(all_prints, "own-prints")
-    classes = near_classes(all_prints.select("id", "hi", "lo"), radius).groupBy("id").agg(F.min("class").alias("class_id")).select(F.col("id").alias("_ci"), "class_id")
-    nexts = all_prints.select(F.col("prev_pos").alias("_np"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo"))
-    out = all_prints.join(side(1, "e"), F.col("pos") == F.col("_e"), "left").join(nexts, F.col("pos") == F.col("_np")).join(sha, F.col("pos") == F.col("_sp")).join(classes, F.col("id") == F.col("_ci"), "left")
-    hi, lo, ehi, elo = F.col("hi"), F.col("lo"), F.coalesce("ehi", zero), F.coalesce("elo", zero)
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", _fixed(hi, lo).alias("fingerprint"), _fixed(ehi, elo).alias("edited_fingerprint"), (1 - apart(hi, lo, ehi, elo) / BITS).alias("near_edited"), (1 - apart(hi, lo, F.col("nhi"), F.col("nlo")) / BITS).alias("near_next"), "class_id", "copies")
+    own = sha.join(prints, (F.col("_sk") == F.col("k")) & (F.col("_sh") == F.col("h")), "left")
+    bits = [F.coalesce(c, zero).alias(c) for c in ("hi", "lo", "ehi", "elo")]
+    own = written(own.select("_sk", "_sh", "edited_sha256", *bits), "fingerprints")
+    discard(links)
+    own = placed.join(own, (F.col("k") == F.col("_sk")) & (F.col("h") == F.col("_sh"))).drop("k", "h", "_sk", "_sh")
+    own = written(own, "documents")
+    following = F.pmod(F.col("_pos") - 1, F.lit(max(1, size["n"]))).alias("_np")
+    nexts = own.select(following, F.col("hi").alias("nhi"), F.col("lo").alias("nlo"))
+    known = own.filter(F.col("id").isNotNull()).select("id", "hi", "lo")
+    classes = _classes(known, radius).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "class")
+    out = own.join(nexts, F.col("_pos") == F.col("_np"))
+    out = out.join(classes, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
+    hi, lo, ehi, elo = (F.col(c) for c in ("hi", "lo", "ehi", "elo"))
+    out = out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_chars"),
+        "edited_sha256",
+        _fixed(hi, lo).alias("fingerprint"),
+        _fixed(ehi, elo).alias("edited_fingerprint"),
+        (1 - apart(hi, lo, ehi, elo) / BITS).alias("near_edited"),
+        (1 - apart(hi, lo, F.col("nhi"), F.col("nlo")) / BITS).alias("near_next"),
+        F.col("class").alias("class_id"),
+        "copies",
+    )
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy", "copies")
 
 

@@ -50,10 +50,11 @@ def brute(rows, n, part):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "part", "bound"), [(4, 85, None), (5, 80, None), (3, 60, None), (4, 85, 200)])
-def test_components_are_exact(spark, monkeypatch, n, part, bound):
-    if bound:
-        monkeypatch.setattr(jaccard, "REGION_SHINGLES", bound)
+@pytest.mark.parametrize(("n", "part", "shuffled"), [(4, 85, False), (5, 80, False), (3, 60, False), (4, 85, True)])
+def test_components_are_exact(spark, monkeypatch, n, part, shuffled):
+    if shuffled:  # ids by a shuffle, a pivot's documents in slices
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(jaccard, "SLICE", 3)
     rows = family_corpus()
     got = similar_components(spark.createDataFrame(rows, SCHEMA), n, part, 100).collect()
     assert len(got) == len(rows)

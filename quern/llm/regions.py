@@ -2,8 +2,8 @@
 
 Input are buckets: (bucket, id) such that any two items within `radius` share a
 bucket. Far items share none, so a bucket is a piece of the space in which
-distances differ and pivots tell something. The most connected member of a
-bucket is its first pivot; the buckets of one pivot are one region.
+distances differ and pivots tell something; it is the first region. Its most
+connected member is its first pivot.
 
 First every item is measured against the most connected pivot that it meets.
 Items within the radius of a pivot are linked to it, and a bucket whose members
@@ -84,8 +84,11 @@ def _linked(found: DataFrame) -> DataFrame:
     return found.filter("link").select("a", "b")
 
 
-def _pivots(rows: DataFrame, k: int) -> DataFrame:
-    """(_r, pivot, place): k members of each region, those outside its largest component first."""
+def _pivots(rows: DataFrame, k: int, first: bool) -> DataFrame:
+    """(_r, pivot, place): k members of each region, those outside its largest component first; the first time the most connected."""
+    if first:
+        top = rows.groupBy(F.col("region").alias("_r")).agg(F.max_by("id", F.struct("degree", "id")).alias("pivot"))
+        return top.withColumn("place", F.lit(1))
     order = Window.partitionBy("region").orderBy("main", F.desc("degree"), "id")
     chosen = rows.select("region", "id", "degree", "main").withColumn("place", F.row_number().over(order))
     return chosen.filter(F.col("place") <= k).select(F.col("region").alias("_r"), F.col("id").alias("pivot"), "place")
@@ -100,22 +103,18 @@ def region_components(buckets: DataFrame, measure: Callable[[DataFrame], DataFra
     of unrelated items by a radius.
     """
     met = merged_buckets(buckets)
-    tops = met.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("region"), F.max("degree").alias("rank"))
-    tops = tops.select(F.col("bucket").alias("_b"), "region", "rank")
-    rows = written(met.join(tops, F.col("bucket") == F.col("_b")).drop("_b"), "rows")
-    homes = rows.groupBy("id").agg(F.max_by("region", F.struct("rank", "region")).alias("b"))
+    rows = met.withColumnRenamed("bucket", "region")
+    tops = rows.groupBy("region").agg(F.max_by("id", F.struct("degree", "id")).alias("b"), F.max("degree").alias("rank"))
+    each = rows.join(tops.withColumnRenamed("region", "_r"), F.col("region") == F.col("_r"))
+    homes = each.groupBy("id").agg(F.max_by("b", F.struct("rank", "b")).alias("b"))
     found = measure(homes.filter("id <> b").select(F.col("id").alias("a"), "b"))
     labels = relabel(None, _linked(found))
+    now = written(_open(rows, "region", labels), "level")
     discard(found, met)
-    now = _open(rows, "bucket", labels).groupBy("region", "id").agg(F.max("degree").alias("degree"))
-    now = written(_open(now, "region", labels), "level")
-    discard(rows)
     level = 0
     while now.limit(1).count():
-        pivots = _pivots(now, FAN**level)
-        if not level:  # the bucket's first pivot
-            pivots = now.select("region").distinct().select(F.col("region").alias("_r"), F.col("region").alias("pivot"), F.lit(1).alias("place"))
-        star = written(now.join(pivots, F.col("region") == F.col("_r")).drop("_r"), "star")
+        star = now.join(_pivots(now, FAN**level, level == 0), F.col("region") == F.col("_r")).drop("_r")
+        star = written(star, "star")
         found = measure(star.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
         labels = relabel(labels, _linked(found))
         got = found.select(F.col("a").alias("_a"), F.col("b").alias("_p"), "d")

@@ -9,8 +9,8 @@ where more than half of the weight votes for it.
 Search: the bits are dealt to m blocks. Two fingerprints within `radius` bits
 agree in at least m - radius of them, so there is a table for each choice of
 m - radius blocks, keyed by their bits, and some table has both in one bucket.
-m is the least for which a key has as many bits as it takes to number the
-fingerprints: buckets of unrelated ones hold a few at any size. In the buckets
+m is the least for which a key has SPARE bits more than it takes to number the
+fingerprints, so that unrelated ones seldom meet, at any size. In the buckets
 `regions.region_components` finds the classes, exactly.
 """
 
@@ -31,9 +31,11 @@ BITS = 128
 #: Characters after which a word is cut.
 PIECE = 16
 #: Bits within which two fingerprints are near. A copy with 2 % of its words replaced differs by 8 on average.
-RADIUS = 10
+RADIUS = 8
 #: Bits from a pivot within which its Voronoi region lies; unrelated texts differ by 40 and more.
 BALL = 30
+#: Bits of a table's key beyond those that number the fingerprints.
+SPARE = 6
 _LANES = (1 << 32) | 1
 
 
@@ -71,7 +73,7 @@ def apart(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
 
 def _block_count(radius: int, rows: int) -> int:
     m = radius + 1
-    while m < BITS and (m - radius) * (BITS // m) < math.log2(max(2, rows)):
+    while m < BITS and (m - radius) * (BITS // m) < math.log2(max(2, rows)) + SPARE:
         m += 1
     return m
 

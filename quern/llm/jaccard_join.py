@@ -11,7 +11,9 @@ In these pieces `regions.region_components` works: pivots, Voronoi regions of
 the nearest pivot, windows by the triangle inequality that replicate boundary
 documents, recursion, all on measured distances. What a document is measured
 against is dealt to tasks by pivot and slice of SLICE documents, so no pivot's
-documents meet in one task.
+documents meet in one task. Small regions are joined in a task by the same
+means: distances from the pivot, windows of the radius, then bit sketches that
+can't exclude a link, then the sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ BROADCAST_IDS = 500_000
 SLICE = 1000
 #: Distance from a pivot within which its Voronoi region lies.
 BALL = 0.5
+#: Bits by which sets are compared before their members are.
+PARITY = 1024
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -166,6 +170,91 @@ def _measured(pairs: DataFrame, own: DataFrame, n: int, part: int, whole: int) -
     return out
 
 
+def _sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITY bits a set: which hash slots hold an odd number of its members. Two sets differ in at least as many members as bits."""
+    sets = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = np.bincount(sets * PARITY + (h & np.uint64(PARITY - 1)).astype(np.int64), minlength=(len(bounds) - 1) * PARITY) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, PARITY), axis=1).view(np.uint64)
+
+
+def _ties(sets: list[np.ndarray], ids: np.ndarray, component: np.ndarray, main: np.ndarray, part: int, whole: int) -> list[tuple[int, int]]:
+    """Links that tie the components of a region's members together; the first member is its pivot."""
+    size = np.array([len(x) for x in sets])
+    bounds = np.append(0, np.cumsum(size))
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    sketch = _sketches(every, bounds)
+    label = np.unique(component, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+
+    def common(y: int, others: np.ndarray) -> np.ndarray:
+        """Members that the set y has in common with each of some others."""
+        wanted = np.zeros(len(sets), bool)
+        wanted[others] = True
+        held = wanted[owner]
+        k = np.searchsorted(sets[y], every[held])
+        k[k == size[y]] = 0
+        return np.bincount(owner[held], sets[y][k] == every[held], len(sets))[others].astype(np.int64)
+
+    def tie(y: int, others: np.ndarray, both: np.ndarray) -> None:
+        for x in others[whole * both >= part * (size[others] + size[y] - both)].tolist():
+            if label[x] != label[y]:
+                links.append((int(ids[x]), int(ids[y])))
+                label[label == label[x]] = label[y]
+
+    rest = np.arange(1, len(sets))
+    both = common(0, rest)
+    gap = np.append(0.0, 1 - both / (size[rest] + size[0] - both))
+    tie(0, rest, both)
+    radius = 1 - part / whole + 1e-9
+    seen = np.zeros(len(sets), bool)
+    seen[0] = True
+    for y in np.flatnonzero(~main & ~seen).tolist():
+        seen[y] = True
+        near = ~seen & (label != label[y]) & (np.abs(gap - gap[y]) <= radius)
+        near &= (part * size <= whole * size[y]) & (part * size[y] <= whole * size)
+        others = np.flatnonzero(near)
+        # A link's sets differ in at most (1 - t) / (1 + t) of their members together.
+        differ = np.bitwise_count(sketch[others] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        others = others[(whole + part) * differ <= (whole - part) * (size[others] + size[y])]
+        if len(others):
+            tie(y, others, common(y, others))
+    return links
+
+
+def _region_links(rows: DataFrame, own: DataFrame, n: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) that tie the components of each region of rows (region, id, component, main, degree), a bounded number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, names = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = []
+            if len(sets) > 1:
+                ids, component, main = (np.array(c) for c in zip(*names, strict=True))
+                found = _ties(sets, ids, component, main, part, whole)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            region, key, component, main, name = (batch.column(k).to_pylist() for k in range(5))
+            for i, j, h, bounds in shingle_sets(batch.column(5), n):
+                right = _names(h, bounds)[0]
+                for k in range(i, j):
+                    if region[k] != at:
+                        yield links()
+                        at, sets, names = region[k], [], []
+                    # Another row may have the same 64 bits.
+                    if right[k - i] == name[k] and (not names or names[-1][0] != key[k]):
+                        sets.append(h[bounds[k - i] : bounds[k - i + 1]].copy())
+                        names.append((key[k], component[k], main[k]))
+        yield links()
+
+    rows = written(rows.select("region", F.col("id").alias("key"), "component", "main", "degree"), "joins")
+    full = _joined(rows, own, F.col("id") == F.col("key"))
+    dealt = full.repartition("region").sortWithinPartitions("region", F.desc("degree"), "key")
+    return dealt.select("region", "key", "component", "main", "s1", "text").mapInArrow(run, "a long, b long")
+
+
 def similar_components(
     docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -205,7 +294,9 @@ def similar_components(
     own = written(own, "texts")
     discard(wanted)
     radius = 1 - part / whole
-    labels = region_components(buckets, lambda pairs: _measured(pairs, own, n, part, whole), radius, max(radius, BALL))
+    measure = lambda pairs: _measured(pairs, own, n, part, whole)
+    join = lambda rows: _region_links(rows, own, n, part, whole)
+    labels = region_components(buckets, measure, join, radius, max(radius, BALL))
     discard(buckets, own)
     several = members.filter("id is not null and key is not null").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"))
     several = several.filter("a <> b").select(F.col("id").alias("_i"), "b")

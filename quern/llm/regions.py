@@ -7,22 +7,24 @@ connected member is its first pivot.
 
 First every item is measured against the most connected pivot that it meets.
 Items within the radius of a pivot are linked to it, and a bucket whose members
-are all in one component is done. Every region that is left is treated by one
-rule, at every level:
-
-* its pivots are chosen, FAN times as many as a level before, those outside the
-  region's largest component first, and all members are measured against them;
-  items within the radius of a pivot are linked to it;
-* a member lies in the Voronoi region of its nearest pivot if that is within
-  `ball`, else in the outer region of those that no ball holds;
-* if two items are linked and one is in a ball, the other is within ball +
-  radius of its pivot; if one is in the outer region, the other is further than
-  ball - radius from every pivot. These windows replicate the members near a
-  boundary, but for those of the largest component, to the regions beyond it;
+are all in one component is done. The open buckets of one pivot become a region,
+and all regions are treated by one rule, at every level:
+
+* a region of at most LEAF members is joined by a task, given by the caller;
+* in a larger one pivots are chosen, FAN times as many as a level before, those
+  outside the region's largest component first, and all members are measured
+  against them; items within the radius of a pivot are linked to it;
+* a member lies in the Voronoi region of its nearest pivot, in a ring of a
+  radius' width around it, if that pivot is within `ball`, else in the outer
+  region of those that no ball holds;
+* two linked items differ by the radius at most in their distance from any
+  pivot. So a member is replicated to the rings beside its own distance around
+  every pivot, and to the outer region if no pivot is nearer than ball - radius;
+  those of the largest component needn't be;
 * the pivots leave, as all their pairs are known, and the new regions that hold
   more than one component go to the next level.
 
-So every linked pair is measured, or in one component already. Pivots leave each
+So every linked pair is compared, or in one component already. Pivots leave each
 region at each level, so the recursion ends; where distances tell nothing, the
 members stay together in the outer region, not multiplied.
 """
@@ -39,6 +41,8 @@ from quern.llm.shared import discard, written
 
 #: A level's pivots per region, as a multiple of those of the level before.
 FAN = 8
+#: Members up to which one task joins a region.
+LEAF = 1000
 _EPS = 1e-9
 
 
@@ -71,13 +75,13 @@ def merged_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, by: str, labels: DataFrame) -> DataFrame:
-    """rows (with id and `by`) of the groups that hold several components, with `main`: whether theirs is the group's largest."""
+    """rows (with id and `by`) of the groups that hold several components, with `component`, `main`: whether it is the group's largest, and `size`."""
     step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
-    named = rows.join(step, F.col("id") == F.col("_l"), "left").withColumn("_c", F.coalesce("_c", "id")).drop("_l")
-    per = named.groupBy(by, "_c").agg(F.count(F.lit(1)).alias("_n")).groupBy(by)
-    most = per.agg(F.max_by("_c", F.struct("_n", "_c")).alias("_m"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    held = named.join(most.select(F.col(by).alias("_by"), "_m"), F.col(by) == F.col("_by"))
-    return held.withColumn("main", F.col("_c") == F.col("_m")).drop("_by", "_c", "_m")
+    named = rows.join(step, F.col("id") == F.col("_l"), "left").withColumn("component", F.coalesce("_c", "id")).drop("_l", "_c")
+    per = named.groupBy(by, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(by)
+    most = per.agg(F.max_by("component", F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_k"))
+    held = named.join(most.filter("_k > 1").select(F.col(by).alias("_by"), "_m", "size"), F.col(by) == F.col("_by"))
+    return held.withColumn("main", F.col("component") == F.col("_m")).drop("_by", "_m")
 
 
 def _linked(found: DataFrame) -> DataFrame:
@@ -94,45 +98,64 @@ def _pivots(rows: DataFrame, k: int, first: bool) -> DataFrame:
     return chosen.filter(F.col("place") <= k).select(F.col("region").alias("_r"), F.col("id").alias("pivot"), "place")
 
 
-def region_components(buckets: DataFrame, measure: Callable[[DataFrame], DataFrame], radius: float, ball: float) -> DataFrame:
+def region_components(
+    buckets: DataFrame,
+    measure: Callable[[DataFrame], DataFrame],
+    join: Callable[[DataFrame], DataFrame],
+    radius: float,
+    ball: float,
+) -> DataFrame:
     """(id, component) of the items that have a link.
 
     measure(pairs) gives (a, b, d, link) for distinct pairs (a, b) of items,
     where b is the side that repeats, in a table that is written; link says
-    whether d, a metric, is at most radius. ball should be below the distance
-    of unrelated items by a radius.
+    whether d, a metric, is at most radius. join(rows) gives links (a, b) that
+    tie the components of each region together; rows are (region, id,
+    component, main, degree), at most LEAF a region. ball should be below the
+    distance of unrelated items by a radius.
     """
     met = merged_buckets(buckets)
-    rows = met.withColumnRenamed("bucket", "region")
-    tops = rows.groupBy("region").agg(F.max_by("id", F.struct("degree", "id")).alias("b"), F.max("degree").alias("rank"))
-    each = rows.join(tops.withColumnRenamed("region", "_r"), F.col("region") == F.col("_r"))
-    homes = each.groupBy("id").agg(F.max_by("b", F.struct("rank", "b")).alias("b"))
+    tops = met.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("region"), F.max("degree").alias("rank"))
+    rows = met.join(tops.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).drop("_b")
+    rows = written(rows, "rows")
+    discard(met)
+    homes = rows.groupBy("id").agg(F.max_by("region", F.struct("rank", "region")).alias("b"))
     found = measure(homes.filter("id <> b").select(F.col("id").alias("a"), "b"))
     labels = relabel(None, _linked(found))
-    now = written(_open(rows, "region", labels), "level")
-    discard(found, met)
-    level = 0
-    while now.limit(1).count():
-        star = now.join(_pivots(now, FAN**level, level == 0), F.col("region") == F.col("_r")).drop("_r")
+    now = _open(rows, "bucket", labels).groupBy("region", "id").agg(F.max("degree").alias("degree"))
+    now = written(_open(now, "region", labels), "level")
+    discard(found, rows)
+    level, width = 0, radius + _EPS
+    while True:
+        links = written(join(now.filter(F.col("size") <= LEAF).drop("size")).distinct(), "links")
+        big = now.filter(F.col("size") > LEAF).drop("size", "component")
+        if not big.limit(1).count():
+            labels = relabel(labels, links)
+            discard(now, links)
+            return labels
+        star = big.join(_pivots(big, FAN**level, level == 0), F.col("region") == F.col("_r")).drop("_r")
         star = written(star, "star")
         found = measure(star.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-        labels = relabel(labels, _linked(found))
+        labels = relabel(labels, links.unionByName(_linked(found)))
         got = found.select(F.col("a").alias("_a"), F.col("b").alias("_p"), "d")
         near = star.join(got, (F.col("id") == F.col("_a")) & (F.col("pivot") == F.col("_p")), "left")
+        ring = F.floor(F.col("d") / width).cast("int")
         # At most FAN^level distances a row: what the level chose as pivots.
         each = near.groupBy("region", "id", "degree", "main").agg(
             F.max(F.col("id") == F.col("pivot")).alias("gone"),
-            F.min(F.struct("d", "place")).alias("nearest"),
-            F.collect_list(F.when(F.col("d") <= ball + radius + _EPS, F.col("place"))).alias("within"),
+            F.min(F.struct("d", "place", ring.alias("ring"))).alias("nearest"),
+            F.collect_list(F.when(F.col("d") <= ball + width, F.struct("place", ring.alias("ring")))).alias("within"),
         )
         each = each.filter(~F.col("gone"))
-        home = F.when(F.col("nearest.d") <= ball, F.col("nearest.place")).otherwise(F.lit(0))
-        outer = F.when(F.col("nearest.d") > ball - radius - _EPS, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        visits = F.when(F.col("main"), F.array(home)).otherwise(F.array_union(F.array(home), F.array_union("within", outer)))
+        part = lambda place, ring: F.struct(place.alias("place"), ring.alias("ring"))
+        beyond = part(F.lit(0), F.lit(0))
+        home = F.when(F.col("nearest.d") <= ball, part(F.col("nearest.place"), F.col("nearest.ring"))).otherwise(beyond)
+        rings = F.flatten(F.transform("within", lambda w: F.array(*[part(w["place"], w["ring"] + k) for k in (-1, 0, 1)])))
+        outer = F.when(F.col("nearest.d") > ball - width, F.array(beyond)).otherwise(F.filter(F.array(beyond), lambda _: F.lit(False)))
+        visits = F.when(F.col("main"), F.array(home)).otherwise(F.array_distinct(F.concat(F.array(home), rings, outer)))
         parts = each.select("region", "id", "degree", F.explode(visits).alias("part"))
-        parts = parts.select(F.xxhash64("region", "part").alias("region"), "id", "degree")
+        parts = parts.select(F.xxhash64("region", "part.place", "part.ring").alias("region"), "id", "degree")
         done = now
         now = written(_open(parts, "region", labels), "level")
-        discard(star, found, done)
+        discard(star, found, links, done)
         level += 1
-    return labels

@@ -31,7 +31,7 @@ BITS = 128
 #: Characters after which a word is cut.
 PIECE = 16
 #: Bits within which two fingerprints are near. A copy with 2 % of its words replaced differs by 8 on average.
-RADIUS = 8
+RADIUS = 4
 #: Bits from a pivot within which its Voronoi region lies; unrelated texts differ by 40 and more.
 BALL = 30
 #: Bits of a table's key beyond those that number the fingerprints.
@@ -106,7 +106,16 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
         d = apart(F.col("ahi"), F.col("alo"), F.col("bhi"), F.col("blo")).cast("double")
         return written(both.select("a", "b", d.alias("d"), (d <= radius).alias("link")), "measured")
 
-    labels = region_components(buckets, measure, float(radius), float(max(radius, BALL)))
+    def join(rows: DataFrame) -> DataFrame:
+        full = rows.join(points.select(F.col("key").alias("_key"), "hi", "lo"), F.col("id") == F.col("_key")).drop("_key", "degree")
+        x = full.select(*[F.col(c).alias(f"x_{c}") for c in full.columns])
+        y = full.filter(~F.col("main")).select(*[F.col(c).alias(f"y_{c}") for c in full.columns])
+        near = apart(F.col("x_hi"), F.col("x_lo"), F.col("y_hi"), F.col("y_lo")) <= radius
+        once = F.col("x_main") | (F.col("x_id") < F.col("y_id"))
+        on = (F.col("x_region") == F.col("y_region")) & (F.col("x_component") != F.col("y_component")) & once & near
+        return x.join(y, on).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+    labels = region_components(buckets, measure, join, float(radius), float(max(radius, BALL)))
     discard(buckets)
     step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
     named = points.join(step, F.col("key") == F.col("_l"), "left").select("hi", "lo", "id", F.coalesce("_c", "key").alias("_c"))

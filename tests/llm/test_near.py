@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 import quern.llm.jaccard_join as jaccard
+import quern.llm.regions as regions
 from quern.llm.components import components
 from quern.llm.jaccard_join import similar_components
 from quern.llm.simhash import near_classes, with_edits
@@ -55,6 +56,7 @@ def test_components_are_exact(spark, monkeypatch, n, part, shuffled):
     if shuffled:  # ids by a shuffle, a pivot's documents in slices
         monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
         monkeypatch.setattr(jaccard, "SLICE", 3)
+        monkeypatch.setattr(regions, "LEAF", 2)
     rows = family_corpus()
     got = similar_components(spark.createDataFrame(rows, SCHEMA), n, part, 100).collect()
     assert len(got) == len(rows)

@@ -17,7 +17,7 @@ from quern.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic; null and empty texts stay, as do repeated rows of a clean document."""
     return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -27,18 +27,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id that stays are copies of it: one of them stays.
     """
     classes = similar_components(docs, n=5, part=80, whole=100)
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    # A join by name adds no column, whatever the others are called.
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts stay, as do repeated rows of a clean document."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret."""
+    """All documents, with a mark in the place of each secret; null and empty texts stay as they are."""
     return secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)))
 
 

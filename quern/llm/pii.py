@@ -21,8 +21,6 @@ from quern.llm.shared import written
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.5
 CANDIDATE_DIGITS = 5
-#: The model holds the patterns of most seeds, up to so many.
-MAX_PATTERNS = 2000
 #: Context words up to which their list is broadcast to count them; more are joined by a shuffle.
 BROADCAST_WORDS = 100_000
 #: Characters before a value in which its context word is looked for.
@@ -42,23 +40,54 @@ PATTERNS = {
 #: What a text must hold for a match to be possible, found faster.
 _HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": lambda t: t.rlike(r"\+[0-9]")}
 _BLANK = r"\x20\x09-\x0D"
-CANDIDATE = rf"(?<![^{_BLANK}])[^0-9{_BLANK}]*+(?:[0-9][^0-9{_BLANK}]*+){{{CANDIDATE_DIGITS},}}+"
-_FOUND = "array<struct<start: int, end: int, value: string>>"
+_AT = r"(?i:@|[(\[]at[)\]])"
+CANDIDATE = rf"(?<![^{_BLANK}])(?:[^0-9{_BLANK}]*+(?:[0-9][^0-9{_BLANK}]*+){{{CANDIDATE_DIGITS},}}+|(?=[^{_BLANK}]*?{_AT})[^{_BLANK}]++)"
+#: Stands for a character of a span of the fixed patterns.
+TAKEN = "\ue000"
+#: Elements of an array that are summed up in one go.
+BLOCK = 256
 
 
-def found(text: Column, pattern: str, hint: Column) -> Column:
-    """Matches as (start, end, value), in code points, from what lies between them and their own lengths."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.slice(between, 1, F.size(values)).alias("b"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+def _grown(xs: Column) -> Column:
+    """Running sums of an array of ints."""
+    step = lambda acc, x: F.concat(acc, F.array((F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x).cast("int")))
+    return F.aggregate(xs, F.array().cast("array<int>"), step)
 
-    def step(acc, x):
-        a = acc["at"] + F.length(x["b"])
-        e = a + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), e.alias("end"), x["v"].alias("value")))).alias("out"))
 
-    return F.when(hint, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+def with_pieces(df: DataFrame, name: str, text: str, pattern: str, hint: Column) -> DataFrame:
+    """df with `name`, the matches in the column `text` as (start, end, value, gap) in code points, gap being the text since the last match, and `name`_rest.
+
+    `name`_rest is the text after each match up to the next, that before the
+    first one included. Time grows with the text, whatever it holds: the places
+    are running sums within blocks of BLOCK matches, then of the blocks.
+    """
+    c = lambda part: F.col(f"{name}_{part}")
+    none, t = F.array().cast("array<string>"), F.col(text)
+    found, rest = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+    df = df.withColumns({f"{name}_v": F.when(hint, found).otherwise(none), f"{name}_rest": F.when(hint, rest).otherwise(F.array(t))})
+    df = df.withColumn(f"{name}_g", F.slice(c("rest"), F.lit(1), F.size(c("v"))))
+    df = df.withColumn(f"{name}_l", F.zip_with(c("g"), c("v"), lambda b, v: F.length(b) + F.length(v)))
+    starts = F.when(F.size(c("l")) > 0, F.sequence(F.lit(1), F.size(c("l")), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(f"{name}_s", F.transform(starts, lambda a: _grown(F.slice(c("l"), a, F.lit(BLOCK)))))
+    df = df.withColumn(f"{name}_o", _grown(F.concat(F.array(F.lit(0)), F.transform(c("s"), lambda b: F.get(b, F.size(b) - 1)))))
+    moved = F.zip_with(c("s"), F.slice(c("o"), F.lit(1), F.size(c("s"))), lambda b, o: F.transform(b, lambda x: x + o))
+    df = df.withColumn(f"{name}_e", F.flatten(moved))
+
+    def placed(x):
+        start = x["e"] - F.length(x["v"])
+        return F.struct(start.cast("int").alias("start"), x["e"].cast("int").alias("end"), x["v"].alias("value"), x["b"].alias("gap"))
+
+    made = F.transform(F.arrays_zip(c("e").alias("e"), c("v").alias("v"), c("g").alias("b")), placed)
+    return df.withColumn(name, made).drop(*[f"{name}_{k}" for k in "vglsoe"])
+
+
+def in_front(spans: Column, i: Column, characters: int, back: int = 1) -> Column:
+    """Up to so many characters before the i-th of spans, from its gap and the `back` matches and gaps before it."""
+    own = [F.coalesce(F.get(spans, i)["gap"], F.lit(""))]
+    for k in range(1, back + 1):
+        earlier = F.get(spans, i - k)
+        own = [F.coalesce(earlier["gap"], F.lit("")), F.coalesce(earlier["value"], F.lit("")), *own]
+    return F.right(F.concat(*own), F.lit(characters))
 
 
 def _digits(value: Column) -> Column:
@@ -89,40 +118,84 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """By kind: the leftmost matches that hold, as (start, end, value)."""
-    holds = lambda k: lambda s: _valid(k, s["value"])
-    return {k: F.filter(found(text, PATTERNS[k], _HINTS[k](text)), holds(k)) for k in KINDS}
+def _holds(kind: str):
+    return lambda s: _valid(kind, s["value"])
+
+
+def _hidden(kind: str):
+    """A match after its gap, with TAKEN for each of its characters if it holds."""
+    value = lambda s: F.when(_valid(kind, s["value"]), F.repeat(F.lit(TAKEN), F.length(s["value"]))).otherwise(s["value"])
+    return lambda s: F.concat(s["gap"], value(s))
+
+
+def with_base(df: DataFrame, text: str) -> DataFrame:
+    """df with `_<kind>` for each kind: the leftmost matches in the column `text` that hold, as (start, end, value, gap)."""
+    for k in KINDS:
+        df = with_pieces(df, f"_{k}", text, PATTERNS[k], _HINTS[k](F.col(text))).drop(f"_{k}_rest")
+        df = df.withColumn(f"_{k}", F.filter(f"_{k}", _holds(k)))
+    return df
 
 
-def candidates(text: Column, taken: list[Column]) -> Column:
-    """Words with many digits that touch no span in `taken`, without the punctuation around them."""
-    words = found(text, CANDIDATE, text.rlike(rf"(?:[0-9][^0-9{_BLANK}]*+){{{CANDIDATE_DIGITS}}}"))
-    spans = F.concat(*[F.transform(t, lambda s: F.struct(s["start"], s["end"])) for t in taken])
-    free = F.filter(words, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+def with_candidates(df: DataFrame, text: str) -> DataFrame:
+    """df with `_other`: (start, end, value, patterns) of words with many digits or an at-sign that touch no span of the fixed patterns.
 
-    def trimmed(w):
+    patterns tell of the words around it; the candidate is without the
+    punctuation around it. The kinds' matches are taken out in their order, a
+    character for a character; a word that holds the character TAKEN itself is
+    no candidate.
+    """
+    hint = F.col(text).rlike(rf"(?:[0-9][^0-9{_BLANK}]*+){{{CANDIDATE_DIGITS}}}|{_AT}")
+    df = df.withColumn("_hint", hint).withColumn("_free", F.col(text))
+    for k in KINDS:
+        df = with_pieces(df, "_taken", "_free", PATTERNS[k], F.col("_hint") & _HINTS[k](F.col("_free")))
+        parts = F.transform("_taken", _hidden(k))
+        tail = F.get("_taken_rest", F.size("_taken"))
+        df = df.withColumn("_free", F.when(F.size("_taken") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("_free")))
+        df = df.drop("_taken", "_taken_rest")
+    df = with_pieces(df, "_words", "_free", CANDIDATE, F.col("_hint"))
+
+    def described(w, i):
         tail = F.length(F.regexp_extract(w["value"], r"""[\p{Punct}]*$""", 0))
         head = F.length(F.regexp_extract(w["value"], r"""^[\p{Punct}]*""", 0))
-        return F.struct((w["start"] + head).cast("int").alias("start"), (w["end"] - tail).cast("int").alias("end"), F.substr(w["value"], head + 1, F.length(w["value"]) - head - tail).alias("value"))
+        near = F.lower(in_front(F.col("_words"), i, CONTEXT))
+        nxt = F.lower(F.left(F.coalesce(F.get("_words_rest", i + 1), F.lit("")), F.lit(CONTEXT)))
+        return F.struct(
+            (w["start"] + head).cast("int").alias("start"),
+            (w["end"] - tail).cast("int").alias("end"),
+            F.substr(w["value"], head + 1, F.length(w["value"]) - head - tail).alias("value"),
+            *_around(near, nxt),
+        )
 
-    return F.transform(free, trimmed)
+    free = F.filter(F.transform("_words", described), lambda w: ~w["value"].contains(TAKEN) & (w["end"] > w["start"]))
+    return df.withColumn("_other", free).drop("_hint", "_free", "_words", "_words_rest")
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The word before a place, lower-cased; empty at the beginning of the text."""
-    near = F.substr(text, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(F.lit(CONTEXT), start))
-    return F.lower(F.regexp_extract(near, rf"([^{_BLANK}]++)[{_BLANK}]+$", 1))
+def _around(near: Column, nxt: Column) -> list[Column]:
+    """The patterns of a place with `near` before it and `nxt` after it: the word before, the two before, the word after; empty where there is none."""
+    one = F.regexp_extract(near, rf"([^{_BLANK}]++)[{_BLANK}]+$", 1)
+    two = F.regexp_extract(near, rf"([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)[{_BLANK}]+$", 1)
+    after = F.regexp_extract(nxt, rf"^[{_BLANK}]+([^{_BLANK}]++)", 1)
+    mark = lambda c, p: F.when(c != "", F.concat(F.lit(p), F.regexp_replace(c, rf"[{_BLANK}]+", " "))).otherwise(F.lit(""))
+    return [F.array(mark(one, "< "), mark(two, "<< "), mark(after, "> ")).alias("patterns")]
 
 
 def _instances(texts: DataFrame) -> DataFrame:
-    """kind (null: candidate), value, word: every entity of the fixed patterns and every candidate with the word before it."""
-    base = base_spans(F.col("text"))
-    held = texts.select("text", *[v.alias(k) for k, v in base.items()])
-    held = held.withColumn("other", candidates(F.col("text"), [F.col(k) for k in KINDS]))
-    named = lambda k: lambda s: F.struct(F.lit(k if k in KINDS else None).cast("string").alias("kind"), s["value"].alias("value"), _before(F.col("text"), s["start"]).alias("word"))
-    rows = F.concat(*[F.transform(k, named(k)) for k in (*KINDS, "other")])
-    return held.select(F.inline(rows)).filter("word <> ''")
+    """kind (null: candidate), value, word: every entity of the fixed patterns and every candidate with each pattern around it."""
+    held = with_candidates(texts, "text")
+    for k in KINDS:
+        held = with_pieces(held, f"_{k}", "text", PATTERNS[k], _HINTS[k](F.col("text")))
+
+    def named(k: str) -> Column:
+        spans, rest = F.col(f"_{k}"), F.col(f"_{k}_rest")
+        # Where another match follows at once, its own text is what comes after.
+        nxt = lambda i: F.concat(F.coalesce(F.get(rest, i + 1), F.lit("")), F.coalesce(F.get(spans, i + 1)["value"], F.lit("")))
+        place = lambda i: _around(F.lower(in_front(spans, i, CONTEXT)), F.lower(F.left(nxt(i), F.lit(CONTEXT))))
+        row = lambda s, i: F.struct(F.lit(k).alias("kind"), s["value"].alias("value"), *place(i))
+        return F.filter(F.transform(spans, row), lambda s: _valid(k, s["value"]))
+
+    other = F.transform("_other", lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["value"], s["patterns"].alias("patterns")))
+    rows = F.concat(*[named(k) for k in KINDS], other)
+    return held.select(F.inline(rows)).select("kind", "value", F.explode("patterns").alias("word")).filter("word <> ''")
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> list[tuple[str, str, float]]:
@@ -136,7 +209,11 @@ def learn(docs: DataFrame, text_col: str = "text") -> list[tuple[str, str, float
     if not open_patterns.count():
         return []
     asked = written(open_patterns.select(F.col("word").alias("_asked")).distinct(), "pii-words")
-    words = texts.select(F.explode(F.split(F.lower(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " ")).alias("_word"))
+    held = texts.select(F.filter(F.split(F.lower(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " "), lambda w: w != "").alias("_w"))
+    held = held.select(F.inline(F.arrays_zip(F.col("_w").alias("w"), F.slice("_w", F.lit(2), F.greatest(F.size("_w"), F.lit(1))).alias("v"))))
+    words = held.select(
+        F.explode(F.array_compact(F.array(F.concat(F.lit("< "), "w"), F.concat(F.lit("> "), "w"), F.concat(F.lit("<< "), "w", F.lit(" "), "v")))).alias("_word")
+    )
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_WORDS else asked
     words = words.join(asked, F.col("_word") == F.col("_asked"), "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("places"))
     patterns = written(open_patterns.join(words, F.col("word") == F.col("_word")).select("kind", "word", "seeds", "places"), "pii-places")
@@ -150,8 +227,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> list[tuple[str, str, float
         scores = held.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
         gained = edges.join(scores.select(F.col("kind").alias("_k"), F.col("value").alias("_v"), "score"), (F.col("kind") == F.col("_k")) & (F.col("value") == F.col("_v"))).groupBy(F.col("kind").alias("gk"), F.col("word").alias("gw")).agg(F.sum(F.col("score") * F.col("n")).alias("gain"))
         now = now.join(gained, (F.col("kind") == F.col("gk")) & (F.col("word") == F.col("gw")), "left").select("kind", "word", "seeds", "places", "seed_n", F.least(F.lit(1.0), (F.col("seed_n") + F.coalesce("gain", F.lit(0.0))) / F.col("places")).alias("confidence"))
-    best = now.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seed_n") * 2 >= F.col("places") * MIN_CONFIDENCE)).orderBy(F.desc("seeds"), "kind", "word").limit(MAX_PATTERNS)
-    return [(r["kind"], r["word"], r["confidence"]) for r in best.collect()]  # MAX_PATTERNS rows
+    best = now.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seed_n") * 2 >= F.col("places") * MIN_CONFIDENCE)).orderBy("kind", "word")
+    return [(r["kind"], r["word"], r["confidence"]) for r in best.collect()]  # the model: no more rows than words that often stand by an entity
 
 
 def extract(docs: DataFrame, patterns: list[tuple[str, str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,12 +240,12 @@ def extract(docs: DataFrame, patterns: list[tuple[str, str, float]], id_col: str
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *[v.alias(f"_{k}") for k, v in base_spans(F.col("text")).items()])
+    rows = with_base(rows, "text")
     if patterns:
-        rows = rows.withColumn("_other", F.transform(candidates(F.col("text"), [F.col(f"_{k}") for k in KINDS]), lambda s: F.struct(s["start"], s["end"], _before(F.col("text"), s["start"]).alias("word"))))
+        rows = with_candidates(rows, "text")
     parts = []
     span = lambda k, base: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"))
-    after = lambda words: lambda s: s["word"].isin(words)
+    after = lambda words: lambda s: F.exists(s["patterns"], lambda p: p.isin(words))
     for k in KINDS:
         own = F.transform(f"_{k}", span(k, True))
         words = [w for kind, w, _ in patterns if kind == k]

@@ -59,9 +59,11 @@ class Model:
 def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a text whose words lose `drift` but for those at `at`.
 
-    Linear in the number of scoring words: the words between two of them are one loss.
+    Linear in the number of scoring words: the words between two of them are one
+    loss, and a segment knows the last one before it with a lower sum before it,
+    so the search skips those between.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before it, sum at its end
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before it, sum at its end, the one to go on with
     total, last = 0.0, -1
     for p, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= drift * (p - last - 1)
@@ -72,16 +74,15 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tu
             continue
         first, before = p, total
         total += gain
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= before:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                found.append((first, p, before, total))
-                break
-            first, before = found[j][0], found[j][2]
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= before:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:
+            first, _, before, _, lower = found[j]
             del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            j = lower
+        found.append((first, p, before, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 def features(w, member=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,7 +345,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't predicted toxic. No shuffle."""
+    """The rows of docs, with all their columns, that aren't predicted toxic. No shuffle.
+
+    Null and empty texts have no segments and stay; repeated rows stay or go
+    together; an empty table stays empty. Other columns are passed on as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,6 @@
 """The constraint language of searches: words that narrow which files are looked at.
 
-`*.py` globs over the whole path, `src/` prefixes, `!tests/` exclusions,
+`*.py` globs over the whole path, `src` prefixes, `!tests/` exclusions,
 `git:modified`, `git:untracked`, `size:<10kb`, `mtime:<7d`. Kinds are joined by
 and; inside globs and prefixes all must hold. A word that can't be read is
 dropped with a warning, never an error.
@@ -50,6 +50,21 @@ def glob_regex(pattern: str) -> str:
     return "^(?s:" + "".join(out) + ")$"
 
 
+def _ignored(word: str) -> str:
+    """What a word that can't be read is told. The messages."""
+    if word.startswith("size:"):
+        why = "expected e.g. size:<10kb (operators < <= > >=, units b/kb/mb)"
+    elif word.startswith("mtime:"):
+        why = "expected e.g. mtime:<7d (operators < >, units s/m/h/d/w)"
+    elif word.startswith("git:"):
+        why = "expected git:modified or git:untracked"
+    elif word.startswith("!"):
+        why = "exclusion needs a pattern after '!'"
+    else:
+        why = "unknown constraint scheme"
+    return f"ignored {word!r} \u2014 {why}"
+
+
 def parse(text: str) -> Constraints:
     c = Constraints()
     for word in text.split():
@@ -62,14 +77,14 @@ def parse(text: str) -> Constraints:
             c.ages.append((m[2], float(m[3]) * TIME_UNITS[m[4]]))
         elif word.startswith("!") and len(word) > 1:
             c.excludes.append(word[1:])
-        elif ":" in word:
-            c.warnings.append(f"ignored: {word}")
+        elif word.startswith("!") or re.match(r"(git|size|mtime):", word):
+            c.warnings.append(_ignored(word))
         elif any(x in word for x in "*?["):
             c.globs.append(word)
-        elif word.endswith("/"):
+        elif ":" not in word:
             c.prefixes.append(word)
         else:
-            c.warnings.append(f"ignored: {word}")
+            c.warnings.append(_ignored(word))
     return c
 
 

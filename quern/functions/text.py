@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 #: Fixed value: runs that the token estimate counts, with Unicode letters and digits in either engine.
 TOKEN_RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-#: What is scrubbed from evidence, in this order; the first keeps its key.
-KEYED_SECRET = r"(?i)(^|[^0-9A-Za-z_])(api[_-]?key|token|secret|password)([ \t]*[:=][ \t]*)[\"']?[^ \t\r\n\"',;]+[\"']?"
-SCRUB_PATTERNS = (r"()[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(^|[^0-9A-Za-z_])AKIA[0-9A-Z]{16}", r"(^|[^0-9A-Za-z_])[0-9a-f]{32,64}", r"(^|[^0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(^|[^0-9A-Za-z_])(?:[0-9][ -]?){13,16}", r"(^|[^0-9A-Za-z_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+#: What is scrubbed from evidence, in this order; the first keeps its key. With each, what a text must hold for it.
+_START = r"(^|[^0-9A-Za-z_])"
+KEYED_SECRET = rf"(?i){_START}(api[_-]?key|secret|token|password|passwd|pwd|authorization|bearer)[ \t\n\x0B\f\r]*[:=][ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"
+SCRUB_PATTERNS = (
+    (r"()[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "@"),  # e-mail addresses
+    (_START + r"AKIA[0-9A-Z]{16}\b", "AKIA"),  # AWS access keys
+    (_START + r"(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]+", "k_(?:live|test)_"),  # Stripe keys
+    (_START + r"gh[posru]_[A-Za-z0-9]{20,}", "gh[posru]_"),  # GitHub tokens
+    (_START + r"xox[baprs]-[A-Za-z0-9-]+", "xox[baprs]-"),  # Slack tokens
+    (_START + r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "eyJ"),  # JSON web tokens
+    (_START + r"[A-Za-z0-9][A-Za-z0-9+/]{39,}={0,2}\b", "[A-Za-z0-9+/]{40}"),  # long base64
+    (_START + r"[0-9a-fA-F]{32,}\b", "[0-9a-fA-F]{32}"),  # long hex
+)
 REDACTED = "[redacted]"
 
 
@@ -28,8 +38,9 @@ def token_estimate_bytes(text: Column) -> Column:
 
 def scrubbed(text: Column) -> Column:
     """Keyed secrets first, then the other patterns, each replaced by a mark."""
-    keyed = F.regexp_replace(text, KEYED_SECRET, f"$1$2={REDACTED}")
-    return reduce(lambda t, p: F.regexp_replace(t, p, f"$1{REDACTED}"), SCRUB_PATTERNS, keyed)
+    keyed = F.when(text.rlike("[:=]"), F.regexp_replace(text, KEYED_SECRET, f"$1$2={REDACTED}")).otherwise(text)
+    once = lambda t, p: F.when(text.rlike(p[1]), F.regexp_replace(t, p[0], f"$1{REDACTED}")).otherwise(t)
+    return reduce(once, SCRUB_PATTERNS, keyed)
 
 
 def slug(text: Column) -> Column:
@@ -47,8 +58,9 @@ def short_hash(column: Column, n: int) -> Column:
 
 
 def stable_key(rule: Column, path: Column, symbol: Column, evidence: Column | None = None) -> Column:
-    """rule:12 hex of the hash of rule, path, symbol and evidence that doesn't move."""
-    return F.concat(rule, F.lit(":"), short_hash(F.concat_ws("|", rule, path, F.coalesce(symbol, F.lit("")), *([evidence] if evidence is not None else [])), 12))
+    """rule:12 hex of the hash of rule, path, symbol and the evidence that doesn't move."""
+    parts = [rule, path, F.coalesce(symbol, F.lit("")), evidence if evidence is not None else F.lit("")]
+    return F.concat(rule, F.lit(":"), short_hash(F.concat_ws("|", *parts), 12))
 
 
 def confidence_tier(rule: Column, symbol: Column) -> Column:
@@ -85,7 +97,7 @@ def annotation_escape(text: Column, value: bool = False) -> Column:
 
 # Test-path predicates differ by where they are used; they are kept apart on purpose.
 def is_test_inventory(path: Column) -> Column:
-    return path.startswith("tests/") | path.contains("/tests/")
+    return path.startswith("tests/") | path.contains("/test_")
 
 
 def is_test_search(path: Column) -> Column:
@@ -93,7 +105,7 @@ def is_test_search(path: Column) -> Column:
 
 
 def is_test_python(path: Column) -> Column:
-    return is_test_inventory(path) | path.rlike(r"(^|/)(test_[^/]*|[^/]*_test)\.py$")
+    return path.startswith("tests/") | path.contains("/tests/") | path.rlike(r"(^|/)(test_[^/]*|[^/]*_test)\.py$")
 
 
 def is_test_ts(path: Column) -> Column:

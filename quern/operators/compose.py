@@ -137,7 +137,7 @@ def truncated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", truncated(without_fence(F.concat(F.lit("```text\n"), F.trim("text"), F.lit("\n```")))).alias("line"))
 
 
-@query("""SELECT 'pytest ' || string_agg(path, ' ' ORDER BY path) AS command, count(*) AS tests FROM (SELECT DISTINCT t.path FROM files t JOIN files c ON t.language = c.language AND c.doc_id % 97 = 0 WHERE t.is_test AND t.doc_id < 200)""", "files")
+@query("""SELECT 'pytest ' || string_agg(path, ' ' ORDER BY path) AS command, count(*) AS tests FROM (SELECT DISTINCT t.path FROM files t JOIN files c ON t.language = c.language AND c.doc_id % 97 = 0 WHERE t.is_test)""", "files")
 def select_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests that belong to what changed, as one command."""
     f = views.files(spark, sf_dir)
@@ -167,7 +167,7 @@ def refactor_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.unionByName(callees)
 
 
-@query("""SELECT f.id, rule_id, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS certainty, history FROM findings f JOIN (SELECT l_orderkey, list(l_returnflag ORDER BY l_shipdate, l_linenumber) AS history FROM lineitem GROUP BY 1) h ON f.id = h.l_orderkey WHERE f.id < 500""", "findings")
+@query("""SELECT f.id, rule_id, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS certainty, history FROM findings f JOIN (SELECT l_orderkey, list(l_returnflag ORDER BY l_shipdate, l_linenumber, l_returnflag) AS history FROM lineitem GROUP BY 1) h ON f.id = h.l_orderkey""", "findings")
 def explain_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding with its events in order."""
     h = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("history"))
@@ -181,7 +181,7 @@ def hook_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).filter("r <= 3").orderBy("path", "line_no").limit(60).select("path", "line_no", "text")
 
 
-@query("SELECT path, count(*) AS siblings FROM (SELECT a.path FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files WHERE doc_id < 50) a JOIN (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files) b ON a.d = b.d AND a.path <> b.path) GROUP BY path", "files")
+@query("SELECT path, count(*) AS siblings FROM (SELECT a.path FROM (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files) a JOIN (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files) b ON a.d = b.d AND a.path <> b.path) GROUP BY path", "files")
 def same_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every file, from counts; pairs within a directory aren't made."""
     f = views.files(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("m")).withColumn("d", dirname(F.col("path")))

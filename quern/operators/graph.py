@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,12 +11,13 @@ from pyspark.sql import functions as F
 
 from quern.plans import views
 from quern.registry import query
+from quern.sources.folders import shared_folder
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the session's shared folder and read back, so that a loop's plan stays short."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,12 +29,12 @@ def silos(churned: DataFrame, least: int = 5, share: float = 0.8, cap: int = 100
     return hit.select("path", "churn", F.round("top_share", 6).alias("top_share"), "authors", F.when(F.col("authors") == 1, 0.9).otherwise(0.5).alias("confidence")).orderBy(F.desc("churn"), "path").limit(cap)
 
 
-_CO = "SELECT a.path, b.path AS other, count(*) AS n FROM commit_paths a JOIN commit_paths b ON a.commit_id = b.commit_id AND a.path <> b.path WHERE a.path <= 20 GROUP BY ALL"
+_CO = "SELECT a.path, b.path AS other, count(*) AS n FROM commit_paths a JOIN commit_paths b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY ALL"
 
 
 @query(f", co AS ({_CO}) SELECT path, other, n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, other) AS r FROM co) WHERE r <= 10", "commit_paths")
 def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every path; the SQL asks about those up to 20."""
+    """For every path."""
     return co_changes(views.commit_paths(spark, sf_dir))
 
 
@@ -84,10 +84,10 @@ def related(pairs: DataFrame, commits: DataFrame, brands: DataFrame, top: int =
 
 @query(f""", co AS ({_CO}), reasons AS (
 SELECT path, other, 'co_change' AS reason, 0.3 AS w FROM co UNION ALL
-SELECT DISTINCT a.path, b.path, 'same_author', 0.2 FROM (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id) WHERE path <= 20) a JOIN (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id)) b ON a.author = b.author AND a.path <> b.path UNION ALL
-SELECT a.p_partkey, b.p_partkey, 'same_brand', 0.15 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 20)
+SELECT DISTINCT a.path, b.path, 'same_author', 0.2 FROM (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id)) a JOIN (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id)) b ON a.author = b.author AND a.path <> b.path UNION ALL
+SELECT a.p_partkey, b.p_partkey, 'same_brand', 0.15 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
 SELECT path, other, reasons, least(total, 1.0) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY total DESC, other) AS r FROM (SELECT path, other, list_sort(list(reason)) AS reasons, round(CAST(sum(w) AS DOUBLE), 6) AS total FROM reasons GROUP BY ALL)) WHERE r <= 10""", "commits commit_paths")
 def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every path; the SQL asks about those up to 20. Reasons weigh in by their uncapped sum, so the order doesn't degrade to names where the confidence is full."""
+    """For every path. Reasons weigh in by their uncapped sum, so the order doesn't degrade to names where the confidence is full."""
     brands = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("brand"))
     return related(views.commit_paths(spark, sf_dir), views.commits(spark, sf_dir), brands)

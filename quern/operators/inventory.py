@@ -11,7 +11,7 @@ from quern.plans import views
 from quern.registry import query
 
 #: Suffixes that have a language.
-SUFFIXES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript"}
+SUFFIXES = {".js": "javascript", ".jsx": "javascript", ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript"}
 
 
 def excluded(path: Column, names: tuple[str, ...] = (), parts: tuple[str, ...] = (), patterns: tuple[str, ...] = (), minified: bool = True) -> Column:
@@ -116,7 +116,7 @@ def directory_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).groupBy(dirname(F.col("path")).alias("directory")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("""SELECT count(*) FILTER (WHERE starts_with(path, 'tests/') OR contains(path, '/tests/')) AS inventory, count(*) FILTER (WHERE contains(lower(path), 'test') OR contains(lower(path), 'spec')) AS search,
+@query("""SELECT count(*) FILTER (WHERE starts_with(path, 'tests/') OR contains(path, '/test_')) AS inventory, count(*) FILTER (WHERE contains(lower(path), 'test') OR contains(lower(path), 'spec')) AS search,
 count(*) FILTER (WHERE starts_with(path, 'tests/') OR contains(path, '/tests/') OR regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test)\\.py$')) AS python, count(*) FILTER (WHERE regexp_matches(path, '\\.(test|spec)\\.[jt]sx?$') OR contains(path, '__tests__/')) AS ts, count(*) FILTER (WHERE ends_with(path, '_test.go')) AS go FROM files""", "files")
 def test_path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")

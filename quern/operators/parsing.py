@@ -28,21 +28,41 @@ FACTS = "path string, fact string, name string, kind string, line int, end_line
 _COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
 MIN_STATEMENTS, MIN_NODES = 3, 18
+#: Fixed value: attributes whose decorators and calls register what they are given.
+REGISTRATION = ("tool", "command", "resource", "prompt")
 
 
-def _shape(node: ast.AST) -> str:
-    """The tree without names, docstrings and values: alike for renamed copies."""
-    if isinstance(node, ast.Constant):
-        return type(node.value).__name__
-    parts = []
-    for field, value in ast.iter_fields(node):
-        if field in ("id", "name", "arg", "attr", "ctx", "type_comment", "returns", "annotation", "decorator_list", "lineno"):
-            continue
-        items = value if isinstance(value, list) else [value]
-        if field == "body" and items and isinstance(items[0], ast.Expr) and isinstance(items[0].value, ast.Constant) and isinstance(items[0].value.value, str):
-            items = items[1:]
-        parts += [_shape(x) for x in items if isinstance(x, ast.AST)]
-    return f"{type(node).__name__}({','.join(parts)})"
+class _Shape:
+    """A definition as text, alike for renamed copies: names are numbered as they first appear, docstrings and values left out."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+
+    def _name(self, name: str) -> str:
+        return f"#{self.numbers.setdefault(name, len(self.numbers))}"
+
+    def of(self, node: ast.AST) -> str:
+        own, inner = type(node).__name__, list(ast.iter_child_nodes(node))
+        if isinstance(node, (ast.Constant, ast.Name, ast.arg, ast.alias)):
+            if isinstance(node, ast.Constant):
+                kind = "number" if isinstance(node.value, (int, float, complex)) and not isinstance(node.value, bool) else type(node.value).__name__
+                return f"{own}:{kind}"
+            return own + self._name(node.id if isinstance(node, ast.Name) else node.arg if isinstance(node, ast.arg) else node.name)
+        if isinstance(node, ast.keyword):
+            own, inner = own + (self._name(node.arg) if node.arg else "*"), [node.value]
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            head = node.bases if isinstance(node, ast.ClassDef) else [node.args]
+            inner = [*head, *(node.body[1:] if ast.get_docstring(node) is not None else node.body)]
+        return f"{own}[{' '.join(self.of(x) for x in inner)}]"
+
+
+def fingerprint(node: ast.AST) -> tuple[int, str] | None:
+    """Nested statements and the hash of the shape; none for what is too small to tell."""
+    inner = list(ast.walk(node))
+    statements = sum(isinstance(x, ast.stmt) for x in inner) - 1
+    if statements < MIN_STATEMENTS or len(inner) < MIN_NODES:
+        return None
+    return statements, hashlib.sha256(_Shape().of(node).encode()).hexdigest()[:16]
 
 
 def _depth(node: ast.AST, level: int = 0) -> int:
@@ -79,24 +99,51 @@ def python_rows(path: str, text: str) -> list[tuple]:
         skips = sum("skip" in ast.dump(d) for d in f.decorator_list)
         return asserts, trivial, mocks, skips
 
+    def uses(annotation: ast.AST | None) -> None:
+        """Names in an annotation, also in one that is a string."""
+        if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
+            try:
+                inner = ast.parse(annotation.value, mode="eval")
+            except SyntaxError:
+                return
+            for x in ast.walk(inner):
+                if isinstance(x, ast.Name):
+                    add("reference", x.id, "annotation", annotation.lineno)
+        elif annotation is not None:
+            for x in ast.walk(annotation):
+                if isinstance(x, (ast.Name, ast.Attribute)):
+                    add("reference", _called(x), "annotation", x.lineno)
+
+    def registered(c) -> None:
+        for d in c.decorator_list:
+            target = d.func if isinstance(d, ast.Call) else d
+            if isinstance(target, ast.Attribute) and target.attr in REGISTRATION:
+                add("entry", c.name, "decorated", c.lineno)
+
     def visit(node: ast.AST, owners: tuple[str, ...], inside_class: bool) -> None:
         for c in ast.iter_child_nodes(node):
             if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 kind = ("async_" if isinstance(c, ast.AsyncFunctionDef) else "") + ("method" if inside_class else "function")
                 name = ".".join((*owners, c.name))
                 add("symbol", name, kind, c.lineno, c.end_lineno, len(owners), ast.unparse(c.args))
-                body = c.body[1:] if ast.get_docstring(c) else c.body
-                if len(body) >= MIN_STATEMENTS and sum(1 for _ in ast.walk(c)) >= MIN_NODES:
-                    add("fingerprint", name, kind, c.lineno, c.end_lineno, len(body), hashlib.sha256(_shape(c).encode()).hexdigest()[:16])
+                if shape := fingerprint(c):
+                    add("fingerprint", name, kind, c.lineno, c.end_lineno, *shape)
                 if c.name.startswith("test"):
                     a, t, m, s = test_counts(c)
-                    add("test", name, kind, c.lineno, c.end_lineno, a, f"{t},{m},{s}")
-                for d in c.decorator_list:
-                    if isinstance(d, ast.Call) or isinstance(d, ast.Attribute):
-                        add("entry", c.name, "decorated", c.lineno)
+                    body = c.body[1:] if ast.get_docstring(c) is not None else c.body
+                    empty = all(isinstance(x, ast.Pass) or isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) for x in body)
+                    add("test", name, kind, c.lineno, c.end_lineno, a, f"{t},{m},{s},{int(empty)}")
+                registered(c)
+                args = c.args
+                for annotated in [*args.posonlyargs, *args.args, *args.kwonlyargs, args.vararg, args.kwarg]:
+                    uses(annotated and annotated.annotation)
+                uses(c.returns)
                 visit(c, (*owners, c.name), False)
             elif isinstance(c, ast.ClassDef):
                 add("symbol", ".".join((*owners, c.name)), "class", c.lineno, c.end_lineno, len(owners), ",".join(ast.unparse(b) for b in c.bases))
+                if shape := fingerprint(c):
+                    add("fingerprint", ".".join((*owners, c.name)), "class", c.lineno, c.end_lineno, *shape)
+                registered(c)
                 visit(c, (*owners, c.name), True)
             else:
                 visit(c, owners, inside_class)
@@ -109,10 +156,18 @@ def python_rows(path: str, text: str) -> list[tuple]:
         elif isinstance(x, ast.ImportFrom):
             for a in x.names:
                 add("import", x.module or "", None, x.lineno, n=x.level, text=a.name)
-        elif isinstance(x, ast.Call) and _called(x):
-            add("reference", _called(x), "call", x.lineno)
-        elif isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
-            add("reference", x.id, "name", x.lineno, confidence=0.4)
+        elif isinstance(x, ast.Call):
+            if _called(x):
+                add("reference", _called(x), "call", x.lineno)
+            named = x.args[1] if isinstance(x.func, ast.Name) and x.func.id == "getattr" and len(x.args) > 1 else None
+            if isinstance(named, ast.Constant) and isinstance(named.value, str):
+                add("entry", named.value, "dispatched", x.lineno)
+            if isinstance(x.func, ast.Call) and isinstance(x.func.func, ast.Attribute) and x.func.func.attr in REGISTRATION:
+                for a in x.args:
+                    if isinstance(a, ast.Name):
+                        add("entry", a.id, "registered", x.lineno)
+        elif isinstance(x, ast.AnnAssign):
+            uses(x.annotation)
         elif isinstance(x, ast.Constant) and isinstance(x.value, str):
             add("literal", None, None, x.lineno, text=x.value)
         elif isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) and isinstance(x.value, (ast.List, ast.Tuple)):
@@ -139,13 +194,15 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 
 def _closed(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts with end_line: the first line from the start on at which the braces opened since are closed again."""
+    """starts with end_line: the first line after the start at which the braces opened since are closed again."""
     delta = F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))
     depth = lines.select(F.col("path").alias("_p"), F.col("line").alias("_l"), F.sum(delta).over(Window.partitionBy("path").orderBy("line")).alias("_after"), delta.alias("_d"))
     j = starts.join(depth.select("_p", "_l", (F.col("_after") - F.col("_d")).alias("_before")), (F.col("path") == F.col("_p")) & (F.col("line") == F.col("_l"))).drop("_p", "_l")
+    # The first later line at which they are closed; the start itself if none does.
     ends = depth.select(F.col("_p").alias("_q"), F.col("_l").alias("_e"), "_after")
-    k = j.join(ends, (F.col("path") == F.col("_q")) & (F.col("_e") >= F.col("line")) & (F.col("_after") <= F.col("_before")), "left")
-    return k.groupBy(*starts.columns).agg(F.coalesce(F.min(F.when((F.col("_e") > F.col("line")) | True, F.col("_e"))), F.col("line")).cast("int").alias("end_line"))
+    later = (F.col("path") == F.col("_q")) & (F.col("_e") > F.col("line")) & (F.col("_after") <= F.col("_before"))
+    k = j.join(ends, later, "left")
+    return k.groupBy(*starts.columns).agg(F.coalesce(F.min("_e"), F.col("line")).cast("int").alias("end_line"))
 
 
 def ts_symbols(files: DataFrame) -> DataFrame:

@@ -35,14 +35,30 @@ class Thresholds:
     props: int = 8
     exports: int = 10
     route_lines: int = 40
+    relative: bool = True
 
     @staticmethod
     def strict() -> Thresholds:
-        return Thresholds(file_lines=200, function_lines=30, class_lines=120, todos=2, depth=3, component_lines=100)
+        return Thresholds(
+            file_lines=70,
+            function_lines=25,
+            class_lines=60,
+            imports=12,
+            depth=4,
+            todos=3,
+            literal_count=3,
+            literal_length=4,
+            relative=False,
+            component_lines=12,
+            hooks=1,
+            props=3,
+            exports=3,
+            route_lines=3,
+        )
 
 
 #: Fixed value: verbs of names; three in one file mean mixed responsibilities.
-VERBS = ("load", "save", "parse", "render", "validate", "send")
+VERBS = ("load", "save", "render", "export", "build", "summarize")
 CAP = 200
 
 
@@ -78,7 +94,8 @@ def rule(f: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
 
 def run_rules(facts: Facts, names: list[str] | None = None) -> DataFrame:
     """Findings of the named rules, or of all, in the order of the registry."""
-    return reduce(DataFrame.unionByName, [RULES[n](facts) for n in (names or RULES)])
+    chosen = [n for n in (names or RULES) if facts.at.relative or "relative" not in n]
+    return reduce(DataFrame.unionByName, [RULES[n](facts) for n in chosen])
 
 
 def _is(*suffixes: str) -> Column:
@@ -86,7 +103,7 @@ def _is(*suffixes: str) -> Column:
 
 
 def _ts() -> Column:
-    return _is(".ts", ".tsx", ".js", ".jsx", ".mjs")
+    return _is(".ts", ".tsx", ".js", ".jsx")
 
 
 def _sized(f: Facts, where: Column, name: str, confidence: float = 0.9) -> DataFrame:
@@ -94,14 +111,14 @@ def _sized(f: Facts, where: Column, name: str, confidence: float = 0.9) -> DataF
     return finding(n, name, "warning", confidence, F.concat(F.col("n"), F.lit(" lines")))
 
 
-def _marked(f: Facts, where: Column, pattern: str, least: int, name: str, word: str) -> DataFrame:
+def _marked(f: Facts, where: Column, pattern: str, least: int, name: str, word: str, confidence: float) -> DataFrame:
     n = parsing.source_lines(f.files.filter(where)).filter(F.upper("text").rlike(pattern)).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("l")).filter(F.col("n") >= least)
-    return finding(n, name, "info", 0.7, F.concat(F.col("n"), F.lit(f" {word} lines")), line=F.col("l"))
+    return finding(n, name, "info", confidence, F.concat(F.col("n"), F.lit(f" {word} lines")), line=F.col("l"))
 
 
-def _repeated(literals: DataFrame, least: int, length: Column, name: str) -> DataFrame:
+def _repeated(literals: DataFrame, least: int, length: Column, name: str, confidence: float) -> DataFrame:
     n = literals.filter(length).groupBy("path", "literal").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("l")).filter(F.col("n") >= least)
-    return finding(n, name, "info", 0.8, F.concat(F.lit("literal used "), F.col("n"), F.lit(" times")), symbol=F.substring(F.sha2("literal", 256), 1, 12), line=F.col("l"))
+    return finding(n, name, "info", confidence, F.concat(F.lit("literal used "), F.col("n"), F.lit(" times")), symbol=F.substring(F.sha2("literal", 256), 1, 12), line=F.col("l"))
 
 
 def _text_literals(f: Facts, where: Column) -> DataFrame:
@@ -135,23 +152,23 @@ def python_large_class(f: Facts) -> DataFrame:
 
 @rule
 def python_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _is(".py"), "TODO|FIXME|HACK", f.at.todos, "python.todo_cluster", "marker")
+    return _marked(f, _is(".py"), "TODO|FIXME|HACK", f.at.todos, "python.todo_cluster", "marker", 0.9)
 
 
 @rule
 def python_duplicate_literal(f: Facts) -> DataFrame:
-    return _repeated(f.python.filter("fact = 'literal'").withColumn("literal", F.col("text")), f.at.literal_count, F.length("literal") >= f.at.literal_length, "python.duplicate_literal")
+    return _repeated(f.python.filter("fact = 'literal'").withColumn("literal", F.col("text")), f.at.literal_count, F.length("literal") >= f.at.literal_length, "python.duplicate_literal", 0.85)
 
 
 @rule
 def python_too_many_imports(f: Facts) -> DataFrame:
     n = f.python.filter("fact = 'import'").groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.imports)
-    return finding(n, "python.too_many_imports", "warning", 0.8, F.concat(F.col("n"), F.lit(" imports")))
+    return finding(n, "python.too_many_imports", "info", 0.75, F.concat(F.col("n"), F.lit(" imports")))
 
 
 @rule
 def python_deep_nesting(f: Facts) -> DataFrame:
-    return finding(f.python.filter((F.col("fact") == "depth") & (F.col("n") > f.at.depth)), "python.deep_nesting", "warning", 0.8, F.concat(F.lit("depth "), F.col("n")))
+    return finding(f.python.filter((F.col("fact") == "depth") & (F.col("n") > f.at.depth)), "python.deep_nesting", "warning", 0.75, F.concat(F.lit("depth "), F.col("n")))
 
 
 @rule
@@ -160,20 +177,20 @@ def python_missing_nearby_test(f: Facts) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]+)\.py$", 1)
     own = _symbols(f).filter(~is_test_python(F.col("path"))).select("path", stem.alias("stem")).distinct()
     tests = f.files.filter(is_test_python(F.col("path"))).select(F.regexp_replace(stem, "^test_|_test$", "").alias("_s")).distinct()
-    return finding(own.join(tests, F.col("stem") == F.col("_s"), "left_anti"), "python.missing_nearby_test", "info", 0.6, "no test file for this module")
+    return finding(own.join(tests, F.col("stem") == F.col("_s"), "left_anti"), "python.missing_nearby_test", "info", 0.65, "no test file for this module")
 
 
 @rule
 def python_mixed_responsibilities(f: Facts) -> DataFrame:
     verb = F.regexp_extract(F.element_at(F.split("name", r"\."), -1), f"^({'|'.join(VERBS)})_", 1)
     v = _symbols(f).select("path", verb.alias("v")).filter("v <> ''").groupBy("path").agg(F.countDistinct("v").alias("n")).filter("n >= 3")
-    long = f.files.select(F.col("path").alias("_p"), line_count(F.col("text")).alias("lines")).filter(F.col("lines") >= f.at.function_lines)
-    return finding(v.join(long, F.col("path") == F.col("_p")), "python.mixed_responsibilities", "warning", 0.6, F.concat(F.col("n"), F.lit(" kinds of work")))
+    long = f.files.select(F.col("path").alias("_p"), line_count(F.col("text")).alias("lines")).filter(F.col("lines") >= f.at.file_lines)
+    return finding(v.join(long, F.col("path") == F.col("_p")), "python.mixed_responsibilities", "info", 0.55, F.concat(F.col("n"), F.lit(" kinds of work")))
 
 
 @rule
 def python_suspicious_slop_candidate(f: Facts) -> DataFrame:
-    return _marked(f, _is(".py"), "GENERATED BY|PLACEHOLDER", 1, "python.suspicious_slop_candidate", "generated")
+    return _marked(f, _is(".py"), "GENERATED BY|PLACEHOLDER", 1, "python.suspicious_slop_candidate", "generated", 0.5)
 
 
 @rule
@@ -198,7 +215,7 @@ def python_relative_large_class(f: Facts) -> DataFrame:
 def python_structural_near_duplicate(f: Facts) -> DataFrame:
     p = f.python.filter("fact = 'fingerprint'")
     n = p.groupBy(F.col("text").alias("_t")).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("path", "line")).alias("first")).filter("members >= 2")
-    return finding(p.join(n, F.col("text") == F.col("_t")).filter((F.col("path") == F.col("first.path")) & (F.col("line") == F.col("first.line"))), "python.structural_near_duplicate", "warning", 0.7, F.concat(F.lit("same shape as "), F.col("members") - 1, F.lit(" more")), symbol=F.col("name"), line=F.col("line"))
+    return finding(p.join(n, F.col("text") == F.col("_t")).filter((F.col("path") == F.col("first.path")) & (F.col("line") == F.col("first.line"))), "python.structural_near_duplicate", "info", 0.8, F.concat(F.lit("same shape as "), F.col("members") - 1, F.lit(" more")), symbol=F.col("name"), line=F.col("line"))
 
 
 @rule
@@ -206,7 +223,7 @@ def python_dead_code_candidate(f: Facts) -> DataFrame:
     """Symbols of a module's top level that no reference, import or entry point names."""
     top = _symbols(f).filter((F.col("n") == 0) & ~F.col("name").startswith("__") & ~is_test_python(F.col("path")))
     used = f.python.filter("fact in ('reference', 'entry')").select(F.col("name").alias("_u")).unionByName(f.python.filter("fact = 'import' and text is not null").select(F.col("text").alias("_u"))).distinct()
-    return finding(top.join(used, F.col("name") == F.col("_u"), "left_anti").orderBy("path", "line").limit(CAP), "python.dead_code_candidate", "info", 0.5, "not used anywhere", symbol=F.col("name"), line=F.col("line"))
+    return finding(top.join(used, F.col("name") == F.col("_u"), "left_anti").orderBy("path", "line").limit(CAP), "python.dead_code_candidate", "info", 0.6, "not used anywhere", symbol=F.col("name"), line=F.col("line"))
 
 
 def _import_edges(f: Facts) -> DataFrame:
@@ -233,17 +250,19 @@ def python_import_cycle(f: Facts) -> DataFrame:
 
 
 def _test_findings(tests: DataFrame, f: Facts, language: str) -> DataFrame:
-    """tests: path, name, line, asserts, trivial, mocks; the first that applies counts."""
-    kind = F.when((F.col("asserts") > 0) & (F.col("asserts") == F.col("trivial")), "no_op").when((F.col("mocks") >= f.at.mocks) & (F.col("mocks") > 2 * F.col("asserts")), "over_mocked").when(F.col("asserts") == 0, "assertion_free")
+    """tests: path, name, line, asserts, trivial, mocks, empty; the first that applies counts."""
+    nothing = F.col("empty") | ((F.col("trivial") > 0) & (F.col("asserts") == F.col("trivial")))
+    kind = F.when(nothing, "no_op").when((F.col("mocks") >= f.at.mocks) & (F.col("mocks") > 2 * F.col("asserts")), "over_mocked").when(F.col("asserts") == 0, "assertion_free")
     t = tests.withColumn("k", kind).filter("k is not null").orderBy("path", "line").limit(CAP)
-    out = finding(t, language, "warning", 0.7, F.concat(F.col("k"), F.lit(" test")), symbol=F.col("name"), line=F.col("line"))
+    sure = F.when(F.col("k") == "over_mocked", 0.7).otherwise(0.8 if language == "python" else 0.7)
+    out = finding(t, language, "warning", sure, F.concat(F.col("k"), F.lit(" test")), symbol=F.col("name"), line=F.col("line"))
     return out.withColumn("rule_id", F.concat(F.lit(f"{language}."), F.split("message", " ")[0], F.lit("_test")))
 
 
 @rule
 def python_test_quality(f: Facts) -> DataFrame:
     part = F.split("text", ",")
-    tests = f.python.filter("fact = 'test'").select("path", "name", "line", F.col("n").alias("asserts"), part[0].cast("long").alias("trivial"), part[1].cast("long").alias("mocks"))
+    tests = f.python.filter("fact = 'test'").select("path", "name", "line", F.col("n").alias("asserts"), part[0].cast("long").alias("trivial"), part[1].cast("long").alias("mocks"), (part[3] == "1").alias("empty"))
     return _test_findings(tests, f, "python")
 
 
@@ -266,7 +285,7 @@ def _ts_tests(f: Facts) -> DataFrame:
 
 @rule
 def typescript_test_quality(f: Facts) -> DataFrame:
-    return _test_findings(_ts_tests(f), f, "typescript")
+    return _test_findings(_ts_tests(f).withColumn("empty", F.lit(False)), f, "typescript")
 
 
 @rule
@@ -277,14 +296,14 @@ def typescript_skipped_test_cluster(f: Facts) -> DataFrame:
 
 @rule
 def typescript_large_component(f: Facts) -> DataFrame:
-    return _span(f.ts, ["component"], f.at.component_lines, "typescript.large_component", 0.9)
+    return _span(f.ts, ["component"], f.at.component_lines, "typescript.large_component", 0.8)
 
 
 def _in_symbols(f: Facts, kinds: list[str], pattern: str, most: int, name: str, word: str) -> DataFrame:
     lines = parsing.source_lines(f.files.filter(_ts())).select(F.col("path").alias("_p"), F.col("line").alias("_l"), F.regexp_count("text", F.lit(pattern)).alias("c"))
     s = f.ts.filter(F.col("kind").isin(*kinds))
     n = s.join(lines, (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("line"), F.col("end_line"))).groupBy("path", "name", "line").agg(F.sum("c").alias("n")).filter(F.col("n") > most)
-    return finding(n, name, "warning", 0.8, F.concat(F.col("n"), F.lit(f" {word}")), symbol=F.col("name"), line=F.col("line"))
+    return finding(n, name, "info", 0.7, F.concat(F.col("n"), F.lit(f" {word}")), symbol=F.col("name"), line=F.col("line"))
 
 
 @rule
@@ -300,28 +319,28 @@ def react_too_many_props(f: Facts) -> DataFrame:
     marker = F.when(F.col("text").rlike(r"^\s*(?:export\s+)?type\s+\w*Props\s*=\s*\{"), "open").when(F.col("text").rlike(r"^\s*\};"), "closed")
     state = F.last(marker, ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
     n = parsing.source_lines(f.files.filter(_ts())).withColumn("s", state).filter((F.col("s") == "open") & F.col("text").rlike(r"^\s*readonly\s")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.props)
-    return finding(n, "react.too_many_props", "warning", 0.8, F.concat(F.col("n"), F.lit(" props")))
+    return finding(n, "react.too_many_props", "info", 0.65, F.concat(F.col("n"), F.lit(" props")))
 
 
 @rule
 def typescript_too_many_exports(f: Facts) -> DataFrame:
     n = parsing.source_lines(f.files.filter(_ts())).filter(F.col("text").rlike(r"^\s*export\s")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.exports)
-    return finding(n, "typescript.too_many_exports", "warning", 0.8, F.concat(F.col("n"), F.lit(" exports")))
+    return finding(n, "typescript.too_many_exports", "info", 0.65, F.concat(F.col("n"), F.lit(" exports")))
 
 
 @rule
 def next_route_handler_too_much(f: Facts) -> DataFrame:
-    return _span(f.ts, ["route"], f.at.route_lines, "next.route_handler_too_much", 0.8)
+    return _span(f.ts, ["route"], f.at.route_lines, "next.route_handler_too_much", 0.75)
 
 
 @rule
 def typescript_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _ts(), "TODO|FIXME|HACK", f.at.ts_todos, "typescript.todo_cluster", "marker")
+    return _marked(f, _ts(), "TODO|FIXME|HACK", f.at.ts_todos, "typescript.todo_cluster", "marker", 0.8)
 
 
 @rule
 def typescript_duplicate_literal(f: Facts) -> DataFrame:
-    return _repeated(_text_literals(f, _ts()), 2, F.length("literal") > 4, "typescript.duplicate_literal")
+    return _repeated(_text_literals(f, _ts()), 2, F.length("literal") > 4, "typescript.duplicate_literal", 0.7)
 
 
 @rule
@@ -329,12 +348,12 @@ def typescript_missing_nearby_test(f: Facts) -> DataFrame:
     stem = F.regexp_replace("path", r"\.[jt]sx?$", "")
     own = f.ts.filter(~is_test_ts(F.col("path"))).select("path").distinct().withColumn("stem", stem)
     tests = f.files.filter(is_test_ts(F.col("path"))).select(F.regexp_replace("path", r"\.(test|spec)\.[jt]sx?$", "").alias("_s")).distinct()
-    return finding(own.join(tests, F.col("stem") == F.col("_s"), "left_anti"), "typescript.missing_nearby_test", "info", 0.6, "no test file beside it")
+    return finding(own.join(tests, F.col("stem") == F.col("_s"), "left_anti"), "typescript.missing_nearby_test", "info", 0.65, "no test file beside it")
 
 
 @rule
 def typescript_suspicious_slop_candidate(f: Facts) -> DataFrame:
-    return _marked(f, _ts(), "GENERATED BY|PLACEHOLDER", 1, "typescript.suspicious_slop_candidate", "generated")
+    return _marked(f, _ts(), "GENERATED BY|PLACEHOLDER", 1, "typescript.suspicious_slop_candidate", "generated", 0.5)
 
 
 @rule
@@ -344,7 +363,7 @@ def go_large_file(f: Facts) -> DataFrame:
 
 @rule
 def go_large_function(f: Facts) -> DataFrame:
-    return _span(f.go, ["function", "method"], f.at.function_lines, "go.large_function", 0.8)
+    return _span(f.go, ["function", "method"], f.at.function_lines, "go.large_function", 0.9)
 
 
 @rule
@@ -353,12 +372,12 @@ def go_missing_nearby_test(f: Facts) -> DataFrame:
     directory = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     own = f.go.filter((F.col("kind") == "function") & F.col("name").rlike("^[A-Z]") & ~is_test_go(F.col("path"))).select("path", directory.alias("d")).distinct()
     tests = f.files.filter(is_test_go(F.col("path"))).select(directory.alias("_d")).distinct()
-    return finding(own.join(tests, F.col("d") == F.col("_d"), "left_anti"), "go.missing_nearby_test", "info", 0.6, "no test file in the directory")
+    return finding(own.join(tests, F.col("d") == F.col("_d"), "left_anti"), "go.missing_nearby_test", "warning", 0.6, "no test file in the directory")
 
 
 @rule
 def go_duplicate_literal(f: Facts) -> DataFrame:
-    return _repeated(_text_literals(f, _is(".go")), f.at.literal_count, F.length("literal") >= f.at.literal_length, "go.duplicate_literal")
+    return _repeated(_text_literals(f, _is(".go")), f.at.literal_count, F.length("literal") >= f.at.literal_length, "go.duplicate_literal", 0.8)
 
 
 def _generic() -> Column:
@@ -367,17 +386,17 @@ def _generic() -> Column:
 
 @rule
 def generic_large_file(f: Facts) -> DataFrame:
-    return _sized(f, _generic(), "generic.large_file", 0.7)
+    return _sized(f, _generic(), "generic.large_file", 0.8)
 
 
 @rule
 def generic_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _generic(), "TODO|FIXME|HACK", f.at.todos, "generic.todo_cluster", "marker")
+    return _marked(f, _generic(), "TODO|FIXME|HACK", f.at.todos, "generic.todo_cluster", "marker", 0.8)
 
 
 @rule
 def generic_duplicate_literal(f: Facts) -> DataFrame:
-    return _repeated(_text_literals(f, _generic()), f.at.literal_count, F.length("literal") >= f.at.literal_length, "generic.duplicate_literal")
+    return _repeated(_text_literals(f, _generic()), f.at.literal_count, F.length("literal") >= f.at.literal_length, "generic.duplicate_literal", 0.7)
 
 
 def changed_without_test(changed: DataFrame, tests: DataFrame) -> DataFrame:

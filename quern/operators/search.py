@@ -141,18 +141,24 @@ def search_with_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("path", F.round(100.0 + boost, 6).alias("score"), reasons.alias("reasons"))
 
 
-def markers(lines: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """path, line_no, marker, note, score: lines with one of the marker words; 80, what the marker adds, 20 for a hit in the line."""
+def markers(lines: DataFrame, weights: dict[str, float], wanted: str = "") -> DataFrame:
+    """path, line_no, marker, note, score: lines with one of the marker words; 80, what the marker adds, and for `wanted` 15 if the path and 20 if the line has it.
+
+    Lines of which neither does are left out.
+    """
     rx = rf"\b({'|'.join(weights)})\b:?\s*(.*)"
     marker = F.regexp_extract("text", rx, 1)
     added = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("marker")), F.lit(0.0))
-    return lines.withColumn("marker", marker).filter("marker <> ''").select("path", "line_no", "marker", F.trim(F.substring(F.regexp_extract("text", rx, 2), 1, 60)).alias("note"), (80.0 + added).alias("score"))
+    in_path, in_line = (smart_case(F.col(c), wanted) if wanted else F.lit(False) for c in ("path", "text"))
+    score = 80.0 + added + F.when(in_path, 15.0).otherwise(0.0) + F.when(in_line, 20.0).otherwise(0.0)
+    hit = lines.withColumn("marker", marker).filter("marker <> ''").filter(in_path | in_line | F.lit(not wanted))
+    return hit.select("path", "line_no", "marker", F.trim(F.substring(F.regexp_extract("text", rx, 2), 1, 60)).alias("note"), score.alias("score"))
 
 
-@query("""SELECT path, line_no, marker, trim(substr(regexp_extract(text, '\\b(Licensed|token|idiot)\\b:?\\s*(.*)', 2), 1, 60)) AS note, CAST(80.0 + CASE marker WHEN 'Licensed' THEN 12.0 WHEN 'token' THEN 10.0 ELSE 8.0 END AS DOUBLE) AS score
-FROM (SELECT *, regexp_extract(text, '\\b(Licensed|token|idiot)\\b:?\\s*(.*)', 1) AS marker FROM lines) WHERE marker <> ''""", "lines")
+@query("""SELECT path, line_no, marker, trim(substr(regexp_extract(text, '\\b(Licensed|token|idiot)\\b:?\\s*(.*)', 2), 1, 60)) AS note, CAST(80.0 + CASE marker WHEN 'Licensed' THEN 12.0 WHEN 'token' THEN 10.0 ELSE 8.0 END + CASE WHEN contains(lower(path), 'src1') THEN 15.0 ELSE 0.0 END + CASE WHEN contains(lower(text), 'src1') THEN 20.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM (SELECT *, regexp_extract(text, '\\b(Licensed|token|idiot)\\b:?\\s*(.*)', 1) AS marker FROM lines) WHERE marker <> '' AND (contains(lower(path), 'src1') OR contains(lower(text), 'src1'))""", "lines")
 def marker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markers(views.lines(spark, sf_dir), {"Licensed": 12.0, "token": 10.0, "idiot": 8.0})
+    return markers(views.lines(spark, sf_dir), {"Licensed": 12.0, "token": 10.0, "idiot": 8.0}, "src1")
 
 
 _TERMS = ("src1", "doc", "license")

@@ -135,17 +135,19 @@ def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.round(F.sum("ours") / F.sum("naive"), 6).alias("ratio"))
 
 
-def _scrub_sql() -> str:
-    from quern.functions.text import KEYED_SECRET, REDACTED, SCRUB_PATTERNS
-
-    q = lambda p: p.replace("'", "''")
-    out = f"regexp_replace(text, '{q(KEYED_SECRET)}', '\\1\\2={REDACTED}', 'g')"
-    for p in SCRUB_PATTERNS:
-        out = f"regexp_replace({out}, '{q(p)}', '\\1{REDACTED}', 'g')"
-    return out
-
-
-@query(f"SELECT doc_id, sha256(clean) AS clean_hash FROM (SELECT doc_id, text, {_scrub_sql()} AS clean FROM documents) WHERE clean <> text")
+_SCRUB_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+'(?i)(^|[^0-9A-Za-z_])(api[_-]?key|secret|token|password|passwd|pwd|authorization|bearer)[ \t\n\x0B\f\r]*[:=][ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+', '\1\2=[redacted]', 'g'),
+'[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])AKIA[0-9A-Z]{16}\b', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]+', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])gh[posru]_[A-Za-z0-9]{20,}', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])xox[baprs]-[A-Za-z0-9-]+', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])[A-Za-z0-9][A-Za-z0-9+/]{39,}={0,2}\b', '\1[redacted]', 'g'),
+'(^|[^0-9A-Za-z_])[0-9a-fA-F]{32,}\b', '\1[redacted]', 'g')"""
+
+
+@query(f"SELECT doc_id, sha256(clean) AS clean_hash FROM (SELECT doc_id, text, {_SCRUB_SQL} AS clean FROM documents) WHERE clean <> text")
 def scrub_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents").select("doc_id", "text", scrubbed(F.col("text")).alias("clean"))
     return d.filter("clean <> text").select("doc_id", F.sha2("clean", 256).alias("clean_hash"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,10 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quern.operators.sessions import _STATS, session_totals
 from quern.plans import views
 from quern.registry import ORACLE_SQL, query
+from quern.sources.folders import shared_folder
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
 
 

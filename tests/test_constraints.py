@@ -19,6 +19,7 @@ def test_glob_is_fnmatch(pattern, path):
     [
         ("*.py", "globs", ["*.py"]),
         ("src/", "prefixes", ["src/"]),
+        ("plain", "prefixes", ["plain"]),
         ("!tests/", "excludes", ["tests/"]),
         ("git:modified", "git", ["modified"]),
         ("size:<10kb", "sizes", [("<", 10240.0)]),
@@ -29,8 +30,18 @@ def test_words(word, field, value):
     assert getattr(parse(word), field) == value
 
 
-@pytest.mark.parametrize("word", ["size:<10xb", "mtime:<=7d", "git:other", "plain", "size:"])
-def test_unreadable_words_warn(word):
+@pytest.mark.parametrize(
+    ("word", "why"),
+    [
+        ("size:<10xb", "expected e.g. size:<10kb (operators < <= > >=, units b/kb/mb)"),
+        ("size:", "expected e.g. size:<10kb (operators < <= > >=, units b/kb/mb)"),
+        ("mtime:<=7d", "expected e.g. mtime:<7d (operators < >, units s/m/h/d/w)"),
+        ("git:other", "expected git:modified or git:untracked"),
+        ("!", "exclusion needs a pattern after '!'"),
+        ("lang:py", "unknown constraint scheme"),
+    ],
+)
+def test_unreadable_words_warn(word, why):
     c = parse(word)
-    assert c.warnings == [f"ignored: {word}"]
-    assert not (c.globs or c.prefixes or c.sizes or c.ages or c.git)
+    assert c.warnings == [f"ignored {word!r} \u2014 {why}"]
+    assert not (c.globs or c.prefixes or c.excludes or c.sizes or c.ages or c.git)

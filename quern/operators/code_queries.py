@@ -46,7 +46,7 @@ def go_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.go_symbols(go).select("path", "name", "kind", "line", "end_line").unionByName(parsing.go_imports(go).select("path", F.col("module").alias("name"), F.lit("import").alias("kind"), "line", F.col("line").alias("end_line")))
 
 
-#: What the sources above hold, told by reading them.
+#: What the sources above hold.
 _EXPECTED = """SELECT rule_id, file_path, CAST(symbol AS VARCHAR) AS symbol, severity, CAST(confidence AS DOUBLE) AS confidence, message, CAST(line AS INTEGER) AS line FROM (VALUES
 ('generic.todo_cluster', 'lib/widget.rb', NULL, 'info', 0.8, '3 marker lines', 1),
 ('go.duplicate_literal', 'srv/main.go', substr(sha256('listening on port'), 1, 12), 'info', 0.8, 'literal used 4 times', 13),

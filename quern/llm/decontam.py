@@ -4,11 +4,13 @@ Texts are words (runs of letters and digits, lower-cased). The CGK random
 walk reads a window word by word: at each step it writes the word it stands on
 and moves on or stays by a random bit of that word, so windows at a small edit
 distance become strings at a small Hamming distance. A repetition has its own
-walk and samples SAMPLES of the STEPS places; equal samples make a candidate.
-Items are indexed from each of their words, documents read from each STRIDE-th
-word, so an occurrence is met many times, whatever its offset; REPEATS of them
-reach the target recall (see `recall`). A candidate fixes an item-sized window
-of the document, where the least edit distance of the item to any part decides.
+walk and samples some of its places; equal samples make a candidate. Items are
+indexed from each of their words, documents read from each stride-th word, so
+an occurrence is met many times, whatever its offset. Short items have shorter
+walks, read from every word; WALKS states both, and the test of recall holds
+them to TARGET_RECALL. Items of fewer than MIN_WORDS words are looked up whole.
+A candidate fixes an item-sized window of the document, where the least edit
+distance of the item to any part decides.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 from quern.llm.shared import bounded_batches
 from quern.llm.words import chunks, words_of
 
-STEPS, SAMPLES, STRIDE = 12, 8, 3
 TARGET_RECALL = 0.95
-#: Items of fewer words are too common to tell a leak and match nothing.
+#: Items of fewer words are found by all of their words, unedited.
 MIN_WORDS = 8
+#: By the least words of an item, the longest first: steps of a walk, places sampled, every how many words of a document one begins, repetitions.
+WALKS = ((20, 12, 8, 3, 6), (MIN_WORDS, 7, 5, 1, 4))
 #: The share of an item's words that may be edited.
 MAX_EDITS = 0.2
 #: Items that are searched for in one pass over the documents; more take more passes.
@@ -36,32 +39,22 @@ _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def recall(words: int, edits: float, repeats: int) -> float:
-    """Expected recall of an item with that share of its words edited at random.
-
-    A walk reads half as many words as it takes steps on average; a window is
-    met if it is intact there. Windows that share words count as one.
-    """
-    intact = (1 - edits) ** (STEPS / 2 + 1)
-    apart = max(1.0, (words - STEPS / 2) / (STEPS / 2))
-    return 1 - (1 - intact) ** (apart * (1 + np.log2(repeats) / 2))
-
-
-def repeats_for(words: int = 24, edits: float = 0.1, target: float = TARGET_RECALL) -> int:
-    """Repetitions that reach the target for an item of that length and share of edits; 6 to 16."""
-    return next((r for r in range(6, 16) if recall(words, edits, r) >= target), 16)
+@dataclass
+class Walk:
+    steps: np.ndarray  # odd multipliers whose top bit moves the walk
+    places: np.ndarray  # sampled places
+    stride: int
+    keys: np.ndarray  # sorted
+    owners: np.ndarray  # item of a key
+    offsets: np.ndarray  # its word there
+    bitmap: np.ndarray
 
 
 @dataclass
 class Index:
     words: list[np.ndarray]  # word hashes of each item
     ids: list[int]
-    steps: list[np.ndarray]  # of each repetition: odd multipliers whose top bit moves the walk
-    places: list[np.ndarray]  # sampled places
-    keys: list[np.ndarray]  # sorted
-    owners: list[np.ndarray]  # item of a key
-    offsets: list[np.ndarray]  # its word there
-    bitmaps: list[np.ndarray]
+    walks: list[Walk]
 
 
 def _walk(symbols: np.ndarray, at: np.ndarray, steps: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +68,12 @@ def _walk(symbols: np.ndarray, at: np.ndarray, steps: np.ndarray, places: np.nda
             key = (key ^ x) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(32)
         if j + 1 < len(steps):
-            at += ((x * m) >> np.uint64(63)).astype(np.int64)
+            at += ((x * m) >> np.uint64(63)).astype(np.int64) if m else 1
     return key, at
 
 
-def build(items: list[tuple[int, str | None]], repeats: int | None = None, seed: int = 7) -> Index:
-    """items: (id, text). Repeated items are kept; null, empty and short ones match nothing."""
+def build(items: list[tuple[int, str | None]], seed: int = 7) -> Index:
+    """items: (id, text). Repeated items are kept; null ones and those without words match nothing."""
     items = [(i, t) for i, t in items if i is not None]
     hashes: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
     for i, _, data, bounds in chunks(pa.array([t for _, t in items], pa.string()), "unicode"):
@@ -89,24 +82,33 @@ def build(items: list[tuple[int, str | None]], repeats: int | None = None, seed:
         for d in range(len(bounds) - 1):
             hashes[i + d] = h[w.first[d] : w.first[d + 1]]
     rng = np.random.default_rng(seed)
-    out = Index(hashes, [i for i, _ in items], [], [], [], [], [], [])
-    good = [k for k, h in enumerate(hashes) if len(h) >= MIN_WORDS]
-    flat = np.concatenate([hashes[k] for k in good]) if good else np.zeros(0, np.uint64)
-    size = np.array([len(hashes[k]) for k in good], np.int64)
-    owner = np.repeat(np.array(good, np.int64), size)
-    end = np.repeat(np.cumsum(size), size)
-    offset = np.arange(len(flat)) - (end - np.repeat(size, size))
-    for _ in range(repeats or repeats_for()):
-        steps = rng.integers(0, 1 << 63, STEPS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        places = np.zeros(STEPS, bool)
-        places[rng.choice(STEPS, SAMPLES, replace=False)] = True
-        key, last = _walk(flat, np.arange(len(flat)), steps, places) if len(flat) else (flat, np.zeros(0, np.int64))
-        inside = np.flatnonzero(last < end)
+    out = Index(hashes, [i for i, _ in items], [])
+
+    def add(own: list[int], steps: np.ndarray, places: np.ndarray, stride: int, whole: bool) -> None:
+        flat = np.concatenate([hashes[k] for k in own])
+        size = np.array([len(hashes[k]) for k in own], np.int64)
+        owner, end = np.repeat(np.array(own, np.int64), size), np.repeat(np.cumsum(size), size)
+        offset = np.arange(len(flat)) - (end - np.repeat(size, size))
+        key, last = _walk(flat, np.arange(len(flat)), steps, places)
+        inside = np.flatnonzero((last < end) & ((offset == 0) | (not whole)))
         order = inside[np.argsort(key[inside], kind="stable")]
         bitmap = np.zeros(1 << 20, bool)
         bitmap[key[order] >> np.uint64(44)] = True
-        for part, x in ((out.steps, steps), (out.places, places), (out.keys, key[order]), (out.owners, owner[order]), (out.offsets, offset[order]), (out.bitmaps, bitmap)):
-            part.append(x)
+        out.walks.append(Walk(steps, places, stride, key[order], owner[order], offset[order], bitmap))
+
+    most = None
+    for least, count, samples, stride, repeats in WALKS:
+        own = [k for k, h in enumerate(hashes) if least <= len(h) and (most is None or len(h) < most)]
+        most = least
+        for _ in range(repeats if own else 0):
+            steps = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            places = np.zeros(count, bool)
+            places[rng.choice(count, samples, replace=False)] = True
+            add(own, steps, places, stride, False)
+    for n in range(1, MIN_WORDS):
+        own = [k for k, h in enumerate(hashes) if len(h) == n]
+        if own:  # a walk that never stays
+            add(own, np.zeros(n, np.uint64), np.ones(n, bool), 1, True)
     return out
 
 
@@ -137,22 +139,22 @@ def _matches(index: Index, w, max_edits: float) -> dict[tuple[int, int], tuple[i
     """(text, item) -> (edits, first word, last word + 1), in words of the run."""
     h = w.hashes()
     size = np.diff(w.first)
-    counts = -(-size // STRIDE)
-    at = np.repeat(w.first[:-1] - STRIDE * (np.cumsum(counts) - counts), counts) + STRIDE * np.arange(int(counts.sum()))
     wanted: set[tuple[int, int, int]] = set()
-    for r in range(len(index.keys)):
-        if not len(at) or not len(index.keys[r]):
+    for walk in index.walks:
+        if not len(h) or not len(walk.keys):
             continue
-        key, last = _walk(h, at, index.steps[r], index.places[r])
-        maybe = np.flatnonzero(index.bitmaps[r][key >> np.uint64(44)])
+        counts = -(-size // walk.stride)
+        at = np.repeat(w.first[:-1] - walk.stride * (np.cumsum(counts) - counts), counts) + walk.stride * np.arange(int(counts.sum()))
+        key, last = _walk(h, at, walk.steps, walk.places)
+        maybe = np.flatnonzero(walk.bitmap[key >> np.uint64(44)])
         maybe = maybe[last[maybe] < w.first[w.doc[at[maybe]] + 1]]
-        left = np.searchsorted(index.keys[r], key[maybe], "left")
-        right = np.searchsorted(index.keys[r], key[maybe], "right")
+        left = np.searchsorted(walk.keys, key[maybe], "left")
+        right = np.searchsorted(walk.keys, key[maybe], "right")
         n = right - left
         k = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         place = np.repeat(at[maybe], n)
-        doc, item = w.doc[place], index.owners[r][k]
-        wanted.update(zip(doc.tolist(), item.tolist(), (place - index.offsets[r][k]).tolist(), strict=True))
+        doc, item = w.doc[place], walk.owners[k]
+        wanted.update(zip(doc.tolist(), item.tolist(), (place - walk.offsets[k]).tolist(), strict=True))
     # A sum of hashes over a stretch tells stretches of the same words, as in lines that repeat.
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h, out=total[1:])
@@ -162,7 +164,7 @@ def _matches(index: Index, w, max_edits: float) -> dict[tuple[int, int], tuple[i
     done: dict[tuple[int, int], int] = {}
     for d, i, start in sorted(wanted):
         item = index.words[i]
-        most = int(max_edits * len(item))
+        most = int(max_edits * len(item)) if len(item) >= MIN_WORDS else 0
         # Starts that an earlier window already had with room for all its edits.
         if (old := found.get((d, i))) and (old[0] == 0 or start <= done[d, i]):
             continue

@@ -108,7 +108,8 @@ def test_leaks_against_brute_force(spark):
             body[at:at] = w
             want.add((k, i))
         docs.append((k, " ".join(body).upper() if k % 8 == 0 else ", ".join(body), k))
-    docs += [(900, None, 1), (901, "", 1), (None, " ".join(items[0][1]), 1), (902, "the " * 20000, 1)]
+    docs += [(900, None, 1), (901, "", 1), (None, " ".join(items[0][1]), 1), (902, "the " * 20000, 1), (903, "it is Much too, short", 1)]
+    want.add((903, 72))
     bench = [(i, " ".join(w)) for i, w in items] + [(70, None), (71, ""), (72, "too short"), (None, "x y z a b c d e f g")]
     df, b = spark.createDataFrame(docs, "doc_id long, text string, edits long"), spark.createDataFrame(bench, "item_id long, text string")
     rows = decontam.search(df, b).collect()
@@ -118,12 +119,35 @@ def test_leaks_against_brute_force(spark):
     text = {d[0]: d[1] for d in docs}
     for r in rows:
         if r["edits"] == 0:
-            assert re.findall(r"\w+", text[r["doc_id"]][r["start"] : r["end"]].lower()) == items[r["item_id"]][1]
+            assert re.findall(r"\w+", text[r["doc_id"]][r["start"] : r["end"]].lower()) == (dict(items) | {72: ["too", "short"]})[r["item_id"]]
     kept = decontam.keep_clean(df, b)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {d[0] for d in docs} - {g[0] for g in got}
     assert decontam.search(df, b.limit(0)).count() == 0 and decontam.search(df.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize(("words", "edits"), [(3, 0), (5, 0), (8, 1), (10, 2), (12, 2), (15, 3), (20, 1), (20, 2), (20, 3), (20, 4), (24, 4), (30, 6), (40, 8)])
+def test_recall_of_leaks(words, edits):
+    """Items of that many words with that many edits, from 5 to 20 %: replaced, put in or left out."""
+    import pyarrow as pa
+
+    from quern.llm.words import chunks, words_of
+
+    rng, names = random.Random(words * 100 + edits), vocabulary(4, 4000)
+    items = [[rng.choice(names) for _ in range(words)] for _ in range(300)]
+    index, docs = decontam.build([(i, " ".join(w)) for i, w in enumerate(items)]), []
+    for item in items:
+        w = list(item)
+        for _ in range(edits):
+            at, kind = rng.randrange(len(w)), rng.random()
+            w[at : at + (kind < 0.8)] = [rng.choice(names)] if kind < 0.6 else [] if kind < 0.8 else [rng.choice(names)]
+        around = lambda: [rng.choice(names) for _ in range(rng.randint(0, 30))]
+        docs.append(" ".join([*around(), *w, *around()]))
+    hits = 0
+    for i, _, data, bounds in chunks(pa.array(docs), "unicode"):
+        hits += sum(i + d == k for d, k in decontam._matches(index, words_of(data, bounds, decontam._BREAK), 0.2))
+    assert hits >= decontam.TARGET_RECALL * 300
+
+
 def test_edit_distance_is_exact():
     import numpy as np
 

@@ -20,6 +20,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import batched
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -34,6 +35,8 @@ from quern.llm.shared import bounded_batches
 
 #: Symbols read beyond the lookahead before tokens are emitted.
 STRIDE = 4096
+#: Characters of a text that are worked on at once, up to the next space.
+STRETCH = 1 << 15
 #: Pieces longer than this are merged by a heap.
 SHORT = 48
 #: Distinct pieces that a worker remembers, of at most MEMO_LENGTH characters each.
@@ -201,20 +204,56 @@ class Bpe:
             self.seen[piece] = pair
         return pair
 
+    def stream(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """Ids as little-endian unsigned 32-bit integers, and the spelling of their tokens in UTF-8 with a space between, a stretch at a time.
+
+        A stretch ends at a space, which no piece holds and which nothing after
+        it changes; a piece longer than STRIDE is passed through the transducer
+        on its own. What is held doesn't grow with the text.
+        """
+        get, coded, at = self.seen.get, self._coded, 0
+        while at < len(text):
+            end = text.find(" ", at + STRETCH) if len(text) - at > STRETCH else -1
+            # A mark after a space would be its own.
+            while end >= 0 and end + 1 < len(text) and unicodedata.combining(text[end + 1]):
+                end = text.find(" ", end + 1)
+            end = len(text) if end < 0 else end
+            part_of, at = text[at:end], end
+            ids, words = [], []
+            for k, part in enumerate(self.cut.split(part_of) if self.cut else [part_of]):
+                if k % 2:
+                    ids.append(self.added[part].to_bytes(4, "little"))
+                    words.append(part.encode())
+                    continue
+                for p in self.pieces(part) if part else ():
+                    if len(p) > STRIDE:
+                        if ids:
+                            yield b"".join(ids), b" ".join(words)
+                        ids, words = [], []
+                        for some in batched(self.piece_ids(p), STRIDE):
+                            yield np.array(some, "<u4").tobytes(), " ".join([self.names[x] for x in some]).encode()
+                        continue
+                    a, b = get(p) or coded(p)
+                    ids.append(a)
+                    words.append(b)
+            if ids:
+                yield b"".join(ids), b" ".join(words)
+
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the UTF-8 text they decode to: the file has no decoder, so its tokens stand spelled out with a space between."""
-        ids, words = [], []
-        get, coded = self.seen.get, self._coded
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                ids.append(self.added[part].to_bytes(4, "little"))
-                words.append(part.encode())
-                continue
-            for p in self.pieces(part) if part else ():
-                a, b = get(p) or coded(p)
-                ids.append(a)
-                words.append(b)
-        return b"".join(ids), b" ".join(words)
+        """All ids and the text they decode to: the file has no decoder, so its tokens stand spelled out with a space between."""
+        parts = list(self.stream(text))
+        return b"".join(a for a, _ in parts), b" ".join(b for _, b in parts)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """The number of ids, and the SHA-256 of them and of the decoded text, stretch by stretch."""
+        count, ids, words = 0, hashlib.sha256(), hashlib.sha256()
+        for a, b in self.stream(text):
+            if count:
+                words.update(b" ")
+            count += len(a) // 4
+            ids.update(a)
+            words.update(b)
+        return count, ids.hexdigest(), words.hexdigest()
 
 
 _by_path: dict[str, Bpe] = {}
@@ -238,10 +277,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for batch in batches:
             counts, a, b = [], [], []
             for t in batch.column(1):
-                ids, text = coder.encode_decode(t.as_py() or "")
-                counts.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                b.append(hashlib.sha256(text).hexdigest() if digests else text.decode())
+                if digests:
+                    n, ids, text = coder.digests(t.as_py() or "")
+                else:
+                    ids, text = coder.encode_decode(t.as_py() or "")
+                    n, text = len(ids) // 4, text.decode()
+                counts.append(n)
+                a.append(ids)
+                b.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string() if digests else pa.binary()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"

@@ -128,3 +128,35 @@ def test_given_sections_may_overlap(spark):
     s = spark.createDataFrame([(1, 0, 0, 17), (1, 1, 6, 11), (2, 0, 0, 5), (7, 0, 0, 1)], "doc_id long, section long, start long, end long")
     got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in section_tokens(docs, BYTE, "end", s).collect()}
     assert got == {(1, 0): 3.0, (1, 1): 1.0, (2, 0): 0.0}
+
+
+def test_bpe_of_long_texts_holds_little():
+    """Stretches and long pieces give what the library gives; what is held doesn't follow the text."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from quern.llm.bpe_stream import Bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = Bpe(path)
+    rng = random.Random(3)
+    words = ["ab", "Été", "naïve", "x1y22", "don't", "…", "Σας", "é ́x", "\t", "<|endoftext|>", "日本語", "q" * 9000]
+    text = " ".join(rng.choice(words[:-1]) for _ in range(30_000)) + " " + words[-1] * 3
+    want = coder.library.encode(text, add_special_tokens=False).ids
+    got, spelled = coder.encode_decode(text)
+    assert np.frombuffer(got, "<u4").tolist() == want
+    assert spelled.decode() == coder.library.decode(want, skip_special_tokens=False)
+    n, ids, decoded = coder.digests(text)
+    assert (n, ids, decoded) == (len(want), hashlib.sha256(got).hexdigest(), hashlib.sha256(spelled).hexdigest())
+
+    def peak(times):
+        long = "some words of it " * times
+        tracemalloc.start()
+        coder.digests(long)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(100)
+    assert peak(200_000) < 2 * peak(20_000)

@@ -8,7 +8,7 @@ import quern.llm.jaccard_join as jaccard
 import quern.llm.regions as regions
 from quern.llm.components import components
 from quern.llm.jaccard_join import similar_components
-from quern.llm.simhash import near_classes, with_edits
+from quern.llm.simhash import RADIUS, fingerprints, near_classes, with_edits
 
 SCHEMA = "doc_id long, text string, n long, rep string"
 
@@ -118,3 +118,57 @@ def test_block_tables_miss_nothing(spark):
         want = {i: min(want[j] for j in near[i]) for i in want}
     got = {r["id"]: r["class"] for r in near_classes(spark.createDataFrame(points, "id long, hi long, lo long"), 3).collect()}
     assert got == want
+
+
+def test_fingerprints_against_plain_votes(spark):
+    import xxhash
+
+    texts = ["One word, two words and a third", "a " * 50 + "b", "x" * 40 + " ende Été", ""]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    want = {}
+    for i, t in enumerate(texts):
+        votes, total = [0] * 128, 0
+        for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", t.lower()):
+            hi = xxhash.xxh64(w.encode(), seed=42).intdigest()
+            lo = xxhash.xxh64((1).to_bytes(4, "little"), seed=hi).intdigest()
+            weight = len(w) ** 2 // 4 + 1
+            total += weight
+            for k in range(64):
+                votes[k] += weight * (hi >> k & 1)
+                votes[64 + k] += weight * (lo >> k & 1)
+        if total:
+            want[i] = tuple(signed(sum((2 * votes[b + k] > total) << k for k in range(64))) for b in (0, 64))
+    got = fingerprints(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"]).collect()
+    assert {r["k"]: (r["hi"], r["lo"]) for r in got} == want
+
+
+def test_share_of_near_copies_within_the_radius(spark):
+    """Copies of 300 words by their similarity in five-word shingles; the README states the shares."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    vocabulary, rows, edits = [word() for _ in range(3000)], [], (1, 3, 6)
+    for k in range(300):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(0, 300, 5), edits[k % 3]):
+            copy[at] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r["k"]: (r["hi"], r["lo"]) for r in fingerprints(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()}
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b, strict=True))
+    share = [sum(bits(got[2 * k], got[2 * k + 1]) <= RADIUS for k in range(c, 300, 3)) / 100 for c in range(3)]
+    print("similarity 0.97, 0.9, 0.82:", share)
+    assert share[0] >= 0.7 and share[0] > share[1] > share[2]
+
+
+def test_large_regions_are_exact(spark):
+    """A region of more than a thousand members, of which the most link."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(1300):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(60)] = word()
+        rows.append((k, " ".join(w), 1, "x"))
+    got = similar_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)

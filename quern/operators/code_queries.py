@@ -109,3 +109,30 @@ def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'lib/widget.rb' AS path, CAST(3 AS INTEGER) AS line, ['generic.todo_cluster'] AS rules")
 def inline_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.directives(repository(spark))
+
+
+@query("""SELECT path, caller, call_text, CAST(line AS INTEGER) AS line, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
+('src/app/alpha.py', 'start', 'run_beta', 7, 1.0),
+('src/app/beta.py', 'run_beta', 'run_gamma', 5, 1.0),
+('src/app/gamma.py', 'run_gamma', 'len', 5, 1.0),
+('src/app/shapes.py', 'Box.__init__', 'int', 18, 1.0),
+('src/app/shapes.py', 'Box.open', 'range', 23, 1.0),
+('src/app/shapes.py', 'first', 'append', 5, 1.0),
+('src/app/shapes.py', 'second', 'append', 13, 1.0),
+('tests/test_alpha.py', 'test_mocked', 'MagicMock', 20, 1.0),
+('tests/test_alpha.py', 'test_mocked', 'Mock', 19, 1.0),
+('tests/test_alpha.py', 'test_mocked', 'm', 21, 1.0),
+('tests/test_alpha.py', 'test_runs', 'run_beta', 9, 1.0),
+('tests/test_alpha.py', NULL, 'patch', 16, 1.0),
+('tests/test_alpha.py', NULL, 'patch', 17, 1.0)) t(path, caller, call_text, line, confidence)""")
+def parsed_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.call_edges(parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py"))))
+
+
+@query("""SELECT name, path, caller, CAST(line AS INTEGER) AS line, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
+('run_beta', 'src/app/alpha.py', 'start', 7, 1.0),
+('run_beta', 'tests/test_alpha.py', 'test_runs', 9, 1.0),
+('run_gamma', 'src/app/beta.py', 'run_beta', 5, 1.0)) t(name, path, caller, line, confidence)""")
+def parsed_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py")))
+    return parsing.callers_of(parsing.call_edges(facts), facts.filter("fact = 'symbol'").select("name"))

@@ -261,3 +261,19 @@ def public_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     j = a.join(b, (F.col("opath") == F.col("npath")) & (F.col("oname") == F.col("nname")), "full_outer")
     change = F.when(F.col("nname").isNull(), "removed").when(F.col("oname").isNull(), "added").when(F.col("osig") != F.col("nsig"), "changed")
     return j.select(F.coalesce("opath", "npath").alias("path"), F.coalesce("oname", "nname").alias("name"), change.alias("change")).filter("change is not null")
+
+
+def call_edges(facts: DataFrame) -> DataFrame:
+    """path, caller (the innermost symbol around the line; null at the top level), call_text, line, confidence of each reference."""
+    named = facts.filter("fact = 'reference'").groupBy("path", F.col("name").alias("call_text"), "line", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    symbols = facts.filter("fact = 'symbol'").select(F.col("path").alias("_p"), F.col("name").alias("_s"), F.col("line").alias("_a"), F.col("end_line").alias("_b"))
+    around = named.join(symbols, (F.col("path") == F.col("_p")) & F.col("line").between(F.col("_a"), F.col("_b")), "left")
+    inner = around.groupBy("path", "call_text", "line", "confidence", "n").agg(F.max_by("_s", F.struct("_a", -F.col("_b"))).alias("caller"))
+    each = inner.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("path", "caller", "call_text", "line", "confidence")
+
+
+def callers_of(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """name, path, caller, line, confidence: calls of each of names (name), by the last part of a qualified name."""
+    wanted = names.select("name", F.element_at(F.split("name", r"\."), -1).alias("_n")).distinct()
+    return edges.filter("caller is not null").join(wanted, F.col("call_text") == F.col("_n")).select("name", "path", "caller", "line", "confidence")

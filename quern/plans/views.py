@@ -107,6 +107,8 @@ SQL = {
 lines AS (SELECT path, CAST(i AS INTEGER) AS line_no, s[i] AS text FROM (SELECT path, s, unnest(range(1, len(s) + 1)) AS i FROM split_docs))""",
     "symbols": f"""symbols AS (SELECT path, 'doc_' || doc_id AS name, 'module' AS kind, 1 AS start_line, CAST(greatest(1, line_count) AS INTEGER) AS end_line FROM files
  UNION ALL SELECT path, 'block_' || s, 'function', CAST(s AS INTEGER), CAST(least(s + {INNER_SPAN - 1}, greatest(1, line_count)) AS INTEGER) FROM (SELECT path, line_count, unnest(range(1, greatest(1, line_count) + 1, {INNER_SPAN})) AS s FROM files))""",
+    "found_symbols": """found AS (SELECT CASE WHEN name = 'block_1' THEN 'exact' ELSE 'partial' END AS match_type, CASE WHEN starts_with(path, 'tests/') THEN 'reference' ELSE 'definition' END AS role, path,
+ replace(path, '/', '.') AS module, kind, name, start_line AS line, round(7 / length(name), 6) AS score FROM symbols WHERE contains(name, 'block_1'))""",
     "commits": "commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, o_orderdate AS ts FROM orders)",
     "commit_paths": "commit_paths AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem)",
     "snapshots": """old_files AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN sha256(hash) ELSE hash END AS hash FROM files WHERE doc_id % 7 <> 0 UNION ALL SELECT 'gone/' || path, hash FROM files WHERE doc_id % 13 = 0),

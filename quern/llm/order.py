@@ -38,3 +38,24 @@ def positions(df: DataFrame, keys: list[str], sums: tuple[str, ...] = ()) -> Dat
         (F.col("_n0") + F.col("_row")).cast("long").alias("_pos"),
         *[(F.col(f"_s0_{s}") + F.col(f"_in_{s}")).cast("long").alias(f"_before_{s}") for s in sums],
     )
+
+
+def places_within(df: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """df with `_place`, a row's 0-based place within its group in ascending order of `keys`, and `_size`, the group's rows.
+
+    Rows are dealt by ranges of group and keys, so a group of a third of all
+    rows spans a third of the ranges. Nulls among the keys come first, rows
+    alike in all keys stand next to each other in no fixed order; the group
+    must not be null. An empty df gives an empty result. df is written once.
+    """
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = written(tied.repartitionByRange(F.col(group), *order, F.col("_tie")).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("_range", group).agg(F.count(F.lit(1)).alias("_n"))
+    # A row for each range that a group has rows in.
+    same = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(same.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select(F.col("_range").alias("_at"), F.col(group).alias("_of"), before.alias("_n0"), F.sum("_n").over(same).alias("_size"))
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_range", group).orderBy(*order, "_tie")) - 1)
+    joined = numbered.join(offsets, (F.col("_range") == F.col("_at")) & (F.col(group) == F.col("_of")))
+    return joined.select(*df.columns, (F.col("_n0") + F.col("_row")).cast("long").alias("_place"), F.col("_size").cast("long"))

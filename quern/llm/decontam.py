@@ -8,7 +8,9 @@ walk and samples some of its places; equal samples make a candidate. Items are
 indexed from each of their words, documents read from each stride-th word, so
 an occurrence is met many times, whatever its offset. Short items have shorter
 walks, read from every word; WALKS states both, and the test of recall holds
-them to TARGET_RECALL. Items of fewer than MIN_WORDS words are looked up whole.
+them to TARGET_RECALL. Of items of fewer than MIN_WORDS words either half is
+looked up: one edit leaves one of them as it was. Items of fewer than
+EDITED_WORDS are looked up whole.
 A candidate fixes an item-sized window of the document, where the least edit
 distance of the item to any part decides.
 """
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shared import bounded_batches
-from quern.llm.words import chunks, words_of
+from quern.llm.words import chunks, stretch_hashes, words_of
 
 TARGET_RECALL = 0.95
-#: Items of fewer words are found by all of their words, unedited.
+#: Items of fewer words aren't walked but looked up by their halves.
 MIN_WORDS = 8
+#: Items of fewer words are found unedited only; from here up to MIN_WORDS with one edit at most.
+EDITED_WORDS = 5
 #: By the least words of an item, the longest first: steps of a walk, places sampled, every how many words of a document one begins, repetitions.
 WALKS = ((20, 12, 8, 3, 6), (MIN_WORDS, 7, 5, 1, 4))
 #: The share of an item's words that may be edited.
@@ -84,13 +88,14 @@ def build(items: list[tuple[int, str | None]], seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     out = Index(hashes, [i for i, _ in items], [])
 
-    def add(own: list[int], steps: np.ndarray, places: np.ndarray, stride: int, whole: bool) -> None:
+    def add(own: list[int], steps: np.ndarray, places: np.ndarray, stride: int, starts: tuple[int, ...] = ()) -> None:
+        """A walk from each word of the items, or from `starts` alone."""
         flat = np.concatenate([hashes[k] for k in own])
         size = np.array([len(hashes[k]) for k in own], np.int64)
         owner, end = np.repeat(np.array(own, np.int64), size), np.repeat(np.cumsum(size), size)
         offset = np.arange(len(flat)) - (end - np.repeat(size, size))
         key, last = _walk(flat, np.arange(len(flat)), steps, places)
-        inside = np.flatnonzero((last < end) & ((offset == 0) | (not whole)))
+        inside = np.flatnonzero((last < end) & (np.isin(offset, starts) | (not starts)))
         order = inside[np.argsort(key[inside], kind="stable")]
         bitmap = np.zeros(1 << 20, bool)
         bitmap[key[order] >> np.uint64(44)] = True
@@ -104,11 +109,12 @@ def build(items: list[tuple[int, str | None]], seed: int = 7) -> Index:
             steps = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             places = np.zeros(count, bool)
             places[rng.choice(count, samples, replace=False)] = True
-            add(own, steps, places, stride, False)
+            add(own, steps, places, stride)
     for n in range(1, MIN_WORDS):
         own = [k for k, h in enumerate(hashes) if len(h) == n]
+        part = n if n < EDITED_WORDS else n // 2
         if own:  # a walk that never stays
-            add(own, np.zeros(n, np.uint64), np.ones(n, bool), 1, True)
+            add(own, np.zeros(part, np.uint64), np.ones(part, bool), 1, tuple({0, n - part}))
     return out
 
 
@@ -155,21 +161,22 @@ def _matches(index: Index, w, max_edits: float) -> dict[tuple[int, int], tuple[i
         place = np.repeat(at[maybe], n)
         doc, item = w.doc[place], walk.owners[k]
         wanted.update(zip(doc.tolist(), item.tolist(), (place - walk.offsets[k]).tolist(), strict=True))
-    # A sum of hashes over a stretch tells stretches of the same words, as in lines that repeat.
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h, out=total[1:])
+    # Stretches of the same words in the same order, as in lines that repeat, are refused once.
+    same_as = stretch_hashes(h)
     refused: set[tuple[int, int, int]] = set()
     sets = {i: frozenset(index.words[i].tolist()) for _, i, _ in wanted}
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], int] = {}
     for d, i, start in sorted(wanted):
         item = index.words[i]
-        most = int(max_edits * len(item)) if len(item) >= MIN_WORDS else 0
+        most = int(max_edits * len(item))
+        if len(item) < MIN_WORDS:
+            most = min(most, 1) if len(item) >= EDITED_WORDS else 0
         # Starts that an earlier window already had with room for all its edits.
         if (old := found.get((d, i))) and (old[0] == 0 or start <= done[d, i]):
             continue
         a, b = max(int(w.first[d]), start - most), min(int(w.first[d + 1]), start + len(item) + most)
-        same = (i, b - a, (int(total[b]) - int(total[a])) % (1 << 64))
+        same = (i, b - a, same_as(a, b))
         if same in refused:
             continue
         bag = sets[i].intersection(h[a:b].tolist())
@@ -188,6 +195,7 @@ def search(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS,
 
     start and end are code points of the document's text. Documents without a
     match, null and empty texts give no rows; repeated rows give repeated rows;
+    items of five to seven words may have one edit, shorter ones none;
     null item ids and texts are ignored. The benchmark is read by the driver,
     in blocks of BLOCK_ITEMS items that tasks get with their code. No shuffle.
     """

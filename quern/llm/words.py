@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +74,14 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _INVERSES[:n]
 
 
+def stretch_hashes(h: np.ndarray) -> Callable[[int, int], int]:
+    """A function of (a, b): 64 bits of the words h[a:b] in their order, equal for equal stretches wherever they stand."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(len(h)), out=total[1:])
+    inverse = _inverse_powers(len(h) + 1)
+    return lambda a, b: (int(total[b]) - int(total[a])) * int(inverse[a]) & MASK
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> Words:
     """data: bytes of texts end to end; text i is bounds[i]:bounds[i + 1]."""
     n = len(data)

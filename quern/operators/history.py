@@ -1,21 +1,15 @@
-"""Commit history: co-change, churn, ownership, related files."""
+"""Commit history: co-change, churn, ownership."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.related import co_changed
 from quern.plans import views
 from quern.registry import query
 
 
-def co_changes(pairs: DataFrame, top: int = 10) -> DataFrame:
-    """path, other, n: the paths most often in the same commits; ties by path. A commit's paths join on the commit."""
-    a, b = pairs.select("commit_id", "path"), pairs.select(F.col("commit_id").alias("_c"), F.col("path").alias("other"))
-    n = a.join(b, (F.col("commit_id") == F.col("_c")) & (F.col("path") != F.col("other"))).groupBy("path", "other").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "other"))).filter(F.col("r") <= top).drop("r")
-
-
 def churn(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     """path, churn, top_share, authors: commits of a path, its busiest author's share, and how many authors it has."""
     c = commits.select(F.col("commit_id").alias("_c"), "author")
@@ -34,8 +28,9 @@ _CO = "SELECT a.path, b.path AS other, count(*) AS n FROM commit_paths a JOIN co
 
 @query(f", co AS ({_CO}) SELECT path, other, n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, other) AS r FROM co) WHERE r <= 10", "commit_paths")
 def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every path."""
-    return co_changes(views.commit_paths(spark, sf_dir))
+    """For every path, over its whole history."""
+    pairs = views.commit_paths(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp"))
+    return co_changed(pairs, latest=None).select(F.col("path").cast("long").alias("path"), F.col("other").cast("long").alias("other"), "n")
 
 
 @query("SELECT path, count(*) AS changes FROM commit_paths GROUP BY path", "commit_paths")
@@ -54,40 +49,3 @@ def author_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CHURN} SELECT path, churn, round(top_share, 6) AS top_share, authors, CAST(CASE WHEN authors = 1 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM churned WHERE churn >= 5 AND top_share >= 0.1 ORDER BY churn DESC, path LIMIT 100", "commits commit_paths")
 def knowledge_silo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silos(churn(views.commit_paths(spark, sf_dir), views.commits(spark, sf_dir)), share=0.1)
-
-
-#: What each reason weighs in relatedness.
-REASONS = {"co_change": 0.3, "same_author": 0.2, "same_brand": 0.15}
-
-
-def related(pairs: DataFrame, commits: DataFrame, brands: DataFrame, top: int = 10) -> DataFrame:
-    """path, other, reasons, confidence: the `top` of most weight for each path; ties by path. brands: (path, brand).
-
-    Pairs of an author's paths are made, pairs of a brand's are not: a brand
-    alone weighs least, so it only fills places that fewer than `top` others
-    leave. Of the 2 top first paths of the brand, one is the path itself and
-    fewer than top are among those others, so enough are left.
-    """
-    own = pairs.join(commits.select("commit_id", "author"), "commit_id").select("path", "author").distinct()
-    both = lambda d, key: d.select("path", key).join(d.select(F.col("path").alias("other"), F.col(key).alias("_k")), (F.col(key) == F.col("_k")) & (F.col("path") != F.col("other"))).select("path", "other")
-    first = brands.withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy("path"))).filter(F.col("r") <= 2 * top).select(F.col("path").alias("other"), F.col("brand").alias("_b"))
-    mates = brands.join(first, (F.col("brand") == F.col("_b")) & (F.col("path") != F.col("other"))).select("path", "other")
-    flagged = [d.select("path", "other", F.lit(co).alias("co"), F.lit(by).alias("by")) for d, co, by in ((both(pairs, "commit_id"), True, False), (both(own, "author"), False, True), (mates, False, False))]
-    met = flagged[0].unionByName(flagged[1]).unionByName(flagged[2]).groupBy("path", "other").agg(F.bool_or("co").alias("co_change"), F.bool_or("by").alias("same_author"))
-    of = lambda p: brands.select(F.col("path").alias(f"_{p}"), F.col("brand").alias(f"_{p}_brand"))
-    met = met.join(of("path"), F.col("path") == F.col("_path"), "left").join(of("other"), F.col("other") == F.col("_other"), "left").withColumn("same_brand", F.coalesce(F.col("_path_brand") == F.col("_other_brand"), F.lit(False)))
-    total = met.select("path", "other", *REASONS, F.round(sum(F.when(F.col(r), w).otherwise(0.0) for r, w in REASONS.items()), 6).alias("total"))
-    best = total.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("total"), "other"))).filter(F.col("r") <= top)
-    reasons = F.sort_array(F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in REASONS])))
-    return best.select("path", "other", reasons.alias("reasons"), F.least("total", F.lit(1.0)).alias("confidence"))
-
-
-@query(f""", co AS ({_CO}), reasons AS (
-SELECT path, other, 'co_change' AS reason, 0.3 AS w FROM co UNION ALL
-SELECT DISTINCT a.path, b.path, 'same_author', 0.2 FROM (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id)) a JOIN (SELECT DISTINCT path, author FROM commit_paths JOIN commits USING (commit_id)) b ON a.author = b.author AND a.path <> b.path UNION ALL
-SELECT a.p_partkey, b.p_partkey, 'same_brand', 0.15 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
-SELECT path, other, reasons, least(total, 1.0) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY total DESC, other) AS r FROM (SELECT path, other, list_sort(list(reason)) AS reasons, round(CAST(sum(w) AS DOUBLE), 6) AS total FROM reasons GROUP BY ALL)) WHERE r <= 10""", "commits commit_paths")
-def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every path. Reasons weigh in by their uncapped sum, so the order doesn't degrade to names where the confidence is full."""
-    brands = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("brand"))
-    return related(views.commit_paths(spark, sf_dir), views.commits(spark, sf_dir), brands)

@@ -60,6 +60,8 @@ class Thresholds:
 #: Fixed value: verbs of names; three in one file mean mixed responsibilities.
 VERBS = ("load", "save", "render", "export", "build", "summarize")
 CAP = 200
+#: Fixed value: import cycles that are reported, the largest first.
+CYCLES = 100
 
 
 @dataclass
@@ -245,8 +247,10 @@ def python_import_cycle(f: Facts) -> DataFrame:
     e = _import_edges(f)
     scc = strong_components(e.filter("src <> dst"))
     groups = scc.groupBy("component").agg(F.max("size").alias("n")).select(F.col("component").alias("path"), "n")
-    loops = e.filter("src = dst").select(F.col("src").alias("path"))
-    return finding(groups, "python.import_cycle", "warning", 0.9, F.concat(F.lit("cycle of "), F.col("n"))).unionByName(finding(loops, "python.import_cycle", "warning", 0.7, "imports itself"))
+    loops = e.filter("src = dst").select(F.col("src").alias("path"), F.lit(1).cast("long").alias("n"))
+    first = groups.withColumn("loop", F.lit(False)).unionByName(loops.withColumn("loop", F.lit(True))).orderBy(F.desc("n"), "path").limit(CYCLES)
+    message = F.when(F.col("loop"), "imports itself").otherwise(F.concat(F.lit("cycle of "), F.col("n")))
+    return finding(first, "python.import_cycle", "warning", F.when(F.col("loop"), 0.7).otherwise(0.9), message)
 
 
 def _test_findings(tests: DataFrame, f: Facts, language: str) -> DataFrame:

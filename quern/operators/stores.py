@@ -63,13 +63,6 @@ def test_terms(value: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), pieces(p)))))
 
 
-def sharing_terms(names: DataFrame, path: str, terms: Column, least: int = 3) -> DataFrame:
-    """path, other: paths that share a term of `least` letters. Many share a common term: each path meets the first of its term, and those meet it."""
-    held = names.select(F.col(path).alias("path"), F.explode(F.filter(terms, lambda t: F.length(t) >= least)).alias("term")).distinct()
-    first = held.groupBy("term").agg(F.min("path").alias("other"))
-    return held.join(first, "term").filter("path <> other").select("path", "other").distinct()
-
-
 def source_range(lines: DataFrame, start: int, end: int, cap: int) -> DataFrame:
     """path, start_line, end_line, source: lines from start to end, `cap` at most."""
     last = min(end, start + max(cap, 1) - 1)

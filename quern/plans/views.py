@@ -99,7 +99,52 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("ts"), F.col("user_id").alias("session_id"), "event_type", F.col("value").alias("tokens"), F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
 
 
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as Python files: a package for each brand, a module for each part; the smallest parts are tests."""
+    p = table(spark, sf_dir, "part")
+    package = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    test = F.col("p_size") <= 5
+    name = F.concat(F.when(test, "test_").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    rows = p.select("p_partkey", "p_size", test.alias("is_test"), F.concat(F.when(test, "tests/").otherwise("src/"), package, F.lit("/"), name, F.lit(".py")).alias("path"), F.concat(F.when(test, "tests.").otherwise(""), package, F.lit("."), name).alias("module"), F.lower("p_type").alias("symbol"))
+    return rows.select("p_partkey", "path", "module", "is_test", "symbol", (F.col("p_size") > 45).alias("modified"))
+
+
+def source_imports(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    """A file imports the module whose key a returned item of its part names as supplier; the few suppliers are hubs."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    hub = files.select(F.col("p_partkey").alias("_k"), "module")
+    return li.join(hub, F.col("l_suppkey") == F.col("_k")).join(files.select("p_partkey", "path"), F.col("l_partkey") == F.col("p_partkey")).select("path", "module")
+
+
+def source_history(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    c = commit_paths(spark, sf_dir).join(files.select("p_partkey", F.col("path").alias("_path")), F.col("path") == F.col("p_partkey")).select("commit_id", F.col("_path").alias("path"))
+    return c.join(commits(spark, sf_dir).select("commit_id", "ts"), "commit_id")
+
+
+def source_traces(spark: SparkSession, sf_dir: str, files: DataFrame) -> DataFrame:
+    """What the user did: changed files, files that queries of the last week showed, files opened at all."""
+    e = events(spark, sf_dir).groupBy("k").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("seen"), F.count_if(F.col("event_type") == "click").alias("opened"))
+    seen = files.join(e, F.col("p_partkey") == F.col("k"))
+    part = lambda d, r: d.select("path", F.lit(r).alias("reason"))
+    return part(files.filter("modified"), "git_modified").unionByName(part(seen.filter(F.col("seen") >= F.lit("2024-01-24").cast("timestamp")), "recent_query")).unionByName(part(seen.filter("opened > 0"), "frecency"))
+
+
 SQL = {
+    "sources": """sources AS (SELECT p_partkey, p_size, lower(replace(p_brand, '#', '')) AS package, p_size <= 5 AS is_test, CASE WHEN p_size <= 5 THEN 'test_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_partkey AS name, lower(p_type) AS symbol FROM part),
+source_files AS (SELECT p_partkey, CASE WHEN is_test THEN 'tests/' ELSE 'src/' END || package || '/' || name || '.py' AS path, CASE WHEN is_test THEN 'tests.' ELSE '' END || package || '.' || name AS module, name AS tail, is_test, symbol, p_size > 45 AS modified FROM sources),
+source_imports AS (SELECT DISTINCT f.path, h.module FROM lineitem JOIN source_files f ON f.p_partkey = l_partkey JOIN source_files h ON h.p_partkey = l_suppkey WHERE l_returnflag = 'R'),
+source_history AS (SELECT DISTINCT l_orderkey AS commit_id, path, o_orderdate AS ts FROM lineitem JOIN source_files ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)""",
+    "linked_sources": """traces AS (SELECT path, 'git_modified' AS reason FROM source_files WHERE modified UNION SELECT path, 'recent_query' FROM source_files JOIN ev ON k = p_partkey WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-24' UNION SELECT path, 'frecency' FROM source_files JOIN ev ON k = p_partkey WHERE event_type = 'click'),
+latest AS (SELECT * FROM source_history QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, commit_id DESC) <= 400),
+file_terms AS (SELECT DISTINCT path, unnest(list_filter(string_split_regex(lower(module || '.' || symbol), '[._]'), lambda t: length(t) >= 3)) AS term FROM source_files),
+linked AS (SELECT t.path, c.path AS other, 'test_match' AS reason FROM source_files t JOIN source_files c ON c.is_test AND contains(c.path, t.tail) AND c.path <> t.path
+ UNION SELECT t.path, c.path, 'test_match' FROM source_files t JOIN source_imports i USING (module) JOIN source_files c ON c.path = i.path AND c.is_test AND c.path <> t.path
+ UNION SELECT i.path, c.path, 'import_graph' FROM source_imports i JOIN source_files c USING (module) WHERE i.path <> c.path
+ UNION SELECT c.path, i.path, 'import_graph' FROM source_imports i JOIN source_files c USING (module) WHERE i.path <> c.path
+ UNION SELECT a.path, b.path, 'git_history' FROM source_history a JOIN source_history b USING (commit_id) WHERE a.path <> b.path
+ UNION SELECT path, other, 'co_change' FROM (SELECT a.path, b.path AS other, count(*) AS n FROM latest a JOIN source_history b USING (commit_id) WHERE a.path <> b.path GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, other) <= 10
+ UNION SELECT a.path, b.path, 'directory_proximity' FROM source_files a JOIN source_files b ON a.path <> b.path AND regexp_replace(a.path, '/[^/]*$', '') = regexp_replace(b.path, '/[^/]*$', '')
+ UNION SELECT a.path, b.path, 'search_similarity' FROM file_terms a JOIN file_terms b USING (term) WHERE a.path <> b.path)""",
     "files": """files AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'tests/' ELSE '' END || source || '/' || lang || '/doc_' || doc_id AS path, lang AS language, sha256(text) AS hash,
  CAST(strlen(text) AS BIGINT) AS size_bytes, CAST(CASE WHEN text = '' THEN 0 WHEN text LIKE '%' || chr(10) THEN length(text) - length(replace(text, chr(10), '')) ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS BIGINT) AS line_count,
  doc_id % 10 = 0 AS is_test, text FROM documents)""",
@@ -121,7 +166,7 @@ edges AS (SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, w FRO
  CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' ELSE 'wontfix' END AS status, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey)""",
     "events": "ev AS (SELECT event_id, ts, user_id AS session_id, event_type, value AS tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS k, props FROM events)",
 }
-_NEEDS = {"symbols": ["files"], "snapshots": ["files"]}
+_NEEDS = {"linked_sources": ["sources", "events"], "symbols": ["files"], "snapshots": ["files"]}
 
 
 def with_views(names: str, query: str) -> str:

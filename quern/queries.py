@@ -1,5 +1,5 @@
 """All queries of the library proper."""
 
-from quern.operators import code_queries, compose, findings, graph, history, inventory, orders, search, sessions, stores  # noqa: F401
+from quern.operators import code_queries, compose, findings, graph, history, inventory, orders, related, search, sessions, stores  # noqa: F401
 from quern.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from quern.streaming import logs  # noqa: F401

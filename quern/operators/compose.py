@@ -1,10 +1,9 @@
-"""Fuzzy matching, tolerant readers, and composed answers."""
+"""Tolerant readers and composed answers."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,53 +11,6 @@ from quern.functions.text import certainty, dirname, slug, truncated
 from quern.plans import views
 from quern.registry import query
 
-FUZZY_THRESHOLD, SUGGESTIONS = 60.0, 5
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence; bits of one integer hold the row, so a step costs a word operation for 64 places."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def partial_ratio(needle: str, text: str) -> float:
-    """0-100: the best similarity of the shorter string to a window of the other as long as it is; also cut windows at the ends.
-
-    Similarity is that of insertions and deletions, 2 lcs / (len + len).
-    """
-    a, b = (needle, text) if len(needle) <= len(text) else (text, needle)
-    if not a:
-        return 100.0 if not b else 0.0
-    if a in b:
-        return 100.0
-    n, best = len(a), 0.0
-    for i in range(1 - n, len(b)):
-        w = b[max(0, i) : i + n]
-        if 200.0 * min(n, len(w)) / (n + len(w)) > best:
-            best = max(best, 200.0 * common_subsequence(a, w) / (n + len(w)))
-    return best
-
-
-def fuzzy_score(column: Column, needle: str) -> Column:
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: partial_ratio(needle.lower(), (x or "").lower()))
-
-    return score(column)
-
-
-def suggestions(names: DataFrame, column: str, wanted: str) -> DataFrame:
-    """The five names nearest to what was asked for, of those near enough."""
-    return names.select(column).distinct().withColumn("score", fuzzy_score(F.col(column), wanted)).filter(F.col("score") >= FUZZY_THRESHOLD).orderBy(F.desc("score"), column).limit(SUGGESTIONS)
-
-
 def tokens_of(text: str) -> list[str]:
     """Words of a question that count: two letters and more."""
     return [t for t in text.split() if len(t) >= 2]
@@ -99,17 +51,6 @@ def clipped(text: Column, most: int = 256) -> Column:
     return F.struct(F.substring(text, 1, most).alias("preview"), F.greatest(F.length(text) - most, F.lit(0)).alias("omitted"))
 
 
-@query()
-def path_search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.files(spark, sf_dir).select("path").withColumn("score", F.round(fuzzy_score(F.col("path"), "src1/dee/doc_11"), 6))
-    return f.filter(F.col("score") >= FUZZY_THRESHOLD).orderBy(F.desc("score"), "path").limit(20)
-
-
-@query()
-def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggestions(views.table(spark, sf_dir, "part"), "p_name", "blu bolt")
-
-
 @query("SELECT p_partkey AS id, score FROM (SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'blue') THEN 100.0 ELSE 0.0 END + CASE WHEN contains(lower(p_name), 'ring') THEN 100.0 ELSE 0.0 END)::DOUBLE / 2 AS score FROM part) WHERE score > 0")
 def token_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return any_token(views.table(spark, sf_dir, "part"), "p_name", "blue ring a").select(F.col("p_partkey").alias("id"), "score")

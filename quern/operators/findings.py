@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import certainty, confidence_tier, effort, risk_level, stable_key
+from quern.operators.quantiles import exclusive_quartiles
 from quern.plans import views
 from quern.registry import query
 
@@ -80,21 +81,6 @@ def reconcile(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return out.withColumn("event", F.when(F.col("before").isNull(), "created").when(F.col("before") != F.col("after"), F.col("after")))
 
 
-def exclusive_quartiles(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """group, n, q1, q3 by the exclusive method: place i(n+1)/4 between neighbours."""
-    w = Window.partitionBy(*group).orderBy(value)
-    placed = values.select(*group, F.col(value).cast("double").alias("v"), F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("n"))
-
-    def q(i: int) -> Column:
-        m = F.col("n") + 1
-        j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(i * m / 4)))
-        d = i * m - 4 * j
-        low, high = F.max(F.when(F.col("r") == j, F.col("v"))), F.max(F.when(F.col("r") == j + 1, F.col("v")))
-        return (low * (4 - F.first(d)) + high * F.first(d)) / 4
-
-    return placed.groupBy(*group).agg(F.first("n").alias("n"), q(1).alias("q1"), q(3).alias("q3"))
-
-
 def outliers(values: DataFrame, group: list[str], value: str, absolute: float, least: int = 12) -> DataFrame:
     """Rows with cutoff <= value < absolute, for the cutoff Q3 + 1.5 IQR of groups of `least` rows and a positive IQR."""
     q = exclusive_quartiles(values, group, value).filter((F.col("n") >= least) & (F.col("q3") > F.col("q1")))

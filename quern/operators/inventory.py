@@ -82,13 +82,6 @@ def freshness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(*views.snapshots(spark, sf_dir)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS files, CAST(sum(length(hash)) AS BIGINT) AS width, sha256(string_agg(path || '=' || hash, chr(10) ORDER BY path)) AS key FROM files", "files")
-def snapshot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.files(spark, sf_dir)
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("="), x["hash"])), "\n")
-    return f.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("hash")).cast("long").alias("width"), F.sha2(listed, 256).alias("key"))
-
-
 @query("SELECT path FROM files WHERE regexp_matches(path, '^(?s:.*doc_.*7)$') AND starts_with(path, 'src1')", "files")
 def dsl_filter_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).filter(predicate(parse("*doc_*7"), F.col("path")) & F.col("path").startswith("src1")).select("path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.inventory import excluded, suffix_language
@@ -37,16 +37,65 @@ def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
     return [r["v"] for r in rows.collect()]
 
 
+#: Fixed value: commits of a history that are looked at, the first of the log.
+HISTORY_COMMITS = 400
+_HUNK = r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """commit_id, author, paths (a list) from the text of `git log --name-only --format='%x00%H%x00%an'`: header lines start with NUL.
+
+    A row is what stands between two headers, so a log is read by as many
+    tasks as its bytes ask for, and no task holds more than a commit at a
+    time. A commit without files has an empty list.
+    """
+    rows = spark.read.text(path, lineSep="\n\x00")
+    text = F.regexp_replace("value", "^\x00", "")
+    head, body = F.split(F.split(text, "\n")[0], "\x00"), F.slice(F.split(text, "\n"), 2, 1 << 30)
+    files = F.array_distinct(F.filter(F.transform(body, lambda x: F.trim(x)), lambda x: x != ""))
+    return rows.select(head[0].alias("commit_id"), F.get(head, 1).alias("author"), files.alias("paths")).filter("commit_id <> ''")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """commit_id, author, path from the text of `git log --name-only --format='%x00%H%x00%an'`: header lines start with NUL.
+    """commit_id, author, path: a row for each file of a commit."""
+    return read_commits(spark, path).select("commit_id", "author", F.explode("paths").alias("path"))
+
+
+def latest_commits(spark: SparkSession, path: str, most: int = HISTORY_COMMITS) -> DataFrame:
+    """commit_id, author, paths of the first `most` commits of one log: newest first, as a log is."""
+    return read_commits(spark, path).limit(most)
+
+
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """path, old_path, change, hunks (old_start, old_lines, start, lines) from the text of `git diff -U0`: a row a file.
 
-    Lines keep their place by the file's line number, so a log is one file per
-    repository; many logs are read in parallel.
+    Files are cut where a line starts with "diff --git ", so a diff is read by
+    many tasks. Names come from the lines that can't be mistaken: renames,
+    then the two names of the contents, then the first line.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    head = F.when(F.col("line").startswith("\x00"), F.struct(F.split("line", "\x00")[1].alias("commit_id"), F.split("line", "\x00")[2].alias("author")))
-    marked = lines.withColumn("h", F.last(head, ignorenulls=True).over(Window.partitionBy("log").orderBy("n")))
-    return marked.filter("not startswith(line, '\\u0000') and trim(line) <> '' and h is not null").select("h.commit_id", "h.author", F.trim("line").alias("path")).distinct()
+    text = F.regexp_replace("value", "^diff --git ", "")
+    rows = spark.read.text(path, lineSep="\ndiff --git ").select(text.alias("t")).filter("t <> ''")
+    # Up to the first hunk: lines of content may look like any of these.
+    rows = rows.withColumn("head", F.split("t", "(?m)^@@ ", 2)[0])
+    first = F.split("head", "\n")[0]
+    named = lambda p: F.nullif(F.regexp_extract("head", p, 1), F.lit(""))
+    new = F.coalesce(named(r"(?m)^rename to (.+)$"), named(r"(?m)^\+\+\+ b/(.+?)\t?$"), named(r"(?m)^--- a/(.+?)\t?$"), F.regexp_extract(first, r" b/(.+)$", 1))
+    old = F.coalesce(named(r"(?m)^rename from (.+)$"), named(r"(?m)^--- a/(.+?)\t?$"), new)
+    kind = F.when(F.col("head").rlike("(?m)^new file mode"), "added").when(F.col("head").rlike("(?m)^deleted file mode"), "deleted").when(F.col("head").rlike("(?m)^rename from "), "renamed").otherwise("changed")
+    part = lambda g: F.regexp_extract_all("t", F.lit(_HUNK), F.lit(g))
+    number = lambda x: F.when(x == "", 1).otherwise(F.try_to_number(x, F.lit("9999999999")).cast("int"))  # noqa: E731  a hunk of one line has no count
+    hunks = F.arrays_zip(*[F.transform(part(g), number).alias(n) for g, n in ((1, "old_start"), (2, "old_lines"), (3, "start"), (4, "lines"))])
+    return rows.select(new.alias("path"), old.alias("old_path"), kind.alias("change"), hunks.alias("hunks"))
+
+
+def changed_lines(diff: DataFrame) -> DataFrame:
+    """path, start, end: the line ranges of the new state that a diff touches; a hunk that only removes touches none."""
+    return diff.select("path", F.explode("hunks").alias("h")).filter("h.lines > 0").select("path", F.col("h.start").alias("start"), (F.col("h.start") + F.col("h.lines") - 1).alias("end"))
+
+
+def changed_since(diff: DataFrame, status: DataFrame) -> DataFrame:
+    """path: what a diff since a base or the working tree's status tells of, each once."""
+    return diff.select("path").union(status.select("path")).filter("path <> ''").distinct()
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:

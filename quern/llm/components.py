@@ -1,7 +1,11 @@
-"""Connected components by alternating large-star and small-star steps on an edge table."""
+"""Connected components: alternating large-star and small-star steps on an edge table, until a task can hold what is left."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +24,49 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return moved.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
+#: Edges up to which one task joins them (some 20 MB); more are first shrunk by rounds of stars.
+TASK_EDGES = 200_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches) of edges between a and b, nodes ascending."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        # Each root hangs itself under the least root that an edge of its tree leads to; then all pointers are cut short.
+        rx, ry = root[x], root[y]
+        open_ = rx != ry
+        if not open_.any():
+            return nodes, nodes[root]
+        x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(k).to_numpy() for k in (0, 1)] for batch in batches]
+        if parts:
+            found = least_reached(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of the edges (a, b): the least id that it reaches. Loops and repeats do no harm.
+    """(id, component) of every node of the edges (a, b), longs: the least id that it reaches. Loops and repeats do no harm.
 
     Each round is written to the shared folder, as is the result. The number of rounds grows with
-    the logarithm of the longest path.
+    the logarithm of the longest path. At most TASK_EDGES edges are joined by one task.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     sign = None
+    if now.count() <= TASK_EDGES:
+        out = written(_in_one_task(now), "labels")
+        discard(now)
+        return out
     while True:
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
         if (got["n"], got["h"]) == sign or not got["n"]:

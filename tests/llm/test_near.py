@@ -172,3 +172,20 @@ def test_large_regions_are_exact(spark):
         rows.append((k, " ".join(w), 1, "x"))
     got = similar_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, most):
+    from quern.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_EDGES", most)
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (7, 1100)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r["id"]: r["component"] for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -28,16 +28,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", "ts", F.col("user_id").alias("session_id"), "event_type", F.col("value").alias("tokens"), F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
 
 
-def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs what is there to its end and reads the sink: appended rows, or the last complete result."""
-    spark = stream.sparkSession
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+def run_to(stream: DataFrame, out: str, state: str, mode: str) -> None:
+    """Runs what is there to its end, into a folder of rows; goes on where an earlier run with the same state has stopped."""
 
     def put(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own rows.
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Runs what is there to its end and reads the sink: appended rows, or the last complete result."""
+    spark = stream.sparkSession
+    out = _folder(spark, name)
+    run_to(stream, out, _folder(spark, f"{name}-state"), mode)
     return spark.read.parquet(out).drop("batch")
 
 

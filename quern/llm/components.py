@@ -55,15 +55,15 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, in_task: bool = True) -> DataFrame:
     """(id, component) of every node of the edges (a, b), longs: the least id that it reaches. Loops and repeats do no harm.
 
     Each round is written to the shared folder, as is the result. The number of rounds grows with
-    the logarithm of the longest path. At most TASK_EDGES edges are joined by one task.
+    the logarithm of the longest path. in_task: TASK_EDGES edges and fewer are joined by one task, in Python.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     sign = None
-    if now.count() <= TASK_EDGES:
+    if in_task and now.count() <= TASK_EDGES:
         out = written(_in_one_task(now), "labels")
         discard(now)
         return out

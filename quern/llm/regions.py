@@ -46,13 +46,13 @@ LEAF = 1000
 _EPS = 1e-9
 
 
-def relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def relabel(labels: DataFrame | None, edges: DataFrame, in_task: bool = True) -> DataFrame:
     """(id, component) of linked items after more edges (a, b) between items."""
     if labels is None:
-        return components(edges)
+        return components(edges, in_task)
     of = lambda side: labels.select(F.col("id").alias(f"_{side}"), F.col("component").alias(f"_c{side}"))
     named = edges.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
-    merged = components(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")))
+    merged = components(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")), in_task)
     step = merged.select(F.col("id").alias("_old"), F.col("component").alias("_new"))
     moved = labels.join(step, F.col("component") == F.col("_old"), "left")
     old = moved.select("id", F.coalesce("_new", "component").alias("component"))
@@ -104,6 +104,7 @@ def region_components(
     join: Callable[[DataFrame], DataFrame],
     radius: float,
     ball: float,
+    in_task: bool = True,
 ) -> DataFrame:
     """(id, component) of the items that have a link.
 
@@ -112,7 +113,7 @@ def region_components(
     whether d, a metric, is at most radius. join(rows) gives links (a, b) that
     tie the components of each region together; rows are (region, id,
     component, main, degree), at most LEAF a region. ball should be below the
-    distance of unrelated items by a radius.
+    distance of unrelated items by a radius. in_task as for components().
     """
     met = merged_buckets(buckets)
     tops = met.groupBy("bucket").agg(F.max_by("id", F.struct("degree", "id")).alias("region"), F.max("degree").alias("rank"))
@@ -121,7 +122,7 @@ def region_components(
     discard(met)
     homes = rows.groupBy("id").agg(F.max_by("region", F.struct("rank", "region")).alias("b"))
     found = measure(homes.filter("id <> b").select(F.col("id").alias("a"), "b"))
-    labels = relabel(None, _linked(found))
+    labels = relabel(None, _linked(found), in_task)
     now = _open(rows, "bucket", labels).groupBy("region", "id").agg(F.max("degree").alias("degree"))
     now = written(_open(now, "region", labels), "level")
     discard(found, rows)
@@ -130,13 +131,13 @@ def region_components(
         links = written(join(now.filter(F.col("size") <= LEAF).drop("size")).distinct(), "links")
         big = now.filter(F.col("size") > LEAF).drop("size", "component")
         if not big.limit(1).count():
-            labels = relabel(labels, links)
+            labels = relabel(labels, links, in_task)
             discard(now, links)
             return labels
         star = big.join(_pivots(big, FAN**level, level == 0), F.col("region") == F.col("_r")).drop("_r")
         star = written(star, "star")
         found = measure(star.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-        labels = relabel(labels, links.unionByName(_linked(found)))
+        labels = relabel(labels, links.unionByName(_linked(found)), in_task)
         got = found.select(F.col("a").alias("_a"), F.col("b").alias("_p"), "d")
         near = star.join(got, (F.col("id") == F.col("_a")) & (F.col("pivot") == F.col("_p")), "left")
         ring = F.floor(F.col("d") / width).cast("int")

@@ -115,7 +115,7 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
         on = (F.col("x_region") == F.col("y_region")) & (F.col("x_component") != F.col("y_component")) & once & near
         return x.join(y, on).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
 
-    labels = region_components(buckets, measure, join, float(radius), float(max(radius, BALL)))
+    labels = region_components(buckets, measure, join, float(radius), float(max(radius, BALL)), in_task=False)
     discard(buckets)
     step = labels.select(F.col("id").alias("_l"), F.col("component").alias("_c"))
     named = points.join(step, F.col("key") == F.col("_l"), "left").select("hi", "lo", "id", F.coalesce("_c", "key").alias("_c"))

@@ -1,4 +1,4 @@
-"""Queries over a small repository of sources written here: the driver's tables hold no code."""
+"""Queries of parsers and rules over the sources that the part table makes."""
 
 from __future__ import annotations
 
@@ -6,133 +6,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import parsing, rules
+from quern.operators.table_sources import FINDINGS_SQL, PARTS, PYTHON_SQL, _SHAPES, source_tree
+from quern.plans import views
 from quern.registry import query
 
-_BODY = "\n".join(f"    total += values[{i}] * {i}" for i in range(60))
-SOURCES = {
-    "src/app/alpha.py": "from app.beta import run_beta\n\n__all__ = ['start']\n\n\ndef start(values):\n    return run_beta(values)\n",
-    "src/app/beta.py": "from . import gamma\n\n\ndef run_beta(values):\n    return gamma.run_gamma(values)\n",
-    "src/app/gamma.py": "import app.alpha\n\n\ndef run_gamma(values):\n    return len(values)\n\n\ndef unused_helper():\n    return 'constant text here'\n",
-    "src/app/large.py": f"def load_all(values):\n    total = 0\n{_BODY}\n    return total\n\n\ndef save_all(x):\n    return x\n\n\ndef parse_all(x):\n    # TODO one\n    # FIXME two\n    # HACK three\n    return ['repeated literal', 'repeated literal', 'repeated literal', 'repeated literal']\n",
-    "src/app/shapes.py": "def first(items):\n    found = []\n    for item in items:\n        if item > 1:\n            found.append(item * 2)\n    return found\n\n\ndef second(rows):\n    result = []\n    for row in rows:\n        if row > 1:\n            result.append(row * 2)\n    return result\n\n\nclass Box:\n    def __init__(self, size: int):\n        self.size = size\n\n    async def open(self):\n        if self.size:\n            for a in range(3):\n                while a:\n                    with self.size:\n                        try:\n                            a -= 1\n                        finally:\n                            pass\n",
-    "src/app/mixed.py": "def load_rows(path):\n    return path\n\n\ndef save_rows(rows):\n    return rows\n\n\ndef render_rows(rows):\n    return rows\n" + "\n" * 300,
-    "src/app/broken.py": "def broken(:\n    pass\n",
-    "tests/test_alpha.py": "from unittest import mock\n\n\ndef test_nothing():\n    pass\n\n\ndef test_runs():\n    run_beta([1])\n\n\ndef test_true():\n    assert True\n\n\n@mock.patch('a')\n@mock.patch('b')\ndef test_mocked(a, b):\n    m = mock.Mock()\n    n = mock.MagicMock()\n    m(n)\n\n\ndef test_real():\n    assert 1 + 1 == 2\n",
-    "web/Panel.tsx": "import React from 'react';\nexport type PanelProps = {\n" + "".join(f"  readonly p{i}: string;\n" for i in range(9)) + "};\nexport function Panel(props: PanelProps) {\n" + "".join(f"  const s{i} = useState({i});\n" for i in range(9)) + "  return <div className=\"panel-main\" id=\"panel-main\">x</div>;\n}\n",
-    "web/route.ts": "export async function GET(request) {\n" + "".join(f"  const v{i} = request.v{i};\n" for i in range(45)) + "  return v1;\n}\n// TODO a\n// TODO b\n",
-    "web/route.test.ts": "it('does nothing', () => {\n  run();\n});\nit.skip('later', () => {\n  expect(true).toBe(true);\n});\n",
-    "srv/main.go": 'package main\n\nimport (\n\t"fmt"\n\tos "os"\n)\n\ntype Server struct {\n\tname string\n}\n\nfunc (s *Server) Run() {\n\tfmt.Println("listening on port", "listening on port")\n\tfmt.Println("listening on port", "listening on port")\n}\n\nfunc Serve() {\n' + "\tfmt.Println(1)\n" * 55 + "}\n",
-    "lib/widget.rb": "# TODO x\n# TODO y\n# FIXME z  # quern: ignore[generic.todo_cluster]\nputs 'hello'\n",
-}
-
-
-def repository(spark: SparkSession, changed: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(sorted((SOURCES | (changed or {})).items()), "path string, text string")
-
-
-@query()
+
+def _of(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
+    return source_tree(spark, sf_dir).filter(F.col("path").rlike(suffix))
+
+
+def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.python_facts(_of(spark, sf_dir, r"\.py$"))
+
+
+@query("WITH " + PYTHON_SQL + " SELECT path, f.name AS name, 'function' AS kind, CAST(f.line AS INTEGER) AS line, CAST(f.line + f.size - 1 AS INTEGER) AS end_line FROM functions UNION ALL SELECT path, name, 'class', 1, CAST(size AS INTEGER) FROM classes")
 def python_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py")))
+    return _python(spark, sf_dir).filter("fact = 'symbol'").select("path", "name", "kind", "line", "end_line")
+
 
+@query("WITH " + PARTS + """ SELECT 'src/p' || k || '/core_' || k || '.py' AS path, 'p' || k || '.extra_' || k AS module, 'extra_' || k AS name, CAST(1 AS BIGINT) AS n FROM parts
+UNION ALL SELECT 'src/p' || k || '/extra_' || k || '.py', CASE WHEN s % 2 = 1 THEN 'p' || k || '.core_' || k ELSE 'os' END, NULL, 1 FROM parts UNION ALL SELECT 'src/p' || k || '/imports_' || k || '.py', 'os', NULL, s FROM parts WHERE s > 0
+UNION ALL SELECT 'tests/test_core_' || k || '.py', 'p' || k || '.core_' || k, 'main_' || k, 1 FROM parts WHERE s % 3 = 0""")
+def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _python(spark, sf_dir).filter("fact = 'import'")
+    return i.groupBy("path", F.col("name").alias("module"), F.col("text").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
-@query("SELECT path, CAST(line AS INTEGER) AS line, name, kind, CAST(end_line AS INTEGER) AS end_line FROM (VALUES ('web/Panel.tsx', 13, 'Panel', 'component', 24), ('web/route.ts', 1, 'GET', 'route', 48)) t(path, line, name, kind, end_line)")
+
+@query("WITH " + PARTS + """ SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, CAST(5 + s % 12 AS INTEGER) AS line, 'Panel' || k AS name, 'component' AS kind, CAST(7 + s % 12 + 4 * s AS INTEGER) AS end_line FROM parts
+UNION ALL SELECT 'web/p' || k || '/route.ts', 1, 'GET', 'route', CAST(s + 2 AS INTEGER) FROM parts
+UNION ALL SELECT 'web/p' || k || '/all.ts', CAST(i AS INTEGER), 'one', 'function', CAST(least(i + 1, s % 14 + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END) AS INTEGER) FROM (SELECT k, s, unnest(range(1, s % 14 + 1)) AS i FROM parts)""")
 def typescript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.ts_symbols(repository(spark).filter(F.col("path").rlike(r"\.tsx?$")))
+    return parsing.ts_symbols(_of(spark, sf_dir, r"\.tsx?$")).select("path", "line", "name", "kind", "end_line")
+
 
+@query("WITH " + PARTS + """ SELECT path, r.name AS name, CAST(r.confidence AS DOUBLE) AS confidence, CAST(r.n AS BIGINT) AS n FROM (
+SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, unnest([{'name': 'react', 'confidence': 1.0, 'n': 1}, {'name': './api' || k, 'confidence': 1.0, 'n': 1}, {'name': 'Panel' || k, 'confidence': 0.4, 'n': 1}, {'name': 'useState', 'confidence': 0.4, 'n': s}, {'name': 'row', 'confidence': 0.4, 'n': 3 * s}, {'name': 'api', 'confidence': 0.4, 'n': 1}]) AS r FROM parts
+UNION ALL SELECT 'web/p' || k || '/route.ts', unnest([{'name': 'GET', 'confidence': 0.4, 'n': 1}, {'name': 'call_' || k, 'confidence': 0.4, 'n': s}]) FROM parts
+UNION ALL SELECT 'web/p' || k || '/Panel' || k || '.test.ts', unnest([{'name': 'it', 'confidence': 0.4, 'n': 2}, {'name': 'run', 'confidence': 0.4, 'n': 1}, {'name': 'expect', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 4 ELSE 1 END}, {'name': 'toBe', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 4 ELSE 1 END}, {'name': 'skip', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 3 ELSE 0 END}]) FROM parts WHERE s % 3 = 0) WHERE r.n > 0""")
+def typescript_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported modules and calls of each file; the parenthesis in a string and the one in a comment are none."""
+    return parsing.ts_references(_of(spark, sf_dir, r"\.tsx?$")).groupBy("path", "name", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
-@query("SELECT path, name, kind, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line FROM (VALUES ('srv/main.go', 'Run', 'method', 12, 15), ('srv/main.go', 'Serve', 'function', 17, 73), ('srv/main.go', 'Server', 'type', 8, 10), ('srv/main.go', 'fmt', 'import', 4, 4), ('srv/main.go', 'os', 'import', 5, 5)) t(path, name, kind, line, end_line)")
+
+@query("WITH " + PARTS + """ SELECT 'srv/p' || k || '/main.go' AS path, g.name AS name, g.kind AS kind, CAST(g.line AS INTEGER) AS line, CAST(g.e AS INTEGER) AS end_line FROM (SELECT k, unnest([{'name': 'Box' || k, 'kind': 'struct', 'line': 8, 'e': 10},
+{'name': 'Run', 'kind': 'method', 'line': 12, 'e': 14 + s % 6}, {'name': 'Serve' || k, 'kind': 'function', 'line': 16 + s % 6, 'e': 17 + s % 6 + 6 * s}, {'name': 'fmt', 'kind': 'import', 'line': 4, 'e': 4}, {'name': 'os', 'kind': 'import', 'line': 5, 'e': 5}]) AS g FROM parts)""")
 def go_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    go = repository(spark).filter(F.col("path").endswith(".go"))
+    go = _of(spark, sf_dir, r"\.go$")
     return parsing.go_symbols(go).select("path", "name", "kind", "line", "end_line").unionByName(parsing.go_imports(go).select("path", F.col("module").alias("name"), F.lit("import").alias("kind"), "line", F.col("line").alias("end_line")))
 
 
-#: What the sources above hold.
-_EXPECTED = """SELECT rule_id, file_path, CAST(symbol AS VARCHAR) AS symbol, severity, CAST(confidence AS DOUBLE) AS confidence, message, CAST(line AS INTEGER) AS line FROM (VALUES
-('generic.todo_cluster', 'lib/widget.rb', NULL, 'info', 0.8, '3 marker lines', 1),
-('go.duplicate_literal', 'srv/main.go', substr(sha256('listening on port'), 1, 12), 'info', 0.8, 'literal used 4 times', 13),
-('go.large_function', 'srv/main.go', 'Serve', 'warning', 0.9, '57 lines', 17),
-('go.missing_nearby_test', 'srv/main.go', NULL, 'warning', 0.6, 'no test file in the directory', NULL),
-('next.route_handler_too_much', 'web/route.ts', 'GET', 'warning', 0.75, '48 lines', 1),
-('python.assertion_free_test', 'tests/test_alpha.py', 'test_runs', 'warning', 0.8, 'assertion_free test', 8),
-('python.dead_code_candidate', 'src/app/gamma.py', 'unused_helper', 'info', 0.6, 'not used anywhere', 8),
-('python.dead_code_candidate', 'src/app/large.py', 'load_all', 'info', 0.6, 'not used anywhere', 1),
-('python.dead_code_candidate', 'src/app/large.py', 'parse_all', 'info', 0.6, 'not used anywhere', 70),
-('python.dead_code_candidate', 'src/app/large.py', 'save_all', 'info', 0.6, 'not used anywhere', 66),
-('python.dead_code_candidate', 'src/app/mixed.py', 'load_rows', 'info', 0.6, 'not used anywhere', 1),
-('python.dead_code_candidate', 'src/app/mixed.py', 'render_rows', 'info', 0.6, 'not used anywhere', 9),
-('python.dead_code_candidate', 'src/app/mixed.py', 'save_rows', 'info', 0.6, 'not used anywhere', 5),
-('python.dead_code_candidate', 'src/app/shapes.py', 'Box', 'info', 0.6, 'not used anywhere', 17),
-('python.dead_code_candidate', 'src/app/shapes.py', 'first', 'info', 0.6, 'not used anywhere', 1),
-('python.dead_code_candidate', 'src/app/shapes.py', 'second', 'info', 0.6, 'not used anywhere', 9),
-('python.deep_nesting', 'src/app/shapes.py', NULL, 'warning', 0.75, 'depth 5', NULL),
-('python.duplicate_literal', 'src/app/large.py', substr(sha256('repeated literal'), 1, 12), 'info', 0.85, 'literal used 4 times', 74),
-('python.import_cycle', 'src/app/alpha.py', NULL, 'warning', 0.9, 'cycle of 3', NULL),
-('python.large_file', 'src/app/mixed.py', NULL, 'warning', 0.9, '310 lines', NULL),
-('python.large_function', 'src/app/large.py', 'load_all', 'warning', 0.9, '63 lines', 1),
-('python.missing_nearby_test', 'src/app/beta.py', NULL, 'info', 0.65, 'no test file for this module', NULL),
-('python.missing_nearby_test', 'src/app/gamma.py', NULL, 'info', 0.65, 'no test file for this module', NULL),
-('python.missing_nearby_test', 'src/app/large.py', NULL, 'info', 0.65, 'no test file for this module', NULL),
-('python.missing_nearby_test', 'src/app/mixed.py', NULL, 'info', 0.65, 'no test file for this module', NULL),
-('python.missing_nearby_test', 'src/app/shapes.py', NULL, 'info', 0.65, 'no test file for this module', NULL),
-('python.mixed_responsibilities', 'src/app/mixed.py', NULL, 'info', 0.55, '3 kinds of work', NULL),
-('python.no_op_test', 'tests/test_alpha.py', 'test_nothing', 'warning', 0.8, 'no_op test', 4),
-('python.no_op_test', 'tests/test_alpha.py', 'test_true', 'warning', 0.8, 'no_op test', 12),
-('python.over_mocked_test', 'tests/test_alpha.py', 'test_mocked', 'warning', 0.7, 'over_mocked test', 18),
-('python.structural_near_duplicate', 'src/app/shapes.py', 'first', 'info', 0.8, 'same shape as 1 more', 1),
-('python.todo_cluster', 'src/app/large.py', NULL, 'info', 0.9, '3 marker lines', 71),
-('react.too_many_hooks', 'web/Panel.tsx', 'Panel', 'info', 0.7, '9 hooks', 13),
-('react.too_many_props', 'web/Panel.tsx', NULL, 'info', 0.65, '9 props', NULL),
-('typescript.assertion_free_test', 'web/route.test.ts', 'does nothing', 'warning', 0.7, 'assertion_free test', 1),
-('typescript.duplicate_literal', 'web/Panel.tsx', substr(sha256('panel-main'), 1, 12), 'info', 0.7, 'literal used 2 times', 23),
-('typescript.missing_nearby_test', 'web/Panel.tsx', NULL, 'info', 0.65, 'no test file beside it', NULL),
-('typescript.no_op_test', 'web/route.test.ts', 'later', 'warning', 0.7, 'no_op test', 4),
-('typescript.todo_cluster', 'web/route.ts', NULL, 'info', 0.8, '2 marker lines', 49)) t(rule_id, file_path, symbol, severity, confidence, message, line)"""
-
-
-@query(_EXPECTED)
+@query("WITH " + PARTS + """ SELECT 'p' || k AS package, r.name AS name, CAST(r.n AS BIGINT) AS n FROM (SELECT k, unnest([{'name': 'import', 'n': 1}, {'name': 'Run', 'n': 1}, {'name': 'log', 'n': s % 6}, {'name': 'Println', 'n': 1 + 6 * s}, {'name': 'Serve' || k, 'n': 1}]) AS r FROM parts) WHERE r.n > 0""")
+def go_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    go = _of(spark, sf_dir, r"\.go$")
+    return parsing.go_references(go).join(parsing.go_packages(go), "path").groupBy("package", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(FINDINGS_SQL)
 def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.run_rules(rules.Facts.of(repository(spark)))
+    return rules.run_rules(rules.Facts.of(source_tree(spark, sf_dir)))
 
 
-@query()
+@query("WITH " + PARTS + " SELECT n AS members, path, name FROM " + _SHAPES.replace("WHERE n >= 2 AND r = 1", "WHERE r = 1"))
 def fingerprint_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py"))).filter("fact = 'fingerprint'").groupBy(F.col("text").alias("fingerprint")).agg(F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_list(F.concat_ws(":", "path", "name"))).alias("locations"))
+    """Shapes by their first place."""
+    first = F.min(F.struct("path", "line", "name")).alias("first")
+    return _python(spark, sf_dir).filter("fact = 'fingerprint'").groupBy("text").agg(F.count(F.lit(1)).alias("members"), first).select("members", "first.path", "first.name")
 
 
-@query("SELECT path, name, change FROM (VALUES ('src/app/shapes.py', 'first', 'removed'), ('src/app/shapes.py', 'renamed', 'added'), ('src/app/shapes.py', 'second', 'changed')) t(path, name, change)")
+@query("WITH " + PARTS + """ SELECT 'src/p' || k || '/core_' || k || '.py' AS path, 'main_' || k AS name, 'changed' AS change FROM parts WHERE s % 4 = 0
+UNION ALL SELECT 'src/p' || k || '/extra_' || k || '.py', unnest(['load_' || k, 'loaded_' || k]), unnest(['removed', 'added']) FROM parts WHERE s % 9 = 0""")
 def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    python = F.col("path").endswith(".py")
-    new = {"src/app/shapes.py": SOURCES["src/app/shapes.py"].replace("def second(rows)", "def second(rows, extra=None)").replace("def first", "def renamed")}
-    return parsing.public_changes(parsing.python_facts(repository(spark).filter(python)), parsing.python_facts(repository(spark, new).filter(python)))
+    """Before and after: files of parts of some sizes have another signature, others another name."""
+    size = F.col("s")
+    s = views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").alias("s"))
+    old = _of(spark, sf_dir, r"^src/.*\.py$").withColumn("_k", F.regexp_extract("path", r"_(\d+)\.py$", 1)).join(s, F.col("_k") == F.col("k"))
+    text = F.when(size % 4 == 0, F.regexp_replace("text", r"def main_(\d+)\(values\)", "def main_$1(values, extra=None)")).otherwise(F.col("text"))
+    text = F.when(size % 9 == 0, F.regexp_replace(text, "def load_", "def loaded_")).otherwise(text)
+    return parsing.public_changes(parsing.python_facts(old), parsing.python_facts(old.withColumn("text", text)))
 
 
-@query("SELECT 'lib/widget.rb' AS path, CAST(3 AS INTEGER) AS line, ['generic.todo_cluster'] AS rules")
+@query("WITH " + PARTS + " SELECT 'lib/p' || k || '.rb' AS path, CAST(5 AS INTEGER) AS line, ['generic.todo_cluster'] AS rules FROM parts WHERE s % 5 = 4")
 def inline_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.directives(repository(spark))
-
-
-@query("""SELECT path, caller, call_text, CAST(line AS INTEGER) AS line, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
-('src/app/alpha.py', 'start', 'run_beta', 7, 1.0),
-('src/app/beta.py', 'run_beta', 'run_gamma', 5, 1.0),
-('src/app/gamma.py', 'run_gamma', 'len', 5, 1.0),
-('src/app/shapes.py', 'Box.__init__', 'int', 18, 1.0),
-('src/app/shapes.py', 'Box.open', 'range', 23, 1.0),
-('src/app/shapes.py', 'first', 'append', 5, 1.0),
-('src/app/shapes.py', 'second', 'append', 13, 1.0),
-('tests/test_alpha.py', 'test_mocked', 'MagicMock', 20, 1.0),
-('tests/test_alpha.py', 'test_mocked', 'Mock', 19, 1.0),
-('tests/test_alpha.py', 'test_mocked', 'm', 21, 1.0),
-('tests/test_alpha.py', 'test_runs', 'run_beta', 9, 1.0),
-('tests/test_alpha.py', NULL, 'patch', 16, 1.0),
-('tests/test_alpha.py', NULL, 'patch', 17, 1.0)) t(path, caller, call_text, line, confidence)""")
+    return parsing.directives(source_tree(spark, sf_dir))
+
+
+_CALLS = PARTS + """, calls AS (SELECT 'src/p' || k || '/core_' || k || '.py' AS path, 'main_' || k AS caller, 'extra_' || k AS call_text, 5 AS line, k FROM parts
+UNION ALL SELECT 'src/p' || k || '/extra_' || k || '.py', 'extra_' || k, 'len', 5 + s % 5, k FROM parts
+UNION ALL SELECT 'tests/test_core_' || k || '.py', c.by, c.call, c.line, k FROM (SELECT k, unnest([{'by': 'test_main_' || k, 'call': 'main_' || k, 'line': 5}, {'by': 'test_mocked_' || k, 'call': 'Mock', 'line': 13}, {'by': 'test_mocked_' || k, 'call': 'MagicMock', 'line': 14}, {'by': 'test_mocked_' || k, 'call': 'mock_it', 'line': 15}]) AS c FROM parts WHERE s % 3 = 0)
+UNION ALL SELECT 'tests/test_core_' || k || '.py', 'test_later_' || k, 'main_' || k, unnest([20, 25, 30]), k FROM parts WHERE s % 6 = 0)"""
+
+
+@query("WITH " + _CALLS + " SELECT path, caller, call_text, CAST(line AS INTEGER) AS line, CAST(1.0 AS DOUBLE) AS confidence FROM calls")
 def parsed_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.call_edges(parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py"))))
+    return parsing.call_edges(_python(spark, sf_dir))
 
 
-@query("""SELECT name, path, caller, CAST(line AS INTEGER) AS line, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
-('run_beta', 'src/app/alpha.py', 'start', 7, 1.0),
-('run_beta', 'tests/test_alpha.py', 'test_runs', 9, 1.0),
-('run_gamma', 'src/app/beta.py', 'run_beta', 5, 1.0)) t(name, path, caller, line, confidence)""")
+@query("WITH " + _CALLS + " SELECT call_text AS name, path, caller, CAST(line AS INTEGER) AS line, CAST(1.0 AS DOUBLE) AS confidence FROM calls WHERE call_text IN ('extra_' || k, 'main_' || k)")
 def parsed_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = parsing.python_facts(repository(spark).filter(F.col("path").endswith(".py")))
+    facts = _python(spark, sf_dir)
     return parsing.callers_of(parsing.call_edges(facts), facts.filter("fact = 'symbol'").select("name"))

@@ -82,17 +82,23 @@ class _Chains:
         ends = one.select(F.col("node").alias("_n"), F.lit(True).alias("open"))
         opened = F.coalesce("open", F.lit(False))
         p = kept(one.join(ends, F.col("to") == F.col("_n"), "left").select("node", "to", opened.alias("open"), F.least("node", "to").alias("low")), "chain", some=F.lit(True), open=F.col("open"))
-        left, before = p.counts["open"], None
         if not p.counts["some"]:
             return
         self.steps.append(p)
-        # open: the pointer, 2^k steps ahead, is still inside a chain. As many as before: they lead to rings.
-        while left and not (left == before and (1 << len(self.steps) - 1) >= left):
+        # open: the pointer, 2^k steps ahead, is still inside a chain. Once as many are open as before, they lead to
+        # rings; once as many nodes are pointed at as before, those are the rings; once no `low` falls, it is the ring's.
+        left, before = p.counts["open"], None
+        while left:
             q = p.select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("open").alias("_open"), F.col("low").alias("_low"))
             far = p.join(q, F.col("open") & (F.col("to") == F.col("_n")), "left")
-            p = kept(far.select("node", F.coalesce("_to", "to").alias("to"), F.coalesce("_open", F.lit(False)).alias("open"), F.least("low", "_low").alias("low")), "chain")
+            less = F.coalesce(F.col("_open") & (F.col("_low") < F.col("low")), F.lit(False))
+            p = kept(far.select("node", F.coalesce("_to", "to").alias("to"), F.coalesce("_open", F.lit(False)).alias("open"), F.least("low", "_low").alias("low"), less.alias("less")), "chain", less=F.col("less"))
             self.steps.append(p)
-            left, before = p.filter("open").count(), left
+            sizes = tuple(p.filter("open").agg(F.count(F.lit(1)), F.countDistinct("to")).first())
+            left = sizes[0]
+            if sizes == before and not p.counts["less"]:
+                break
+            before = sizes
         self.rings = bool(left)
         on_ring = p.filter("open").select(F.col("to").alias("node")).distinct()
         self.cycles = p.join(on_ring, "node", "left_semi").select("node", F.col("low").alias("label"))

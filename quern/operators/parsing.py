@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS = "path string, fact string, name string, kind string, line int, end_line int, n long, text string, confidence double"
@@ -190,19 +190,49 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).cast("int").alias("line"), "text")
+    """path, line, text: lines from 1; a line end at the very end starts no further line."""
+    lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("text", "\n\\z", ""), "\n", -1))
+    return files.select("path", F.posexplode(lines).alias("p", "text")).select("path", (F.col("p") + 1).cast("int").alias("line"), "text")
 
 
-def _closed(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts with end_line: the first line after the start at which the braces opened since are closed again."""
+#: Comments, strings and templates of the languages with braces, then what is none of them.
+_TOKENS = r"""(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?|[^/"'`]++|/"""
+
+
+def code_only(text: Column) -> Column:
+    """text with comments, strings and templates blanked, line by line where it was."""
+    blank = lambda t: F.when(t.rlike(r"""^(?://|/\*|["'`])"""), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), blank), "")
+
+
+def _closed(files: DataFrame, starts: DataFrame, braced: bool = False) -> DataFrame:
+    """starts with end_line: the first line after the start at which the braces opened since are closed again, else the start itself.
+
+    braced: a start without a brace is one line long. Braces in strings and
+    comments don't count. A line closes each level that it ends below; a start
+    at depth d waits for the next line that closes d + 1, so lines and starts
+    of a level stand in one order and no start meets all later lines.
+    """
+    lines = source_lines(files.select("path", code_only(F.col("text")).alias("text")))
     delta = F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))
-    depth = lines.select(F.col("path").alias("_p"), F.col("line").alias("_l"), F.sum(delta).over(Window.partitionBy("path").orderBy("line")).alias("_after"), delta.alias("_d"))
-    j = starts.join(depth.select("_p", "_l", (F.col("_after") - F.col("_d")).alias("_before")), (F.col("path") == F.col("_p")) & (F.col("line") == F.col("_l"))).drop("_p", "_l")
-    # The first later line at which they are closed; the start itself if none does.
-    ends = depth.select(F.col("_p").alias("_q"), F.col("_l").alias("_e"), "_after")
-    later = (F.col("path") == F.col("_q")) & (F.col("_e") > F.col("line")) & (F.col("_after") <= F.col("_before"))
-    k = j.join(ends, later, "left")
-    return k.groupBy(*starts.columns).agg(F.coalesce(F.min("_e"), F.col("line")).cast("int").alias("end_line"))
+    by_line = Window.partitionBy("path").orderBy("line")
+    depth = lines.select("path", "line", F.sum(delta).over(by_line).alias("after"), delta.alias("_d"), F.col("text").contains("{").alias("opens"))
+    depth = depth.select("path", "line", (F.col("after") - F.col("_d")).alias("before"), "after", "opens", F.lead("after").over(by_line).alias("next"))
+    closing = depth.filter("after < before").select("path", "line", F.explode(F.sequence(F.col("after") + 1, F.col("before"))).alias("level"), F.lit(None).cast("struct<name: string, kind: string>").alias("start"), F.lit(None).cast("int").alias("soon"))
+    # Where the start line is itself closed again, the next line ends it, or what that one opens.
+    soon = F.when(F.col("next").isNull() | (~F.col("opens") & F.lit(braced)), F.col("line")).when((F.col("after") <= F.col("before")) & (F.col("next") <= F.col("before")), F.col("line") + 1)
+    met = starts.join(depth, ["path", "line"]).select("path", "line", (F.col("before") + 1).alias("level"), F.struct("name", "kind").alias("start"), soon.cast("int").alias("soon"))
+    order = Window.partitionBy("path", "level").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    end = F.min(F.when(F.col("start").isNull(), F.col("line"))).over(order)
+    told = closing.unionByName(met).withColumn("end_line", F.coalesce("soon", end, "line").cast("int"))
+    return told.filter("start is not null").select("path", "line", "start.name", "start.kind", "end_line")
+
+
+def _after_flag(files: DataFrame, opened: str, closed: str) -> DataFrame:
+    """source_lines with `inside`: whether the last line that opens or closes, this one included, opens."""
+    marker = F.when(F.col("text").rlike(opened), "open").when(F.col("text").rlike(closed), "closed")
+    state = F.last(marker, ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
+    return source_lines(files).withColumn("inside", F.coalesce(state == "open", F.lit(False)))
 
 
 def ts_symbols(files: DataFrame) -> DataFrame:
@@ -213,30 +243,67 @@ def ts_symbols(files: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("text", r"^\s*(?:export\s+)?(?:const|let)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", 1), F.lit("")),
         F.nullif(F.regexp_extract("text", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", 1), F.lit("")),
     )
+    exported = F.nullif(F.regexp_extract("text", r"^\s*export\s+const\s+([A-Za-z_$][\w$]*)", 1), F.lit(""))
+    name = F.coalesce(name, exported)
     is_class = F.col("text").rlike(r"\bclass\s")
-    kind = F.when(is_class, "class").when(F.col("name").isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"), "route").when(F.col("name").rlike("^use[A-Z]"), "hook").when(F.col("name").rlike("^[A-Z]") & F.col("path").rlike(r"\.[jt]sx$"), "component").otherwise("function")
+    component = F.col("name").rlike("^[A-Z]") & F.col("path").rlike(r"\.[jt]sx$") & F.col("text").rlike("function|const")
+    kind = F.when(F.col("path").rlike(r"route\.[jt]s$"), "route").when(F.col("name").startswith("use"), "hook").when(component, "component").when(is_class, "class").otherwise("function")
     starts = lines.withColumn("name", name).filter("name is not null").withColumn("kind", kind).select("path", "line", "name", "kind")
-    return _closed(lines, starts)
+    return _closed(files, starts)
+
+
+def ts_imports(files: DataFrame) -> DataFrame:
+    """path, line, module of `import ... from "module"` and `import "module"`."""
+    module = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"""^\s*import\s+.+?\s+from\s+["']([^"']+)["']""", r"""^\s*import\s+["']([^"']+)["']""")])
+    return source_lines(files).select("path", "line", module.alias("module")).filter("module is not null")
+
+
+#: What stands before a parenthesis and is no call, and how sure a reference by pattern is.
+TS_KEYWORDS = ("function", "if", "for", "return", "switch")
+GO_KEYWORDS = ("func", "if", "for", "return", "switch", "go", "defer", "select", "range")
+LOW = 0.4
+
+
+def _calls(files: DataFrame, pattern: str, keywords: tuple[str, ...]) -> DataFrame:
+    """path, line, name, confidence of what stands before a parenthesis in code, not in strings or comments."""
+    code = source_lines(files.select("path", code_only(F.col("text")).alias("text")))
+    calls = code.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
+    return calls.filter(~F.col("name").isin(*keywords)).withColumn("confidence", F.lit(LOW))
+
+
+def ts_references(files: DataFrame) -> DataFrame:
+    """path, line, name, confidence: imported modules, 1.0, and calls, 0.4."""
+    modules = ts_imports(files).select("path", "line", F.col("module").alias("name"), F.lit(1.0).alias("confidence"))
+    return modules.unionByName(_calls(files, r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", TS_KEYWORDS))
 
 
 def go_symbols(files: DataFrame) -> DataFrame:
     """path, line, name, kind, end_line of Go: functions, methods, types."""
     lines = source_lines(files)
-    method = F.regexp_extract("text", r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)", 1)
-    func = F.regexp_extract("text", r"^func\s+([A-Za-z_]\w*)", 1)
-    kind = F.regexp_extract("text", r"^type\s+([A-Za-z_]\w*)\s+\w+", 1)
-    starts = lines.withColumn("name", F.coalesce(F.nullif(method, F.lit("")), F.nullif(func, F.lit("")), F.nullif(kind, F.lit("")))).withColumn("kind", F.when(method != "", "method").when(func != "", "function").otherwise("type"))
-    return _closed(lines, starts.filter("name is not null").select("path", "line", "name", "kind"))
+    func = F.regexp_extract("text", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[\(\[]", 1)
+    type_ = F.regexp_extract("text", r"^\s*type\s+([A-Za-z_]\w*)\b", 1)
+    kind = F.when(func != "", F.when(F.col("text").rlike(r"^\s*func\s+\("), "method").otherwise("function")).when(F.col("text").contains("struct"), "struct").when(F.col("text").contains("interface"), "interface").otherwise("type")
+    starts = lines.withColumn("name", F.coalesce(F.nullif(func, F.lit("")), F.nullif(type_, F.lit("")))).withColumn("kind", kind)
+    return _closed(files, starts.filter("name is not null").select("path", "line", "name", "kind"), braced=True)
 
 
 def go_imports(files: DataFrame) -> DataFrame:
-    """path, line, module: single imports, and the lines between `import (` and `)`."""
-    marker = F.when(F.col("text").rlike(r"^import\s*\("), "open").when(F.col("text").rlike(r"^\)"), "closed")
-    state = F.last(marker, ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
-    rows = source_lines(files).withColumn("state", state)
-    inside = F.regexp_extract("text", r'^\s*(?:[\w.]+\s+)?"([^"]+)"', 1)
-    single = F.regexp_extract("text", r'^import\s+(?:[\w.]+\s+)?"([^"]+)"', 1)
-    return rows.select("path", "line", F.when(single != "", single).when(F.col("state") == "open", inside).alias("module")).filter("module <> ''")
+    """path, line, module: single imports, and the lines between `import (` and one with `)`."""
+    rows = _after_flag(files, r"^\s*import\s*\(", r"\)")
+    inside = F.regexp_extract("text", r'^\s*(?:[A-Za-z_.]\w*\s+)?"([^"]+)"', 1)
+    single = F.regexp_extract("text", r'^\s*import\s+(?:[A-Za-z_.]\w*\s+)?"([^"]+)"', 1)
+    return rows.select("path", "line", F.when(single != "", single).when(F.col("inside"), inside).alias("module")).filter("module <> ''")
+
+
+def go_packages(files: DataFrame) -> DataFrame:
+    """path, package: what the first package line names, else the path with dots."""
+    named = F.regexp_extract("text", r"(?m)^\s*package\s+([A-Za-z_]\w*)", 1)
+    return files.select("path", F.coalesce(F.nullif(named, F.lit("")), F.replace(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit("/"), F.lit("."))).alias("package"))
+
+
+def go_references(files: DataFrame) -> DataFrame:
+    """path, line, name, confidence of calls."""
+    return _calls(files, r"\b([A-Za-z_]\w*)\s*\(", GO_KEYWORDS)
 
 
 def directives(files: DataFrame) -> DataFrame:

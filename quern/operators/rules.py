@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import is_test_go, is_test_python, is_test_ts
 from quern.operators import parsing
 from quern.operators.findings import outliers
-from quern.plans.views import line_count
+from quern.sources.folders import dropped, kept
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,11 @@ CYCLES = 100
 
 @dataclass
 class Facts:
-    """What rules read: files (path, text), facts of Python, symbols of the other languages."""
+    """What rules read: files (path, text), their lines, what each file's lines add up to, facts of Python, symbols of the other languages."""
 
     files: DataFrame
+    lines: DataFrame
+    sums: DataFrame
     python: DataFrame
     ts: DataFrame
     go: DataFrame
@@ -76,9 +78,17 @@ class Facts:
 
     @staticmethod
     def of(files: DataFrame, at: Thresholds | None = None) -> Facts:
-        """Parsed once: every rule reads the same held tables."""
+        """Parsed once: every rule reads the same tables, which are written to the shared folder."""
         files = files.select("path", "text")
-        return Facts(files, parsing.python_facts(files.filter(F.col("path").endswith(".py"))).persist(), parsing.ts_symbols(files.filter(_ts())).persist(), parsing.go_symbols(files.filter(F.col("path").endswith(".go"))).persist(), at or Thresholds())
+        lines = kept(parsing.source_lines(files), "lines")
+        told = lambda name, pattern: [F.count_if(F.upper("text").rlike(pattern)).alias(name), F.min(F.when(F.upper("text").rlike(pattern), F.col("line"))).alias(f"{name}_line")]
+        sums = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *told("markers", "TODO|FIXME|HACK"), *told("generated", "GENERATED BY|PLACEHOLDER"), F.count_if(F.col("text").rlike(r"^\s*export\s")).alias("exports"))
+        python = parsing.python_facts(files.filter(F.col("path").endswith(".py")))
+        return Facts(files, lines, kept(sums, "sums"), kept(python, "python"), kept(parsing.ts_symbols(files.filter(_ts())), "ts"), kept(parsing.go_symbols(files.filter(F.col("path").endswith(".go"))), "go"), at or Thresholds())
+
+    def release(self) -> None:
+        """Deletes what of() has written, once nothing reads it any more."""
+        dropped(self.lines, self.sums, self.python, self.ts, self.go)
 
 
 RULES: dict[str, Callable[[Facts], DataFrame]] = {}
@@ -109,13 +119,13 @@ def _ts() -> Column:
 
 
 def _sized(f: Facts, where: Column, name: str, confidence: float = 0.9) -> DataFrame:
-    n = f.files.filter(where).select("path", line_count(F.col("text")).alias("n")).filter(F.col("n") >= f.at.file_lines)
+    n = f.sums.filter(where & (F.col("n") >= f.at.file_lines))
     return finding(n, name, "warning", confidence, F.concat(F.col("n"), F.lit(" lines")))
 
 
-def _marked(f: Facts, where: Column, pattern: str, least: int, name: str, word: str, confidence: float) -> DataFrame:
-    n = parsing.source_lines(f.files.filter(where)).filter(F.upper("text").rlike(pattern)).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("l")).filter(F.col("n") >= least)
-    return finding(n, name, "info", confidence, F.concat(F.col("n"), F.lit(f" {word} lines")), line=F.col("l"))
+def _marked(f: Facts, where: Column, marks: str, least: int, name: str, word: str, confidence: float) -> DataFrame:
+    n = f.sums.filter(where & (F.col(marks) >= least))
+    return finding(n, name, "info", confidence, F.concat(F.col(marks), F.lit(f" {word} lines")), line=F.col(f"{marks}_line"))
 
 
 def _repeated(literals: DataFrame, least: int, length: Column, name: str, confidence: float) -> DataFrame:
@@ -125,7 +135,7 @@ def _repeated(literals: DataFrame, least: int, length: Column, name: str, confid
 
 def _text_literals(f: Facts, where: Column) -> DataFrame:
     found = F.explode(F.regexp_extract_all("text", F.lit(r"""(["'`])((?:(?!\1).)+)\1"""), F.lit(2)))
-    return parsing.source_lines(f.files.filter(where)).select("path", "line", found.alias("literal"))
+    return f.lines.filter(where).select("path", "line", found.alias("literal"))
 
 
 def _span(symbols: DataFrame, kinds: list[str], least: int, name: str, confidence: float) -> DataFrame:
@@ -154,7 +164,7 @@ def python_large_class(f: Facts) -> DataFrame:
 
 @rule
 def python_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _is(".py"), "TODO|FIXME|HACK", f.at.todos, "python.todo_cluster", "marker", 0.9)
+    return _marked(f, _is(".py"), "markers", f.at.todos, "python.todo_cluster", "marker", 0.9)
 
 
 @rule
@@ -186,13 +196,13 @@ def python_missing_nearby_test(f: Facts) -> DataFrame:
 def python_mixed_responsibilities(f: Facts) -> DataFrame:
     verb = F.regexp_extract(F.element_at(F.split("name", r"\."), -1), f"^({'|'.join(VERBS)})_", 1)
     v = _symbols(f).select("path", verb.alias("v")).filter("v <> ''").groupBy("path").agg(F.countDistinct("v").alias("n")).filter("n >= 3")
-    long = f.files.select(F.col("path").alias("_p"), line_count(F.col("text")).alias("lines")).filter(F.col("lines") >= f.at.file_lines)
+    long = f.sums.select(F.col("path").alias("_p"), F.col("n").alias("lines")).filter(F.col("lines") >= f.at.file_lines)
     return finding(v.join(long, F.col("path") == F.col("_p")), "python.mixed_responsibilities", "info", 0.55, F.concat(F.col("n"), F.lit(" kinds of work")))
 
 
 @rule
 def python_suspicious_slop_candidate(f: Facts) -> DataFrame:
-    return _marked(f, _is(".py"), "GENERATED BY|PLACEHOLDER", 1, "python.suspicious_slop_candidate", "generated", 0.5)
+    return _marked(f, _is(".py"), "generated", 1, "python.suspicious_slop_candidate", "generated", 0.5)
 
 
 @rule
@@ -203,7 +213,7 @@ def python_relative_large_function(f: Facts) -> DataFrame:
 
 @rule
 def python_relative_large_file(f: Facts) -> DataFrame:
-    s = f.files.filter(_is(".py")).select("path", line_count(F.col("text")).alias("size"), F.lit("file").alias("group"))
+    s = f.sums.filter(_is(".py")).select("path", F.col("n").alias("size"), F.lit("file").alias("group"))
     return finding(outliers(s, ["group"], "size", f.at.file_lines), "python.relative_large_file", "info", 0.6, F.concat(F.col("size"), F.lit(" lines, an outlier here")))
 
 
@@ -235,8 +245,8 @@ def _import_edges(f: Facts) -> DataFrame:
     modules = f.files.filter(_is(".py")).select(module.alias("module"), "path", F.col("path").alias("position"))
     package = F.regexp_replace("_mod", r"\.?[^.]*$", "")
     imports = f.python.filter("fact = 'import'").withColumn("_mod", module)
-    kept = F.slice(F.split(package, r"\."), F.lit(1), F.greatest(F.lit(0), F.size(F.split(package, r"\.")) - F.col("n").cast("int") + 1))
-    absolute = F.when(F.col("n") > 0, F.concat_ws(".", F.array_join(kept, "."), F.nullif(F.col("name"), F.lit("")))).otherwise(F.col("name"))
+    above = F.slice(F.split(package, r"\."), F.lit(1), F.greatest(F.lit(0), F.size(F.split(package, r"\.")) - F.col("n").cast("int") + 1))
+    absolute = F.when(F.col("n") > 0, F.concat_ws(".", F.array_join(above, "."), F.nullif(F.col("name"), F.lit("")))).otherwise(F.col("name"))
     return resolve_imports(imports.select(F.col("path").alias("src"), absolute.alias("module"), F.col("text").alias("name")), modules)
 
 
@@ -280,7 +290,7 @@ def _ts_tests(f: Facts) -> DataFrame:
     """Blocks of test(...) or it(...) by the running count of such lines; counts by pattern."""
     from pyspark.sql import Window
 
-    lines = parsing.source_lines(f.files.filter(_ts() & is_test_ts(F.col("path"))))
+    lines = f.lines.filter(_ts() & is_test_ts(F.col("path")))
     opened = F.col("text").rlike(r"^\s*(?:it|test)(?:\.\w+)?\(")
     b = lines.withColumn("b", F.sum(opened.cast("int")).over(Window.partitionBy("path").orderBy("line"))).filter("b > 0")
     count = lambda rx: F.sum(F.regexp_count("text", F.lit(rx))).cast("long")
@@ -304,7 +314,8 @@ def typescript_large_component(f: Facts) -> DataFrame:
 
 
 def _in_symbols(f: Facts, kinds: list[str], pattern: str, most: int, name: str, word: str) -> DataFrame:
-    lines = parsing.source_lines(f.files.filter(_ts())).select(F.col("path").alias("_p"), F.col("line").alias("_l"), F.regexp_count("text", F.lit(pattern)).alias("c"))
+    # Lines that hold any; the join is by path, the span a residual filter.
+    lines = f.lines.filter(_ts()).select(F.col("path").alias("_p"), F.col("line").alias("_l"), F.regexp_count("text", F.lit(pattern)).alias("c")).filter("c > 0")
     s = f.ts.filter(F.col("kind").isin(*kinds))
     n = s.join(lines, (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("line"), F.col("end_line"))).groupBy("path", "name", "line").agg(F.sum("c").alias("n")).filter(F.col("n") > most)
     return finding(n, name, "info", 0.7, F.concat(F.col("n"), F.lit(f" {word}")), symbol=F.col("name"), line=F.col("line"))
@@ -322,14 +333,13 @@ def react_too_many_props(f: Facts) -> DataFrame:
 
     marker = F.when(F.col("text").rlike(r"^\s*(?:export\s+)?type\s+\w*Props\s*=\s*\{"), "open").when(F.col("text").rlike(r"^\s*\};"), "closed")
     state = F.last(marker, ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
-    n = parsing.source_lines(f.files.filter(_ts())).withColumn("s", state).filter((F.col("s") == "open") & F.col("text").rlike(r"^\s*readonly\s")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.props)
+    n = f.lines.filter(_ts()).withColumn("s", state).filter((F.col("s") == "open") & F.col("text").rlike(r"^\s*readonly\s")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.props)
     return finding(n, "react.too_many_props", "info", 0.65, F.concat(F.col("n"), F.lit(" props")))
 
 
 @rule
 def typescript_too_many_exports(f: Facts) -> DataFrame:
-    n = parsing.source_lines(f.files.filter(_ts())).filter(F.col("text").rlike(r"^\s*export\s")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > f.at.exports)
-    return finding(n, "typescript.too_many_exports", "info", 0.65, F.concat(F.col("n"), F.lit(" exports")))
+    return finding(f.sums.filter(_ts() & (F.col("exports") > f.at.exports)), "typescript.too_many_exports", "info", 0.65, F.concat(F.col("exports"), F.lit(" exports")))
 
 
 @rule
@@ -339,7 +349,7 @@ def next_route_handler_too_much(f: Facts) -> DataFrame:
 
 @rule
 def typescript_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _ts(), "TODO|FIXME|HACK", f.at.ts_todos, "typescript.todo_cluster", "marker", 0.8)
+    return _marked(f, _ts(), "markers", f.at.ts_todos, "typescript.todo_cluster", "marker", 0.8)
 
 
 @rule
@@ -357,7 +367,7 @@ def typescript_missing_nearby_test(f: Facts) -> DataFrame:
 
 @rule
 def typescript_suspicious_slop_candidate(f: Facts) -> DataFrame:
-    return _marked(f, _ts(), "GENERATED BY|PLACEHOLDER", 1, "typescript.suspicious_slop_candidate", "generated", 0.5)
+    return _marked(f, _ts(), "generated", 1, "typescript.suspicious_slop_candidate", "generated", 0.5)
 
 
 @rule
@@ -395,7 +405,7 @@ def generic_large_file(f: Facts) -> DataFrame:
 
 @rule
 def generic_todo_cluster(f: Facts) -> DataFrame:
-    return _marked(f, _generic(), "TODO|FIXME|HACK", f.at.todos, "generic.todo_cluster", "marker", 0.8)
+    return _marked(f, _generic(), "markers", f.at.todos, "generic.todo_cluster", "marker", 0.8)
 
 
 @rule

@@ -1,13 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import code_queries, parsing, rules
+import fixed_sources
+from quern.operators import parsing, rules
 from quern.operators.graph import absolute_module, closure, label_propagation, shortest_cycles, strong_components
 
 
 @pytest.fixture(scope="module")
 def findings(spark):
-    return code_queries.rule_findings(spark, "").collect()
+    return rules.run_rules(rules.Facts.of(fixed_sources.repository(spark))).collect()
 
 
 @pytest.mark.parametrize(
@@ -98,18 +99,18 @@ def test_scrubbing(spark):
 
 
 def test_broken_file_is_a_row(spark):
-    rows = code_queries.python_parse(spark, "").filter("path = 'src/app/broken.py'").collect()
+    rows = parsing.python_facts(fixed_sources.repository(spark).filter("path like '%.py'")).filter("path = 'src/app/broken.py'").collect()
     assert [r["fact"] for r in rows] == ["error"]
 
 
 def test_facts_are_those_of_a_plain_loop(spark):
-    want = sorted(str(r) for p, t in code_queries.SOURCES.items() if p.endswith(".py") for r in parsing.python_rows(p, t))
-    assert len(want) == code_queries.python_parse(spark, "").count()
+    want = sorted(str(r) for p, t in fixed_sources.SOURCES.items() if p.endswith(".py") for r in parsing.python_rows(p, t))
+    assert len(want) == parsing.python_facts(fixed_sources.repository(spark).filter("path like '%.py'")).count()
 
 
 def test_spans_of_braces(spark):
-    got = {(r["name"], r["kind"]): (r["line"], r["end_line"]) for r in parsing.go_symbols(code_queries.repository(spark).filter("path = 'srv/main.go'")).collect()}
-    assert got[("Server", "type")] == (8, 10)
+    got = {(r["name"], r["kind"]): (r["line"], r["end_line"]) for r in parsing.go_symbols(fixed_sources.repository(spark).filter("path = 'srv/main.go'")).collect()}
+    assert got[("Server", "struct")] == (8, 10)
     assert got[("Run", "method")] == (12, 15)
     assert got[("Serve", "function")] == (17, 73)
 
@@ -144,6 +145,63 @@ def test_traceback_frames(spark):
 
 
 def test_api_changes(spark):
-    got = {(r["name"], r["change"]) for r in code_queries.api_diff(spark, "").collect()}
+    text = fixed_sources.SOURCES["src/app/shapes.py"].replace("def second(rows)", "def second(rows, extra=None)").replace("def first", "def renamed")
+    old, new = (parsing.python_facts(fixed_sources.repository(spark, c).filter("path like '%.py'")) for c in (None, {"src/app/shapes.py": text}))
+    got = {(r["name"], r["change"]) for r in parsing.public_changes(old, new).collect()}
     assert got == {("first", "removed"), ("renamed", "added"), ("second", "changed")}
     assert F
+
+
+def test_rules_find_what_the_fixed_sources_hold(spark, findings):
+    import duckdb
+
+    want = duckdb.sql(fixed_sources.EXPECTED).fetchall()
+    names = ["rule_id", "file_path", "symbol", "severity", "confidence", "message", "line"]
+    assert sorted(map(str, want)) == sorted(str(tuple(r[n] for n in names)) for r in findings)
+
+
+def test_braces_in_strings_and_comments_close_nothing(spark):
+    text = """function one(a) { // }
+  const s = "}" + '}' + `}
+  }`;
+  /* }
+  } */ if (a) { b(); }
+  return "it's { \\" }";
+}
+function two() { return 1; }
+function three() {
+  deep({ a: { b: 1 } }); } function four() {
+}
+export const five = 5;"""
+    df = spark.createDataFrame([("a.ts", text), ("b.ts", ""), ("c.ts", "class X {\n")], "path string, text string")
+    got = {(r["path"], r["name"]): (r["line"], r["end_line"]) for r in parsing.ts_symbols(df).collect()}
+    assert got == {("a.ts", "one"): (1, 7), ("a.ts", "two"): (8, 11), ("a.ts", "three"): (9, 11), ("a.ts", "five"): (12, 12), ("c.ts", "X"): (1, 1)}
+    code = df.filter("path = 'a.ts'").select(parsing.code_only(F.col("text")).alias("c")).first()["c"]
+    assert len(code.split("\n")) == len(text.split("\n")) and '"' not in code and "it's" not in code
+    calls = {(r["name"], r["line"]) for r in parsing.ts_references(df).collect()}
+    assert calls == {("one", 1), ("b", 5), ("two", 8), ("three", 9), ("deep", 10), ("four", 10)}
+
+
+def test_spans_equal_the_plain_count_of_braces(spark):
+    import random
+
+    rng = random.Random(4)
+    files = []
+    for f in range(40):
+        lines = [rng.choice(["x", "{", "}", "}{", "{ {", "} }", f"function f{i}() {{", f"function g{i}()", f"func h{i}() {{", f"type T{i} int", ""]) for i in range(rng.randint(1, 60))]
+        files.append((f"f{f}", lines))
+    df = spark.createDataFrame([(p, "\n".join(x)) for p, x in files], "path string, text string")
+
+    def end(lines, start, braced):
+        if braced and "{" not in lines[start]:
+            return start + 1
+        depth = 0
+        for i in range(start, len(lines)):
+            depth += lines[i].count("{") - lines[i].count("}")
+            if i > start and depth <= 0:
+                return i + 1
+        return start + 1
+
+    for parse, words, braced in ((parsing.ts_symbols, ("function ",), False), (parsing.go_symbols, ("func ", "type "), True)):
+        got = {(r["path"], r["line"]): r["end_line"] for r in parse(df).collect()}
+        assert got == {(p, i + 1): end(x, i, braced) for p, x in files for i, t in enumerate(x) if t.startswith(words)}

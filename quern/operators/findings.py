@@ -210,31 +210,38 @@ def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(opened, "warning", F.when(F.col("confidence") >= 0.9, "verified").otherwise("heuristic")).select("id", "severity", "shown")
 
 
-_PRIORITY = "CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, confidence DESC, id"
+#: Open findings with what the priority reads; rules and test paths, which the tables lack, are dealt by id.
+_RANKED = """, ch AS (SELECT l_orderkey, count(*) AS churn, CAST(max(l_quantity) AS BIGINT) AS lines FROM lineitem GROUP BY 1),
+f AS (SELECT id, confidence, CASE id % 5 WHEN 0 THEN 'python.missing_nearby_test' WHEN 1 THEN 'python.changed_source_without_related_test' WHEN 2 THEN 'python.large_function' ELSE rule_id END AS rule, CASE WHEN id % 7 = 0 THEN 'tests/' || file_path ELSE file_path END AS path, severity, coalesce(churn * lines, 0) AS hot FROM findings LEFT JOIN ch ON l_orderkey = id WHERE status = 'open'),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN starts_with(path, 'tests/') AND rule = 'python.large_function' THEN 1 ELSE 0 END, CASE severity WHEN 'warning' THEN 0 WHEN 'error' THEN 0 WHEN 'info' THEN 1 ELSE 2 END, CASE rule WHEN 'python.changed_source_without_related_test' THEN 9 WHEN 'python.missing_nearby_test' THEN 8 ELSE 0 END, hot DESC, id) AS BIGINT) AS place FROM f)
+"""
 
 
-@query(f"SELECT id, severity, confidence FROM findings WHERE status = 'open' ORDER BY {_PRIORITY} LIMIT 1", "findings")
-def next_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [mapped(F.col("status"), STATUS_RANK, 9), F.desc("_rank"), F.desc("confidence"), "id"]
-    f = views.findings(spark, sf_dir).filter(F.col("status").isin(*STATUS_RANK)).withColumn("_rank", mapped(F.col("severity"), SEVERITY_RANK, 0))
-    return f.orderBy(*order).limit(1).select("id", "severity", "confidence")
-
-
-@query(""", ch AS (SELECT l_orderkey, count(*) AS churn, CAST(max(l_quantity) AS BIGINT) AS lines FROM lineitem GROUP BY 1),
-f AS (SELECT id, CASE id % 5 WHEN 0 THEN 'python.missing_nearby_test' WHEN 1 THEN 'python.changed_source_without_related_test' WHEN 2 THEN 'python.large_function' ELSE rule_id END AS rule, CASE WHEN id % 7 = 0 THEN 'tests/' || file_path ELSE file_path END AS path, severity, coalesce(churn * lines, 0) AS hot FROM findings LEFT JOIN ch ON l_orderkey = id WHERE status = 'open')
-SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN starts_with(path, 'tests/') AND rule = 'python.large_function' THEN 1 ELSE 0 END, CASE severity WHEN 'warning' THEN 0 WHEN 'error' THEN 0 WHEN 'info' THEN 1 ELSE 2 END, CASE rule WHEN 'python.changed_source_without_related_test' THEN 9 WHEN 'python.missing_nearby_test' THEN 8 ELSE 0 END, hot DESC, id) AS BIGINT) AS place FROM f ORDER BY place LIMIT 100""", "findings")
-def finding_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of open findings; rules and test paths, which the tables lack, are dealt by id."""
+def prioritised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Open findings with the keys of their priority, and the names of the keys in order."""
     li = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_o"))
     churn = li.agg(F.count(F.lit(1)).alias("churn"), F.max("l_quantity").cast("long").alias("lines"))
     rule = mapped((F.col("id") % 5).cast("string"), {"0": "python.missing_nearby_test", "1": "python.changed_source_without_related_test", "2": "python.large_function"}, None)
     path = F.when(F.col("id") % 7 == 0, F.concat(F.lit("tests/"), "file_path")).otherwise(F.col("file_path"))
     f = views.findings(spark, sf_dir).filter("status = 'open'").join(churn, F.col("id") == F.col("_o"), "left")
-    f = f.select("id", F.coalesce(rule, "rule_id").alias("rule"), path.alias("path"), "severity", F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("lines", F.lit(0)).alias("lines"))
+    f = f.select("id", "confidence", F.coalesce(rule, "rule_id").alias("rule"), path.alias("path"), "severity", F.coalesce("churn", F.lit(0)).alias("churn"), F.coalesce("lines", F.lit(0)).alias("lines"))
     keys = [*priority(*(F.col(c) for c in ("path", "rule", "severity", "churn", "lines"))), F.col("id")]
-    top = f.select("id", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     order = [f"_k{i}" for i in range(len(keys))]
-    return top.orderBy(*order).limit(100).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return f.select("id", "severity", "confidence", "rule", *[k.alias(n) for k, n in zip(keys, order, strict=True)]), order
+
+
+@query(f"{_RANKED}SELECT id, severity, confidence, rule FROM ranked WHERE place = 1", "findings")
+def next_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first by the five keys of the priority."""
+    f, order = prioritised(spark, sf_dir)
+    return f.orderBy(*order).limit(1).select("id", "severity", "confidence", "rule")
+
+
+@query(f"{_RANKED}SELECT id, place FROM ranked ORDER BY place LIMIT 100", "findings")
+def finding_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred of open findings."""
+    f, order = prioritised(spark, sf_dir)
+    return f.orderBy(*order).limit(100).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 _NOISE = "noise AS (SELECT rule_id AS nr, CASE WHEN total >= 8 THEN round(least(greatest(1 - 0.2 * (n / total), 0.3), 1.0), 3) ELSE 1.0 END AS w FROM (SELECT rule_id, count(*) AS n, sum(count(*)) OVER () AS total FROM findings GROUP BY rule_id))"

@@ -32,7 +32,7 @@ def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("path", F.col("name").alias("module"), F.col("text").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + PARTS + """ SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, CAST(5 + s % 12 AS INTEGER) AS line, 'Panel' || k AS name, 'component' AS kind, CAST(7 + s % 12 + 4 * s AS INTEGER) AS end_line FROM parts
+@query("WITH " + PARTS + """ SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, CAST(5 + s % 12 AS INTEGER) AS line, 'Panel' || k AS name, 'component' AS kind, CAST(7 + s % 12 + s + rows_ AS INTEGER) AS end_line FROM parts
 UNION ALL SELECT 'web/p' || k || '/route.ts', 1, 'GET', 'route', CAST(s + 2 AS INTEGER) FROM parts
 UNION ALL SELECT 'web/p' || k || '/all.ts', CAST(i AS INTEGER), 'one', 'function', CAST(least(i + 1, s % 14 + CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END) AS INTEGER) FROM (SELECT k, s, unnest(range(1, s % 14 + 1)) AS i FROM parts)""")
 def typescript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def typescript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + PARTS + """ SELECT path, r.name AS name, CAST(r.confidence AS DOUBLE) AS confidence, CAST(r.n AS BIGINT) AS n FROM (
-SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, unnest([{'name': 'react', 'confidence': 1.0, 'n': 1}, {'name': './api' || k, 'confidence': 1.0, 'n': 1}, {'name': 'Panel' || k, 'confidence': 0.4, 'n': 1}, {'name': 'useState', 'confidence': 0.4, 'n': s}, {'name': 'row', 'confidence': 0.4, 'n': 3 * s}, {'name': 'api', 'confidence': 0.4, 'n': 1}]) AS r FROM parts
+SELECT 'web/p' || k || '/Panel' || k || '.tsx' AS path, unnest([{'name': 'react', 'confidence': 1.0, 'n': 1}, {'name': './api' || k, 'confidence': 1.0, 'n': 1}, {'name': 'Panel' || k, 'confidence': 0.4, 'n': 1}, {'name': 'useState', 'confidence': 0.4, 'n': s}, {'name': 'row', 'confidence': 0.4, 'n': rows_}, {'name': 'api', 'confidence': 0.4, 'n': 1}]) AS r FROM parts
 UNION ALL SELECT 'web/p' || k || '/route.ts', unnest([{'name': 'GET', 'confidence': 0.4, 'n': 1}, {'name': 'call_' || k, 'confidence': 0.4, 'n': s}]) FROM parts
 UNION ALL SELECT 'web/p' || k || '/Panel' || k || '.test.ts', unnest([{'name': 'it', 'confidence': 0.4, 'n': 2}, {'name': 'run', 'confidence': 0.4, 'n': 1}, {'name': 'expect', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 4 ELSE 1 END}, {'name': 'toBe', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 4 ELSE 1 END}, {'name': 'skip', 'confidence': 0.4, 'n': CASE WHEN s % 6 = 0 THEN 3 ELSE 0 END}]) FROM parts WHERE s % 3 = 0) WHERE r.n > 0""")
 def typescript_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +49,13 @@ def typescript_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + PARTS + """ SELECT 'srv/p' || k || '/main.go' AS path, g.name AS name, g.kind AS kind, CAST(g.line AS INTEGER) AS line, CAST(g.e AS INTEGER) AS end_line FROM (SELECT k, unnest([{'name': 'Box' || k, 'kind': 'struct', 'line': 8, 'e': 10},
-{'name': 'Run', 'kind': 'method', 'line': 12, 'e': 14 + s % 6}, {'name': 'Serve' || k, 'kind': 'function', 'line': 16 + s % 6, 'e': 17 + s % 6 + 6 * s}, {'name': 'fmt', 'kind': 'import', 'line': 4, 'e': 4}, {'name': 'os', 'kind': 'import', 'line': 5, 'e': 5}]) AS g FROM parts)""")
+{'name': 'Run', 'kind': 'method', 'line': 12, 'e': 14 + s % 6}, {'name': 'Serve' || k, 'kind': 'function', 'line': 16 + s % 6, 'e': 17 + s % 6 + calls}, {'name': 'fmt', 'kind': 'import', 'line': 4, 'e': 4}, {'name': 'os', 'kind': 'import', 'line': 5, 'e': 5}]) AS g FROM parts)""")
 def go_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     go = _of(spark, sf_dir, r"\.go$")
     return parsing.go_symbols(go).select("path", "name", "kind", "line", "end_line").unionByName(parsing.go_imports(go).select("path", F.col("module").alias("name"), F.lit("import").alias("kind"), "line", F.col("line").alias("end_line")))
 
 
-@query("WITH " + PARTS + """ SELECT 'p' || k AS package, r.name AS name, CAST(r.n AS BIGINT) AS n FROM (SELECT k, unnest([{'name': 'import', 'n': 1}, {'name': 'Run', 'n': 1}, {'name': 'log', 'n': s % 6}, {'name': 'Println', 'n': 1 + 6 * s}, {'name': 'Serve' || k, 'n': 1}]) AS r FROM parts) WHERE r.n > 0""")
+@query("WITH " + PARTS + """ SELECT 'p' || k AS package, r.name AS name, CAST(r.n AS BIGINT) AS n FROM (SELECT k, unnest([{'name': 'import', 'n': 1}, {'name': 'Run', 'n': 1}, {'name': 'log', 'n': s % 6}, {'name': 'Println', 'n': 1 + calls}, {'name': 'Serve' || k, 'n': 1}]) AS r FROM parts) WHERE r.n > 0""")
 def go_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     go = _of(spark, sf_dir, r"\.go$")
     return parsing.go_references(go).join(parsing.go_packages(go), "path").groupBy("package", "name").agg(F.count(F.lit(1)).alias("n"))

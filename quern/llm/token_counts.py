@@ -81,7 +81,9 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", section
     sections are the lines, each with its line end, from 0; then the counts of
     a document under `start` and `end` add up to all its tokens. n_tokens is a
     double, as `split` gives shares. A null text is empty; an empty text has
-    one empty line. Repeated rows of docs give repeated rows.
+    one empty line. Repeated rows of docs give repeated rows, rows with a null
+    id have a null doc_id. An empty table gives no rows; other columns of docs,
+    whatever their names, take no part.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")

@@ -160,3 +160,22 @@ def test_bpe_of_long_texts_holds_little():
 
     peak(100)
     assert peak(200_000) < 2 * peak(20_000)
+
+
+def test_section_tokens_of_odd_tables(spark):
+    """Null ids and texts, repeated rows, a very long text, columns of clashing names, an empty table."""
+    long = "word and more\n" * 30_000
+    rows = [(1, "a b\nc", 5, "x"), (1, "a b\nc", 5, "x"), (None, "no id\n", 0, None), (2, None, 1, "y"), (3, "", 1, "y"), (4, long, 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, section int, n_tokens string")
+    got = section_tokens(df, BYTE, "start").collect()
+    lines = lambda t: max(1, (t or "").count("\n") + (not (t or "").endswith("\n"))) if t else 1
+    assert len(got) == sum(lines(t) for _, t, _, _ in rows)
+    library = Tokenizer.from_file(BYTE)
+    total = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_tokens"]
+    want = {}
+    for i, t, _, _ in rows:
+        want[i] = want.get(i, 0) + len(library.encode(t or "", add_special_tokens=False).ids)
+    assert total == want
+    assert section_tokens(df.limit(0), BYTE).count() == 0

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import code_queries, parsing, table_sources
+from quern.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,25 @@ def test_long_chains_of_blocks_and_operators_are_facts():
     assert [(r[2], r[4], r[5]) for r in rows if r[1] == "symbol"] == [("f", 1, 601)]
     assert [r[6] for r in rows if r[1] == "depth"] == [300]
     assert sum(r[1] == "reference" for r in rows) == 1500
+
+
+@pytest.mark.parametrize("name", ["go_references", "typescript_parse", "typescript_references", "go_parse"])
+def test_patterns_join_nothing(spark, name):
+    """Rows of every file are no side of a join, so the driver broadcasts none."""
+    assert "Join" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_that_tell_nothing_stay_in_their_task(spark):
+    text = "func A() {\n" + "\tx()\n" * 1000 + "}\n\nfunc B()\n"
+    files = spark.createDataFrame([("a.go", text), ("b.go", "")], "path string, text string")
+    found = parsing.go_symbols(files)
+    assert sorted(tuple(r) for r in found.collect()) == [("a.go", 1, "A", "function", 1002), ("a.go", 1004, "B", "function", 1004)]
+    assert parsing.go_symbols(files)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_directives_are_found_in_any_file_that_has_one(spark):
+    files = spark.createDataFrame([("a.rb", "x = 1\ny = 2 # quern: ignore[a, b]\n"), ("b.ts", "// quern:ignore"), ("c.py", "quern ignore")], "path string, text string")
+    found = parsing.directives(files)
+    assert sorted((r["path"], r["line"], r["rules"]) for r in found.collect()) == [("a.rb", 2, ["a", "b"]), ("b.ts", 1, ["*"])]
+    # Files without one are not cut into lines.
+    assert "contains(text#" in found._jdf.queryExecution().optimizedPlan().toString().lower()

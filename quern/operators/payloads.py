@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,37 +11,43 @@ from pyspark.sql import functions as F
 from quern.operators.compose import records
 from quern.plans import views
 from quern.registry import query
-from quern.sources.folders import dropped, kept
+from quern.sources.folders import kept
 
 #: Fields that tell of a file, a symbol and a kind.
 FILE_FIELDS = ("file", "path", "file_path")
 SYMBOL_FIELDS = ("symbol", "name", "qualified_name", "reference_text", "call_text")
 KIND_FIELDS = ("type", "kind", "result_type")
+#: Levels that a pass descends.
+LEVELS = 4
+#: Events whose payloads one task makes; an event of some ten bytes in its file makes several hundred.
+EVENTS_A_TASK = 20_000
 
 
 def strings(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """keys, path (the object keys above the string, outermost first), value: every string in a variant, at any depth.
 
-    All rows descend a level at once, as long as some hold an object or a list;
-    a level is written once. Numbers, booleans and nulls are no strings.
+    All rows descend LEVELS levels in one pass, as long as some hold an object
+    or a list; a pass is written once. Numbers, booleans and nulls are no strings.
     """
-    level = rows.select(*keys, F.array().cast("array<string>").alias("path"), F.col(payload).alias("v"))
-    found, levels = [], []
+    rest = rows.select(*keys, F.array().cast("array<string>").alias("path"), F.col(payload).alias("v"))
+    found = []
+    kind = F.schema_of_variant("v")
+    holds = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     while True:
-        kind = F.schema_of_variant("v")
+        for _ in range(LEVELS):
+            # What holds nothing stays as it is; its explosion is a row of nulls.
+            outer = rest.select(*keys, F.col("path").alias("_path"), F.col("v").alias("_v"))
+            inner = outer.lateralJoin(outer.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+            leaf = F.schema_of_variant("_v") == "STRING"
+            path = F.when(F.col("key").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("key")))
+            rest = inner.select(*keys, path.alias("path"), F.when(leaf, F.col("_v")).otherwise(F.col("value")).alias("v")).filter("v is not null")
         # As text: a variant isn't kept in files by all readers.
-        told = level.filter("v is not null").select(*keys, "path", F.when(kind == "STRING", F.lit("s")).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit("c")).alias("kind"), F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("text"))
+        told = rest.select(*keys, "path", F.when(kind == "STRING", F.lit("s")).when(holds, F.lit("c")).alias("kind"), F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(holds, F.to_json("v")).alias("text"))
         told = kept(told.filter("kind is not null"), "level", deeper=F.col("kind") == "c")
-        levels.append(told)
         found.append(told.filter("kind = 's'").select(*keys, "path", F.col("text").alias("value")))
         if not told.counts["deeper"]:
-            break
-        inner = told.filter("kind = 'c'").select(*keys, "path", F.parse_json("text").alias("_v"))
-        told_in = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        level = told_in.select(*keys, F.when(F.col("key").isNull(), F.col("path")).otherwise(F.concat("path", F.array("key"))).alias("path"), F.col("value").alias("v"))
-    out = kept(reduce(DataFrame.unionByName, found), "strings")
-    dropped(*levels)
-    return out
+            return reduce(DataFrame.unionByName, found)
+        rest = told.filter("kind = 'c'").select(*keys, "path", F.parse_json("text").alias("v"))
 
 
 def matching(rows: DataFrame, keys: list[str], payload: str, text: str | None = None, file: str | None = None, symbol: str | None = None, kind: str | None = None) -> DataFrame:
@@ -64,6 +71,7 @@ def matching(rows: DataFrame, keys: list[str], payload: str, text: str | None =
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, record, v: what a tool call may have answered, two records an event: a match deep inside, and a list of names."""
     e = views.events(spark, sf_dir)
+    e = e.repartition(max(1, math.ceil(e.count() / EVENTS_A_TASK)), "event_id")
     text = F.format_string('{"items": [{"type": "%s", "at": {"file_path": "src/mod_%s.py", "lines": [1, %s]}, "more": [["deep %s"], {"note": "K%s"}]}, {"name": ["fn_%s", {"x": "in %s"}], "value": %s}]}', "event_type", "k", "k", "event_type", "k", "k", "event_type", "session_id")
     return e.select("event_id", F.posexplode(records(text)).alias("record", "v"))
 

@@ -13,7 +13,12 @@ from quern.registry import query
 def churn(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     """path, churn, top_share, authors: commits of a path, its busiest author's share, and how many authors it has."""
     c = commits.select(F.col("commit_id").alias("_c"), "author")
-    per = pairs.join(c, F.col("commit_id") == F.col("_c")).groupBy("path", "author").agg(F.count(F.lit(1)).alias("n"))
+    return shares(pairs.join(c, F.col("commit_id") == F.col("_c")))
+
+
+def shares(history: DataFrame) -> DataFrame:
+    """churn of (path, author) rows, one for each commit of a path."""
+    per = history.groupBy("path", "author").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("path").agg(F.sum("n").alias("churn"), (F.max("n") / F.sum("n")).alias("top_share"), F.count(F.lit(1)).alias("authors"))
 
 

@@ -88,9 +88,9 @@ def read_diff(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(new.alias("path"), old.alias("old_path"), kind.alias("change"), hunks.alias("hunks"))
 
 
-def changed_lines(diff: DataFrame) -> DataFrame:
-    """path, start, end: the line ranges of the new state that a diff touches; a hunk that only removes touches none."""
-    return diff.select("path", F.explode("hunks").alias("h")).filter("h.lines > 0").select("path", F.col("h.start").alias("start"), (F.col("h.start") + F.col("h.lines") - 1).alias("end"))
+def changed_lines(diff: DataFrame, *own: str) -> DataFrame:
+    """path, columns of the file, start, end: the line ranges of the new state that a diff touches; a hunk that only removes touches none."""
+    return diff.select("path", *own, F.explode("hunks").alias("h")).filter("h.lines > 0").select("path", *own, F.col("h.start").alias("start"), (F.col("h.start") + F.col("h.lines") - 1).alias("end"))
 
 
 def changed_since(diff: DataFrame, status: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.regions import region_components, relabel
+from quern.llm.regions import LEAF, distinct_buckets, region_components, relabel
 from quern.llm.shared import bounded_batches, discard, written
 from quern.llm.shingles import shingle_sets
 from quern.llm.words import mix
@@ -41,6 +41,8 @@ SLICE = 1000
 BALL = 0.5
 #: Bits by which sets are compared before their members are.
 PARITY = 1024
+#: Most bits of a set's parity, which grows with the set below.
+MOST_PARITY = 1 << 16
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -55,8 +57,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(blocks * width, np.uint32)
         for batch in batches:
             for _, _, h, _ in shingle_sets(batch.column(0), n):
-                slot, times = np.unique(_slots(h), return_counts=True)
-                total[slot] += times.astype(np.uint32)
+                np.add.at(total, _slots(h), np.uint32(1))
         rows = np.minimum(total, 255).astype(np.uint8).reshape(blocks, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "counts"])
 
@@ -71,7 +72,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     out = np.zeros((blocks, width), np.uint32)
     for r in parts.toLocalIterator():  # one row a block: 16 MB in all
         out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.reshape(-1)
+    return np.minimum(out.reshape(-1), 65535).astype(np.uint16)
 
 
 def _names(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -84,45 +85,117 @@ def _names(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return sums
 
 
+def _parities(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set which hash slots hold an odd number of its members, of at least two slots a member up to MOST_PARITY, a power of two."""
+    size = np.diff(bounds)
+    bits = np.full(len(size), 64)
+    for _ in range(6, MOST_PARITY.bit_length() - 1):
+        bits = np.where(bits < 2 * size, 2 * bits, bits)
+    at = np.append(0, np.cumsum(bits))
+    slot = np.repeat(at[:-1], size) + (h & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(slot, minlength=at[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+
+
 def _prefixes(texts: DataFrame, n: int, part: int, whole: int, sketch) -> DataFrame:
-    """id, row, n, s1, s2 (the set's name), tokens: the shingles whose buckets the document is in. sketch: a broadcast."""
+    """id, row, n, s1, s2 (the set's name), parity, tokens: the shingles whose buckets the document is in. sketch: a broadcast.
+
+    A token is 16 bits of its slot's count and 48 of the shingle's hash, so tokens are ordered as numbers. Shingles that
+    share a token share a bucket, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, bounds in shingle_sets(batch.column(2), n):
                 size = np.diff(bounds)
-                doc = np.repeat(np.arange(j - i), size)
-                order = np.lexsort((h, sketch.value[_slots(h)], doc))
-                place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
+                every = (sketch.value[_slots(h)].astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
                 need = np.where(size > 0, size + (-part * size) // whole + 1, 0)
-                tokens = h[order][place < np.repeat(need, size)]
+                edges = bounds.tolist()
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    every[a:b].sort()
+                place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
+                tokens = every[place < np.repeat(need, size)]
                 offsets = np.zeros(j - i + 1, np.int32)
                 np.cumsum(need, out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))
                 own = [batch.column(k).slice(i, j - i) for k in (0, 1)]
-                columns = [*own, pa.array(size.astype(np.int64)), *map(pa.array, _names(h, bounds)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "s1", "s2", "tokens"])
+                columns = [*own, pa.array(size.astype(np.int64)), *map(pa.array, _names(h, bounds)), _parities(h, bounds), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "s1", "s2", "parity", "tokens"])
 
-    return texts.select("id", "row", "text").mapInArrow(run, "id long, row long, n long, s1 long, s2 long, tokens array<long>")
+    return texts.select("id", "row", "text").mapInArrow(run, "id long, row long, n long, s1 long, s2 long, parity binary, tokens array<long>")
 
 
 def _buckets(points: DataFrame, part: int, whole: int) -> DataFrame:
     """(bucket, id): any two points that link share one."""
     held = points.select(F.posexplode("tokens").alias("place", "bucket"), F.col("key").alias("id"), "n")
     # A shingle of one document links nothing, nor does one of two whose sizes are too far apart.
-    per = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    meet = (F.col("c") > 2) | ((F.col("c") == 2) & (part * F.col("most") <= whole * F.col("least")))
-    shared = per.filter(meet).select(F.col("bucket").alias("_b"))
+    own = Window.partitionBy("bucket")
+    held = held.withColumns({"c": F.count(F.lit(1)).over(own), "least": F.min("n").over(own), "most": F.max("n").over(own)})
+    shared = held.filter((F.col("c") > 2) | ((F.col("c") == 2) & (part * F.col("most") <= whole * F.col("least"))))
     # Windows of size, the distance from the empty set: a link's sizes are in one stratum or in neighbouring ones.
     # The smaller of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1, so a document goes to the stratum
     # of larger ones with those alone.
     stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part + 1e-9)).cast("int")
     as_smaller = F.col("place") < F.col("n") - F.ceil(2 * part * F.col("n") / (part + whole) - 1e-6) + 1
     strata = F.array_compact(F.array(stratum, F.when(as_smaller, stratum + 1)))
-    kept = held.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", F.explode(strata).alias("k"))
+    kept = shared.select("bucket", "id", F.explode(strata).alias("k"))
     return written(kept.select(F.xxhash64("bucket", "k").alias("bucket"), "id"), "buckets")
 
 
+def _possible(size: list[int], parity: list[bytes], part: int, whole: int) -> list[int]:
+    """Places of the sets of which sizes and parities don't exclude that they link with another."""
+    bits = 8 * min(map(len, parity))
+    folded = []
+    for p in parity:
+        x, b = int.from_bytes(p, "little"), 8 * len(p)
+        while b > bits:  # the parity of twice as many slots, folded, is that of half
+            b //= 2
+            x = (x >> b) ^ (x & ((1 << b) - 1))
+        folded.append(x)
+    # A link's sets differ in at most (1 - t) / (1 + t) of their members together, and in no fewer members than bits.
+    if len(size) == 2:
+        return [0, 1] if (whole + part) * (folded[0] ^ folded[1]).bit_count() <= (whole - part) * (size[0] + size[1]) else []
+    table = np.frombuffer(b"".join(x.to_bytes(bits // 8, "little") for x in folded), np.uint64).reshape(len(size), -1)
+    n, hit = np.array(size), np.zeros(len(size), bool)
+    for i in range(len(size) - 1):
+        differ = np.bitwise_count(table[i + 1 :] ^ table[i]).sum(axis=1, dtype=np.int64)
+        near = (whole + part) * differ <= (whole - part) * (n[i + 1 :] + n[i])
+        near &= (part * n[i + 1 :] <= whole * n[i]) & (part * n[i] <= whole * n[i + 1 :])
+        hit[i + 1 :] |= near
+        hit[i] |= near.any()
+    return np.flatnonzero(hit).tolist()
+
+
+def _plausible(buckets: DataFrame, points: DataFrame, part: int, whole: int) -> DataFrame:
+    """(bucket, id) of buckets (bucket, id, n) without members that can't link with any other of theirs; n: the bucket's members.
+
+    The share of documents that meet another by chance grows with the table, so
+    they are parted here, by a tenth of their texts' bytes and less. Buckets of
+    more than LEAF members stay as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sizes, parities = None, [], [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for b, key, size, parity in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if b != at:
+                    out += [(at, ids[k]) for k in _possible(sizes, parities, part, whole)] if len(ids) > 1 else []
+                    at, ids, sizes, parities = b, [], [], []
+                ids.append(key)
+                sizes.append(size)
+                parities.append(parity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["bucket", "id"])
+        out = [(at, ids[k]) for k in _possible(sizes, parities, part, whole)] if len(ids) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["bucket", "id"])
+
+    sets = points.select(F.col("key").alias("_k"), F.col("n").alias("size"), "parity")
+    small = buckets.filter(F.col("n") <= LEAF).select("bucket", "id").join(sets, F.col("id") == F.col("_k"))
+    dealt = small.select("bucket", "id", "size", "parity").repartition("bucket").sortWithinPartitions("bucket")
+    kept = dealt.mapInArrow(run, "bucket long, id long")
+    return written(kept.unionByName(buckets.filter(F.col("n") > LEAF).select("bucket", "id")), "plausible")
+
+
 def _joined(few: DataFrame, many: DataFrame, on) -> DataFrame:
     """many joined with few, which is broadcast while its rows, counted, are at most BROADCAST_IDS."""
     return many.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, on)
@@ -275,15 +348,18 @@ def similar_components(
     rows = written(_prefixes(texts, n, part, whole, sketch), "rows")
     sketch.destroy()
     # Rows with an id first, for the name of a class; the points' keys are fixed by writing them.
-    first = F.min(F.struct(F.col("id").isNull(), "id", "row", "tokens")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row", "parity", "tokens")).alias("first")
     points = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(first)
-    points = points.select(F.monotonically_increasing_id().alias("key"), "n", "s1", "s2", "first.row", "first.tokens")
+    points = points.select(F.monotonically_increasing_id().alias("key"), "n", "s1", "s2", "first.row", "first.parity", "first.tokens")
     points = written(points, "points")
     sets = points.select("key", *[F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")])
     same = (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
     members = written(rows.select("id", "row", "n", "s1", "s2").join(sets, same, "left").select("id", "row", "n", "key"), "members")
     discard(rows)
-    buckets = _buckets(points, part, whole)
+    every = _buckets(points, part, whole)
+    once = distinct_buckets(every)
+    buckets = _plausible(once, points, part, whole)
+    discard(every, once)
     met = buckets.select(F.col("id").alias("_m")).distinct()
     wanted = points.select("key", F.col("row").alias("_row"), "s1").join(met, F.col("key") == F.col("_m"), "left_semi")
     wanted = written(wanted, "wanted")

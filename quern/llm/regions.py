@@ -62,12 +62,17 @@ def relabel(labels: DataFrame | None, edges: DataFrame, in_task: bool = True) ->
     return out
 
 
-def merged_buckets(buckets: DataFrame) -> DataFrame:
-    """(bucket, id, degree) without buckets of one member and with one of those with the same members; degree: members that an item meets."""
+def distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket, id, n) without buckets of one member and with one of those with the same members; n: the bucket's members."""
     signs = (F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"))
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *signs).filter("n > 1")
     once = size.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("_b")).select("_b", "n")
-    members = written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
+    return written(buckets.join(once, F.col("bucket") == F.col("_b")).select("bucket", "id", "n"), "members")
+
+
+def merged_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket, id, degree) of distinct_buckets; degree: members that an item meets."""
+    members = distinct_buckets(buckets)
     degree = members.groupBy("id").agg(F.sum("n").alias("degree")).select(F.col("id").alias("_i"), "degree")
     met = written(members.join(degree, F.col("id") == F.col("_i")).select("bucket", "id", "degree"), "met")
     discard(members)

@@ -26,14 +26,19 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray
         doc = np.repeat(np.arange(j - i), count)
         end = w.first[doc + 1]
         s = np.full(total, n, np.uint64)
+        short = bool((size < n).any())
         for k in range(n):
             x = at + k
-            inside = x < end
-            s = np.where(inside, (s ^ h[np.minimum(x, max(0, len(h) - 1))]) * np.uint64(0x9E3779B97F4A7C15), s) if len(h) else s
+            if not short:
+                s = (s ^ h[x]) * np.uint64(0x9E3779B97F4A7C15)
+            elif len(h):
+                s = np.where(x < end, (s ^ h[np.minimum(x, len(h) - 1)]) * np.uint64(0x9E3779B97F4A7C15), s)
             s ^= s >> np.uint64(29)
         s = mix(s)
-        order = np.lexsort((s, doc))
-        s, doc = s[order], doc[order]
+        # Sorts of single texts are many times faster than one of all by text and hash.
+        edges = [0, *np.cumsum(count).tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            s[a:b].sort()
         new = np.ones(total, bool)
         new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
         s, doc = s[new], doc[new]

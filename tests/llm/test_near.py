@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import quern.llm.jaccard_join as jaccard
@@ -63,6 +64,40 @@ def test_components_are_exact(spark, monkeypatch, n, part, shuffled):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute(rows, n, part)
 
 
+def test_documents_that_meet_by_chance_are_parted_by_parities(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(0, 300, 3):  # two of a kind, and two of which three quarters are alike
+        common = [word() for _ in range(175)]
+        near = [word() for _ in range(200)]
+        rows += [(k, " ".join(near)), (k + 1, " ".join([*near[:-1], word()])), (k + 2, " ".join([*common, *[word() for _ in range(25)]]))]
+        rows.append((1000 + k, " ".join([*common, *[word() for _ in range(25)]])))
+    read, keep = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (out := keep(df, name), read.append(out.count()) if name == "texts" else None)[0])
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)
+    assert read == [200]
+
+
+@pytest.mark.parametrize("size", [5, 30, 150, 700, 40_000])
+def test_parities_exclude_no_link(size):
+    rng = np.random.default_rng(size)
+    every = np.unique(rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(every[: size + k])[:size]) for k in (0, size // 20, size // 12, size // 8, 2 * size)]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    parity = jaccard._parities(np.concatenate(sets), bounds).to_pylist()
+    sizes = [len(x) for x in sets]
+    linked = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (sizes[a] + sizes[b] - both):
+                linked |= {a, b}
+                assert jaccard._possible([sizes[a], sizes[b]], [parity[a], parity[b]], 85, 100) == [0, 1]
+    assert linked and linked <= set(jaccard._possible(sizes, parity, 85, 100))
+
+
 def test_empty_table(spark):
     assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -59,3 +59,17 @@ def test_levels_are_descended_in_few_passes(spark, monkeypatch, levels):
 def test_payloads_are_made_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(payloads, "EVENTS_A_TASK", 20)
     assert payloads.event_payloads(spark, SF).rdd.getNumPartitions() > 5
+
+
+def test_few_pairs_are_looked_up_by_heavy_keys(spark, monkeypatch):
+    rows = [(f"p{i:03}", k) for i in range(60) for k in (f"a{i % 2}", f"b{i % 3}", f"c{i % 4}")]
+    keys = spark.createDataFrame(rows, "path string, key string")
+    read, keep = [], related.kept
+    monkeypatch.setattr(related, "kept", lambda df, name: (out := keep(df, name), read.append(out.count()) if name == "brought" else None)[0])
+    traces = spark.createDataFrame([(f"p{i:03}", "frecency") for i in range(0, 60, 7)], "path string, reason string")
+    got = related.related({"search_similarity": (keys, keys)}, {}, traces, top=3, light=5).collect()
+    held = {p: {k for q, k in rows if q == p} for p, _ in rows}
+    for p in held:
+        mine = [(-30 - (40 if int(q[1:]) % 7 == 0 else 0), q) for q in held if q != p and held[p] & held[q]]
+        assert [r["other"] for r in sorted((r for r in got if r["path"] == p), key=lambda r: (-r["confidence"], r["other"]))] == [q for _, q in sorted(mine)[:3]]
+    assert read and read[0] <= 60 * 4

@@ -196,9 +196,9 @@ def _plausible(buckets: DataFrame, points: DataFrame, part: int, whole: int) ->
     return written(kept.unionByName(buckets.filter(F.col("n") > LEAF).select("bucket", "id")), "plausible")
 
 
-def _joined(few: DataFrame, many: DataFrame, on) -> DataFrame:
-    """many joined with few, which is broadcast while its rows, counted, are at most BROADCAST_IDS."""
-    return many.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, on)
+def _joined(few: DataFrame, many: DataFrame, on, rows: int | None = None) -> DataFrame:
+    """many joined with few, which is broadcast while its rows (at most `rows`, else counted) are at most BROADCAST_IDS."""
+    return many.join(F.broadcast(few) if (few.count() if rows is None else rows) <= BROADCAST_IDS else few, on)
 
 
 def _measured(pairs: DataFrame, own: DataFrame, n: int, part: int, whole: int) -> DataFrame:
@@ -235,11 +235,11 @@ def _measured(pairs: DataFrame, own: DataFrame, n: int, part: int, whole: int) -
     dealt = pairs.join(per, F.col("b") == F.col("_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_s")).alias("slice"))
     # Up to one row a pivot and slice beside one a pair.
     pivots = dealt.select("b", "slice").distinct().select(F.col("b").alias("a"), "b", "slice", F.lit(0).alias("member"))
-    wanted = written(dealt.withColumn("member", F.lit(1)).unionByName(pivots), "wanted")
-    rows = _joined(wanted, own, F.col("id") == F.col("a")).select("b", "slice", "member", "a", "s1", "text")
+    wanted = dealt.withColumn("member", F.lit(1)).unionByName(pivots)
+    rows = _joined(wanted, own, F.col("id") == F.col("a"), 2 * pairs.count()).select("b", "slice", "member", "a", "s1", "text")
     sorted_ = rows.repartition("b", "slice").sortWithinPartitions("b", "slice", "member", "a")
     out = written(sorted_.mapInArrow(run, "a long, b long, d double, link boolean"), "measured")
-    discard(pairs, wanted)
+    discard(pairs)
     return out
 
 

@@ -209,6 +209,29 @@ def test_large_regions_are_exact(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4, 85)
 
 
+def test_near_copies_that_do_not_link_are_not_multiplied(spark, monkeypatch):
+    """Pivots tell nothing of a large region in which all distances are alike."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(0, 300, 2):
+        w = list(base)
+        w[rng.randrange(5, 30)], w[rng.randrange(35, 55)] = word(), word()
+        rows.append((k, " ".join(w)))
+        if k % 30 == 0:
+            rows.append((k + 1, " ".join([*w[:-1], word()])))
+    for module in (jaccard, regions):
+        monkeypatch.setattr(module, "LEAF", 20)
+    sizes, keep = defaultdict(list), jaccard.written
+    for module in (jaccard, regions):
+        monkeypatch.setattr(module, "written", lambda df, name: (out := keep(df, name), sizes[name].append(out.count()))[0])
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = brute(rows, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and 100 < len({c for _, c in want.values()}) < len(rows)
+    assert sizes["level"][0] > 100 and max(sizes["level"]) <= 2 * sizes["level"][0] and len(sizes["level"]) <= 3
+    assert sum(sizes["joins"]) <= 20 * sizes["level"][0]
+
+
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_components_by_stars_and_in_one_task(spark, monkeypatch, most):
     from quern.llm import components as module

@@ -232,6 +232,22 @@ def test_near_copies_that_do_not_link_are_not_multiplied(spark, monkeypatch):
     assert sum(sizes["joins"]) <= 20 * sizes["level"][0]
 
 
+def test_sketch_takes_as_many_jobs_on_any_partitions(spark):
+    texts = spark.createDataFrame([(" ".join(f"{k}x{j}" for j in range(20)),) for k in range(300)], "text string").repartition(30)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("sketch", "")
+        assert int(jaccard._sketch(texts, 4).sum()) == 300 * 17
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) <= 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_components_by_stars_and_in_one_task(spark, monkeypatch, most):
     from quern.llm import components as module

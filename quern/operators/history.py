@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.related import co_changed
 from quern.plans import views
 from quern.registry import query
+from quern.sources.folders import kept
 
 
 def churn(pairs: DataFrame, commits: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ _CO = "SELECT a.path, b.path AS other, count(*) AS n FROM commit_paths a JOIN co
 def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every path, over its whole history."""
     pairs = views.commit_paths(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp"))
-    return co_changed(pairs, latest=None).select(F.col("path").cast("long").alias("path"), F.col("other").cast("long").alias("other"), "n")
+    return co_changed(kept(pairs, "pairs"), latest=None).select(F.col("path").cast("long").alias("path"), F.col("other").cast("long").alias("other"), "n")
 
 
 @query("SELECT path, count(*) AS changes FROM commit_paths GROUP BY path", "commit_paths")
